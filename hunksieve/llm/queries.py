@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, tokencount
+from . import decontaminate, packing, sharding, simhash, substring_dedup, tokencount
 from .common import text_bytes
 
 
@@ -25,6 +25,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", text_bytes().alias("n_bytes"), "n_tokens", "over_limit")
@@ -35,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_substring_dedup, op5_simhash, op9_token_counts, op10_decontamination)}
 
 #: Words of a document, windows of the items, spans of a document for each window length.
 OP10_SQL = r"""
@@ -61,4 +71,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op10_decontamination": OP10_SQL}
+#: Windows of 20 words, the place where each first starts, and the words that later ones cover.
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), wins AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM docs WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM wins) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM later
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM docs
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
