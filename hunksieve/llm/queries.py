@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simhash, substring_dedup, tokencount
-from .common import text_bytes
+from . import decontaminate, fingerprints, langid, licenses, packing, sharding, simhash, substring_dedup, tokencount, toxicity
+from .common import in_bucket, text_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,34 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprints_under_edit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    near = {f"near_{x}": fingerprints.likeness("fingerprint", f"{x}_fingerprint") for x in ("edited", "next")}
+    return out.withColumns(near).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *near)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify_language(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", (in_bucket("doc_id", langid.HELD_OUT_PARTS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (in_bucket("doc_id", toxicity.HELD_OUT_PARTS) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "line", "n_passages")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", text_bytes().alias("n_bytes"), "n_tokens", "over_limit")
@@ -45,7 +68,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_substring_dedup, op5_simhash, op9_token_counts, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_packing,
+        op3_substring_dedup,
+        op4_fingerprints,
+        op5_simhash,
+        op6_language_id,
+        op7_toxicity,
+        op8_license_scan,
+        op9_token_counts,
+        op10_decontamination,
+    )
+}
 
 #: Words of a document, windows of the items, spans of a document for each window length.
 OP10_SQL = r"""
@@ -91,4 +128,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
+#: Distinct word bigrams of each line and of each template.
+OP8_SQL = r"""
+WITH templates AS (
+  SELECT template, license, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS grams
+  FROM (SELECT template, license, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (VALUES %s) AS v(template, license, text))
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS passage, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line FROM documents
+), grams AS (
+  SELECT doc_id, line, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS grams
+  FROM (SELECT doc_id, line, list_filter(string_split_regex(lower(passage), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM lines) WHERE len(w) > 0
+), scored AS (
+  SELECT doc_id, line, template, license, 2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice FROM grams g, templates t
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, template, line) AS k, count(DISTINCT line) OVER (PARTITION BY doc_id) AS n FROM scored WHERE dice >= 0.8
+)
+SELECT doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line, coalesce(n, 0)::BIGINT AS n_passages
+FROM documents LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (doc_id)
+""" % ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+
+ORACLES = {"op8_license_scan": OP8_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
