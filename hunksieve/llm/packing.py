@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -40,7 +41,7 @@ class WordEncoder:
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
@@ -49,13 +50,20 @@ class WordEncoder:
         new = list({w for words in split if words for w in words} - self.known.keys())
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
-            ids = self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            self.known.update((w, tuple(ids[a:b])) for w, a, b in zip(some, [0, *stops], stops, strict=False))
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *stops], stops, strict=False))
         whole = iter(self.library.encode_batch_fast([t for t, words in zip(texts, split, strict=True) if words is None], add_special_tokens=False))
         get = self.known.__getitem__
         for words in split:
-            yield np.array(next(whole).ids, dtype="<u4") if words is None else np.fromiter(chain.from_iterable(map(get, words)), dtype="<u4")
+            yield np.array(next(whole).ids, dtype="<u4") if words is None else np.frombuffer(b"".join(map(get, words)), dtype="<u4")
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that what it remembers outlives a task."""
+    return WordEncoder(path)
 
 
 class OpenWindows:
@@ -100,7 +108,7 @@ def batches(rows: Iterator[tuple], size: int = 1 << 23) -> Iterator[pa.RecordBat
 
 def packer(path: str, end_id: int, size: int, most: int):
     def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, part = WordEncoder(path), OpenWindows(size, most), TaskContext.get().partitionId()
+        encoder, windows, part = word_encoder(path), OpenWindows(size, most), TaskContext.get().partitionId()
         count = 0
 
         def rows():
