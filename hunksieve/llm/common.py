@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: it is computed once, and lost executors cost nothing."""
+    """Writes `df` to the shared folder and reads it back: it is computed once, and lost executors cost nothing.
+
+    The shuffle files behind it aren't needed any more. Spark deletes them once the driver has collected the plan that
+    owns them, which is asked for here: they would fill the disks long before a large driver heap does.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
