@@ -20,6 +20,8 @@ class RuleError(ValueError):
 class TestCase:
     """An input that a rule should or shouldn't match; matched as it stands, whatever else the case says."""
 
+    __test__ = False  # not a case for pytest
+
     input: str
     should_match: bool
     ignore_comments: bool | None = None
