@@ -15,48 +15,31 @@ from pyspark.sql import functions as F
 from .common import cut, in_bucket
 
 #: Words are runs of letters. n-grams have up to three letters, a space standing for either end of a word.
-WORD = re.compile(r"[^\W\d_]+")
-LENGTHS = (1, 2, 3)
-#: n-grams of a profile, documents to learn from for each language, words a worker remembers.
-RANKS, TRAINING, REMEMBERED = 400, 1000, 150_000
+OTHER = re.compile(r"[\W\d_]+")
+SPACE = 32
+#: n-grams of a profile, and documents to learn from for each language.
+RANKS, TRAINING = 400, 1000
 HELD_OUT_PARTS, HELD_OUT = 3, 1
 
 
-def grams_of(word: str) -> np.ndarray:
-    """n-grams of one word with its ends, each packed into 63 bits."""
-    c = np.array([32, *map(ord, word), 32], dtype=np.int64)
-    return np.concatenate([c[1:-1], (c[:-1] << 21) | c[1:], (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]])
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text, each packed into 63 bits, and how often each occurs."""
+    words = OTHER.sub(" ", text.lower()).strip()
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    pairs = (c[:-1] << 21) | c[1:]
+    inside = c[1:-1] != SPACE
+    return np.unique(np.concatenate([c[1:-1][inside], pairs, ((pairs[:-1] << 21) | c[2:])[inside]]), return_counts=True)
 
 
-class Grams:
-    """n-gram counts of whole texts; each distinct word is taken apart once and remembered."""
-
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words, times = np.unique(np.array(WORD.findall(text.lower()), dtype=object), return_counts=True) if text else ([], [])
-        if not len(words):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts = []
-        for w in words:
-            if (g := self.known.get(w)) is None:
-                g = grams_of(w)
-                if len(w) < 40:
-                    self.known[w] = g
-            parts.append(g)
-        flat, where = np.unique(np.concatenate(parts), return_inverse=True)
-        return flat, np.bincount(where, np.repeat(times, [len(p) for p in parts])).astype(np.int64)
-
-    def top(self, text: str, ranks: int) -> np.ndarray:
-        """The most frequent n-grams, most frequent first; ties by the n-gram."""
-        grams, n = self.count(text)
-        if len(grams) > 4 * ranks:  # leave out what is surely below
-            keep = n >= np.partition(n, len(n) - ranks)[len(n) - ranks]
-            grams, n = grams[keep], n[keep]
-        return grams[np.lexsort((grams, -n))[:ranks]]
+def top_grams(text: str, ranks: int) -> np.ndarray:
+    """The most frequent n-grams, most frequent first; ties by the n-gram."""
+    grams, n = count_grams(text)
+    if len(grams) > 2 * ranks:  # leave out what is surely below
+        keep = n >= np.partition(n, len(n) - ranks)[len(n) - ranks]
+        grams, n = grams[keep], n[keep]
+    return grams[np.lexsort((grams, -n))[:ranks]]
 
 
 @dataclass
@@ -95,11 +78,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
-        grams = Grams()
         for batch in source:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = held.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in grams.count(text)), strict=True):
+                for g, n in zip(*(x.tolist() for x in count_grams(text)), strict=True):
                     own[g] = own.get(g, 0) + n
         for lang, own in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
@@ -121,11 +103,10 @@ def identifier(profiles: Profiles):
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams = Grams()
         for texts in batches:
             out = []
             for text in texts:
-                top = grams.top(text or "", profiles.ranks)
+                top = top_grams(text or "", profiles.ranks)
                 if not len(top) or not profiles.langs:
                     out.append(("und", 0.0))
                     continue
