@@ -74,6 +74,8 @@ def check_pattern(spark: SparkSession, pattern: str) -> str | None:
 
 def finds(text: Column, patterns: list[str]) -> Column:
     """Whether some pattern matches anywhere."""
+    if len(patterns) > 1 and not any(re.search(r"\(\?[a-zA-Z-]+\)|\(\?P?<", p) for p in patterns):
+        patterns = ["|".join(f"(?:{p})" for p in patterns)]  # one search will do
     out = F.lit(False)
     for p in patterns:
         out = out | text.rlike(FLAGS + java_pattern(p))

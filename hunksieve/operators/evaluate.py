@@ -136,6 +136,33 @@ def candidate(rule: Rule) -> Column:
     return F.coalesce(mask, "content") if mask else F.col("content")
 
 
+MASKS = ("no_comments", "no_strings", "no_both")
+
+
+def placed(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Events with the place and text of their match, where they don't have them yet.
+
+    Which rules match is told line by line with literal patterns; where they match is worked out here for matches
+    alone, with the patterns looked up by rule. The pattern that counts is the first in the rule's list that matches.
+    """
+    def by_rule(values) -> Column:
+        return F.get(F.array(*values), F.col("rule_idx"))
+
+    def texts(shape: str) -> Column:
+        return by_rule(F.array(*(F.lit(FLAGS + shape.replace("@", java_pattern(p))) for p in r.patterns)) for r in rules)
+
+    content = F.col("content")
+    seen = F.get(F.array(content, *(F.coalesce(c, content) for c in MASKS)), by_rule(F.lit((1 if r.ignore_comments else 0) + (2 if r.ignore_strings else 0)) for r in rules))
+    rows = events.withColumns({"_seen": seen, "_tests": texts("@")})
+    first = F.array_position(F.transform("_tests", lambda p: F.rlike("_seen", p)), True).cast("int")
+    rows = rows.withColumn("_first", F.when(F.col("match_text").isNull(), first))
+    own = lambda shape: F.call_function("regexp_extract", F.col("_seen"), F.get(texts(shape), F.col("_first") - 1), F.lit(1))
+    start = F.when(F.col("_first").isNotNull(), F.length(own(r"\A((?s:.*?))(?:@)"))).otherwise(F.col("start"))
+    rows = rows.withColumn("start", start)
+    text = F.when(F.col("_first").isNotNull(), F.substr(content, F.col("start") + 1, F.length(own(r"\A(?s:.*?)(@)")))).otherwise(F.col("match_text"))
+    return rows.withColumn("match_text", text).drop("_seen", "_tests", "_first", *MASKS)
+
+
 def applicable(paths: DataFrame, rules: list[Rule], language: str | None = None, overrides: list[dict] | None = None) -> DataFrame:
     """(path, severities): for each distinct path the severity of each rule there, null where it doesn't apply."""
     lang = F.lit(language.lower()) if language else language_of(F.col("path"))
@@ -192,16 +219,18 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
             hit = base.isNotNull() & (F.size(ahead) >= 2) & before.isNotNull() & target["fits"]
             found, where = event(at, raw, target), hit
         else:
-            before, length = first_match(text, list(r.patterns))
             where = base.isNotNull() & finds(text, list(r.patterns)) & fits
-            found = event(before, F.substr(F.col("content"), before + 1, length))
+            found = event(F.lit(None), F.lit(None))
         if r.match_mode == "absent":
             rows = rows.withColumn(f"met{i}", F.max(F.coalesce(where, F.lit(False)).cast("int")).over(Window.partitionBy(*FILE)))
             where = base.isNotNull() & (F.col("pos") == 1) & (F.col(f"met{i}") == 0)
             found = event(F.lit(None), F.lit("<absent>"))
         (later if r.multiline and r.match_mode != "absent" else plain).append(F.when(where, found))
 
-    events = rows.select(*FILE, F.inline(F.array_compact(F.array(*plain, *later)))) if rules else rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")))
+    if not rules:
+        events = rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")))
+    else:
+        events = placed(rows.select(*FILE, *(F.col(c) for c in MASKS), F.inline(F.array_compact(F.array(*plain, *later)))), rules)
     if later:  # several windows see one match
         events = events.dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"])
     if any(deps.values()):
