@@ -58,7 +58,9 @@ def find_contamination(
 
     holds = F.filter(F.coalesce("spans", F.array()), lambda s: F.array_join(F.slice(F.col("w"), s["start"] + 1, s["len"]), " ") == s["win"])
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    found = rows.join(spans, "key", "left").select("doc_id", "key", "w", holds.alias("hits"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = texts.join(spans, "key", "left").select("doc_id", "key", words(F.col("text")).alias("w"), "spans")  # the texts are smaller than their words
+    found = found.select("doc_id", "key", "w", holds.alias("hits"))
     found = cut(found.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.size(hit).cast("long").alias("n_hit"), F.array_distinct(F.col("hits.win")).alias("wins")))
 
     by_item = found.where(F.size("wins") > 0).select("key", F.explode("wins").alias("win")).join(items, "win")
