@@ -161,9 +161,10 @@ def find_repeats(docs: DataFrame, width: int, same: list[str]) -> DataFrame:
     """Coordinates `same` of documents with `spans`: array of start and length, packed. docs: (d, k, text), rows distinct."""
     found = find_runs(docs, width).select(*same, "m", "sn", "r")
     within = (F.shiftright("sn", RUN_BITS) % 2).cast("int")
-    often = found.groupBy("m").agg(F.sum(1 + within).alias("n")).where("n > 1").select("m")
+    # What is joined back is written first: Spark then deals both sides out anew and can split a frequent key.
+    often = cut(found.groupBy("m").agg(F.sum(1 + within).alias("n")).where("n > 1").select("m"))
     runs = cut(found.join(often, "m"))
-    paths = runs.groupBy("m").agg(F.min(F.struct(*same, "sn")).alias("first"), ((F.min("r") == F.max("r")) & (F.max(within) == 0)).alias("alike"))
+    paths = cut(runs.groupBy("m").agg(F.min(F.struct(*same, "sn")).alias("first"), ((F.min("r") == F.max("r")) & (F.max(within) == 0)).alias("alike")))
     # A path met once after all (a run whose window may recur inside) is taken apart like a branching one.
     placed = cut(runs.join(paths, "m").where(~F.col("alike") | (F.struct(*same, "sn") != F.col("first"))).select(*same, "sn", "alike"))
     start = F.shiftright("sn", RUN_BITS + 1)
@@ -172,7 +173,7 @@ def find_repeats(docs: DataFrame, width: int, same: list[str]) -> DataFrame:
 
     branches = placed.where(~F.col("alike")).groupBy(*same).agg(F.collect_list("sn").alias("runs"))
     edges = cut(windows_in_runs(on_document(docs, branches, same, "inner").select("d", "k", "text", "runs"), width).select("h1", "h2", *same, "p"))
-    first = edges.groupBy("h1", "h2").agg(F.min(F.struct(*same, "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = cut(edges.groupBy("h1", "h2").agg(F.min(F.struct(*same, "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = edges.join(first, ["h1", "h2"]).where(F.struct(*same, "p") != F.col("first")).select(*same, span(F.col("p"), F.lit(width)).alias("span"))
     return whole.unionByName(later).groupBy(*same).agg(F.collect_list("span").alias("spans"))
 
