@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Windows open in a partition; partitions whose leftovers are merged together; words a worker remembers.
-OPEN, MERGED, REMEMBERED = 64, 32, 300_000
+OPEN, MERGED, REMEMBERED = 64, 8, 300_000
 #: Texts of these characters alone are split into words here; others go to the library whole.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įıĴ-ňŊ-ž]*")
 #: Fixed value: the word pattern of this vocabulary, over PLAIN.
