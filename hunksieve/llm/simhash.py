@@ -196,14 +196,50 @@ def find_links(classes: DataFrame, distance: int = 3, parts: int | None = None)
     fps = classes.select("fp")
     there = fps.mapInArrow(index, "part long, x long")
     asked = fps.mapInArrow(probe, "part long, q long")
-    met = asked.join(there, (asked["part"] == there["part"]) & (F.col("q") != F.col("x")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("x"))) <= distance))
-    return met.select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct()
+    met = asked.join(there, (asked["part"] == there["part"]) & (F.col("q") < F.col("x")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("x"))) <= distance))
+    return met.select(F.col("q").alias("a"), F.col("x").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; of all words together, if there are fewer."""
+    words = (text or "").encode("utf-8", "replace").translate(FOLD).split()
+    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype="<u8"))
+
+
+@F.pandas_udf(T.DoubleType())
+def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in batches:
+        out = []
+        for a, b in zip(left, right, strict=True):
+            a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both / (len(a) + len(b) - both))
+        yield pd.Series(out, dtype="float64")
+
+
+def verify_links(links: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """The links whose classes' first documents have shingle sets of Jaccard similarity `least` or more."""
+
+    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for lo in range(0, batch.num_rows, 256):
+                fps, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], names=["fp", "set"])
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    first = classes.join(ends, "fp").select("fp", F.col("first.key").alias("_first"))
+    texts = docs.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).join(first, F.col("_key") == F.col("_first"))
+    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]))
+    left, right = (held.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
+    return links.join(left, "a").join(right, "b").where(jaccard("set_a", "set_b") >= least).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row for each row of `docs`: doc_id, key (`row_key`), fp (long), component_id, keep (key of the row that stays).
 
-    Equal fingerprints are one class, so copies are never paired; links are found between classes only, of which each
+    Links stand at `distance` or fewer bits. With `reach`, those beyond it, up to so many bits, stand if the Jaccard
+    similarity of the word shingles (`shingle` words) is `similarity` or more. Equal fingerprints are one class, so copies are never paired; links are found between classes only, of which each
     has boundedly many neighbours, and joined to components. component_id is the smallest id in the component; null
     ids count as the largest. Texts without words have fingerprint zero, which is linked like any other. Repeated rows
     share key, fingerprint and component. The table may be empty; its other columns don't matter.
@@ -211,18 +247,23 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), fingerprint(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     classes = cut(rows.groupBy("fp").agg(first))
-    roots = connected_components(find_links(classes, distance))
+    links = find_links(classes, distance if reach is None else max(reach, distance))
+    if reach is not None and reach > distance:
+        links = cut(links)
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+        links = links.where(near).unionByName(verify_links(links.where(~near), classes, docs, similarity, shingle, id_col, text_col))
+    roots = connected_components(links)
     member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     leaders = member.groupBy("root").agg(F.min("first").alias("least"))
     member = member.join(leaders, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keep"))
     return rows.join(member, "fp").select("doc_id", "key", "fp", "component_id", "keep")
 
 
-def keep_one(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """The rows of `docs` that stay: of each component the one of the smallest id (of repeated rows one), columns unchanged."""
     from pyspark.sql import Window
 
-    stay = near_duplicates(docs, distance, id_col, text_col).select(F.col("keep").alias("_keep")).distinct()
+    stay = near_duplicates(docs, distance, id_col, text_col, reach).select(F.col("keep").alias("_keep")).distinct()
     rows = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, F.col("_key") == F.col("_keep"), "left_semi")
     once = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return rows.withColumn("_once", once).where("_once = 1").drop("_once", "_key")
