@@ -18,8 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the document of the smallest id in each group of near-duplicates.
+
+    Fingerprints link at three bits; at four and five the texts' shingles must be alike as well.
+    """
+    return simhash.keep_one(docs, distance=3, reach=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
