@@ -227,3 +227,17 @@ OVERRIDDEN = [Rule("o.of", "warn", "", patterns=("of the",)), Rule("o.to", "info
 SEVERITY = {"o.of": "CASE WHEN path LIKE 'src1/%' THEN 'error' ELSE 'info' END"}
 for name, where, severity in (("severity", {}, SEVERITY), ("disable", {"o.of": "path NOT LIKE 'src1/en/%'"}, SEVERITY), ("exclude", {"o.to": "NOT (path LIKE 'src2/en/%' OR (path LIKE 'src2/%' AND path LIKE '%.py'))"}, {})):
     ORACLES[f"dir_override_{name}"] = f"WITH {L1}, {events(OVERRIDDEN, where=where, severity=severity)} SELECT path, line, rule_id, severity FROM events"
+
+#: Integers are BIGINT on both sides.
+NARROW = {
+    "verdict_counts": ["suppressed"],
+    "exit_code_matrix": ["code", "baseline_code"],
+    "check_summary": ["suppressed", "exit_code"],
+    "rule_hits": ["suppressed"],
+    "rule_hits_with_fp": ["suppressed"],
+    "baseline_exit": ["code"],
+    "rule_self_test": ["n"],
+    "diff_special_headers": ["line"],
+}
+for name, columns in NARROW.items():
+    ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in columns)}) FROM ({ORACLES[name]})"

@@ -425,3 +425,16 @@ QUERIES |= {
     "dir_override_disable": _overridden(*DIRECTORY_RULES[:3]),
     "dir_override_exclude": _overridden(*DIRECTORY_RULES[3:]),
 }
+
+
+def _wide(query):
+    """The query with its integers as longs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
+
+    return run
+
+
+QUERIES = {name: _wide(query) for name, query in QUERIES.items()}
