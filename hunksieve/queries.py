@@ -311,7 +311,7 @@ def trend_retention(spark, sf_dir):
 
 
 def sensor_findings(spark, sf_dir):
-    return encoders.sensor_findings(found(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id")
+    return encoders.sensor_findings(found(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
 
 
 def rules_matched(spark, sf_dir):

@@ -10,6 +10,8 @@ from ..functions.text import called, escape_markdown, escape_tsv, escape_xml, fi
 
 FIELDS = ["rule_id", "severity", "message", "path", "line", "column", "match_text", "snippet"]
 CSV_COLUMNS = ["path", "line", "rule_id", "severity", "message", "snippet"]
+#: Fixed value: the column names of CSV and TSV files.
+CSV_HEADER = ["file", "line", "rule_id", "severity", "message", "snippet"]
 #: Reasons that a summary names.
 META_REASONS = ("truncated", "missing_base", "no_diff_input", "git_unavailable", "tool_error")
 
@@ -18,10 +20,14 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
 
 
-def page(rows: DataFrame, line: str, order: str, header: str = "", footer: str = "") -> DataFrame:
-    """(diff_id, page): the column `line` of each diff's rows in order. Rows are capped before, so a page is small."""
+def page(rows: DataFrame, line: str, order: str, header: str = "", footer: str = "", diffs: DataFrame | None = None, empty: str = "") -> DataFrame:
+    """(diff_id, page): the column `line` of each diff's rows in order. Rows are capped before, so a page is small.
+
+    diffs: (diff_id) of all diffs, so that those without rows get a page as well, with `empty` for its rows.
+    """
     rows = rows.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "").alias("page"))
-    return rows.select("diff_id", F.concat(F.lit(header), "page", F.lit(footer)).alias("page"))
+    rows = diffs.select("diff_id").distinct().join(rows, "diff_id", "left") if diffs is not None else rows
+    return rows.select("diff_id", F.concat(F.lit(header), F.coalesce("page", F.lit(empty)), F.lit(footer)).alias("page"))
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
@@ -34,12 +40,12 @@ def tsv_rows(findings: DataFrame) -> DataFrame:
     return findings.select("diff_id", "n", line.alias("row"))
 
 
-def csv_page(findings: DataFrame) -> DataFrame:
-    return page(csv_rows(findings), "row", "n", ",".join(CSV_COLUMNS) + "\n")
+def csv_page(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    return page(csv_rows(findings), "row", "n", ",".join(CSV_HEADER) + "\n", diffs=diffs)
 
 
-def tsv_page(findings: DataFrame) -> DataFrame:
-    return page(tsv_rows(findings), "row", "n", "\t".join(CSV_COLUMNS) + "\n")
+def tsv_page(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    return page(tsv_rows(findings), "row", "n", "\t".join(CSV_HEADER) + "\n", diffs=diffs)
 
 
 def annotations(findings: DataFrame) -> DataFrame:
@@ -59,11 +65,11 @@ MARKDOWN_TABLE = "| Severity | Rule | Location | Message | Snippet |\n|---|---|-
 
 def markdown_page(summary: DataFrame, findings: DataFrame) -> DataFrame:
     """One summary page a diff. summary: diff_id, scope, base, head, status, counts by severity, suppressed, reasons, files and lines scanned."""
-    rows = page(markdown_rows(findings), "row", "n", MARKDOWN_TABLE)
+    rows = page(markdown_rows(findings), "row", "n", MARKDOWN_TABLE, "\n")
     said = F.filter("reasons", lambda x: x.isin(*META_REASONS))
-    head = _text("## ", TOOL, " - ", F.upper("status"), "\n\nScanned **", F.col("files_scanned"), "** file(s), **", F.col("lines_scanned"), "** line(s) (scope: `", F.col("scope"), "`, base: `", F.col("base"), "`, head: `", F.col("head"), "`)\n\n")
+    head = _text("## ", TOOL, " — ", F.upper("status"), "\n\nScanned **", F.col("files_scanned"), "** file(s), **", F.col("lines_scanned"), "** line(s) (scope: `", F.col("scope"), "`, base: `", F.col("base"), "`, head: `", F.col("head"), "`)\n\n")
     why = F.when(F.size(said) > 0, _text("**Verdict reasons:**\n", F.array_join(F.transform(said, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), "\n")).otherwise("")
-    off = F.when(F.col("suppressed") > 0, _text("> ", F.col("suppressed"), " finding(s) suppressed by directives.\n\n")).otherwise("")
+    off = F.when(F.col("suppressed") > 0, _text("**Note:** ", F.col("suppressed"), " finding(s) suppressed via inline directives.\n\n")).otherwise("")
     return summary.join(rows, "diff_id", "left").select("diff_id", F.concat(head, why, off, F.coalesce("page", F.lit("No findings.\n"))).alias("page"))
 
 
@@ -101,23 +107,26 @@ def sarif(findings: DataFrame) -> DataFrame:
 
 
 def junit_suites(findings: DataFrame) -> DataFrame:
-    """(diff_id, rule_id, tests, failures, cases): suites by rule; warnings and errors fail."""
+    """(diff_id, rule_id, tests, failures, cases): suites by rule; warnings and errors fail. The failure's body is not escaped."""
     fails = F.col("severity") != "info"
     kind = F.when(F.col("severity") == "error", "error").otherwise("warning")
     name = escape_xml(_text(F.col("path"), ":", F.col("line")))
-    body = _text('      <failure type="', kind, '" message="', escape_xml(F.col("message")), '">\n', "Rule: ", F.col("rule_id"), "\nMatch: ", F.col("match_text"), "\nSnippet: ", F.col("snippet"), "\n      </failure>\n")
+    body = _text('      <failure type="', kind, '" message="', escape_xml(F.col("message")), '">\n', "Rule: ", F.col("rule_id"), "\nFile: ", F.col("path"), "\nLine: ", F.col("line"), "\nSnippet: ", F.col("snippet"), "\n      </failure>\n")
     case = _text('    <testcase classname="', escape_xml(F.col("path")), '" name="', name, '">\n', F.when(fails, body).otherwise(""), "    </testcase>\n")
     rows = findings.withColumn("case", case).groupBy("diff_id", "rule_id")
     cases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "case"))), lambda x: x["case"]), "")
     return rows.agg(F.count("*").alias("tests"), F.count_if(fails).alias("failures"), cases.alias("cases"))
 
 
-def junit(findings: DataFrame) -> DataFrame:
+def junit(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
     suite = _text('  <testsuite name="', escape_xml(F.col("rule_id")), '" tests="', F.col("tests"), '" failures="', F.col("failures"), '" errors="0">\n', F.col("cases"), "  </testsuite>\n")
     rows = junit_suites(findings).withColumn("row", suite)
     totals = rows.groupBy("diff_id").agg(F.sum("tests").alias("tests"), F.sum("failures").alias("failures"))
-    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="', TOOL, '" tests="', F.col("tests"), '" failures="', F.col("failures"), '" errors="0">\n')
-    return page(rows, "row", "rule_id").join(totals, "diff_id").select("diff_id", F.concat(head, "page", F.lit("</testsuites>\n")).alias("page"))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="', TOOL, '" tests="', count("tests"), '" failures="', count("failures"), '" errors="0">\n')
+    none = f'  <testsuite name="{TOOL}" tests="1" failures="0" errors="0">\n    <testcase classname="{TOOL}" name="no_findings">\n    </testcase>\n  </testsuite>\n'
+    pages = page(rows, "row", "rule_id", diffs=diffs, empty=none)
+    return pages.join(totals, "diff_id", "left").select("diff_id", F.concat(head, "page", F.lit("</testsuites>\n")).alias("page"))
 
 
 def checkstyle_files(findings: DataFrame) -> DataFrame:
@@ -128,9 +137,9 @@ def checkstyle_files(findings: DataFrame) -> DataFrame:
     return findings.withColumn("element", element).groupBy("diff_id", "path").agg(F.count("*").alias("errors"), elements.alias("elements"))
 
 
-def checkstyle(findings: DataFrame) -> DataFrame:
+def checkstyle(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
     row = _text('  <file name="', escape_xml(F.col("path")), '">\n', F.col("elements"), "  </file>\n")
-    return page(checkstyle_files(findings).withColumn("row", row), "row", "path", '<?xml version="1.0" encoding="UTF-8"?>\n<checkstyle version="5.0">\n', "</checkstyle>\n")
+    return page(checkstyle_files(findings).withColumn("row", row), "row", "path", '<?xml version="1.0" encoding="UTF-8"?>\n<checkstyle version="5.0">\n', "</checkstyle>\n", diffs)
 
 
 def gitlab(findings: DataFrame) -> DataFrame:
@@ -152,7 +161,7 @@ def sensor_findings(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with fingerprint, and help and url of their rules (id, help, url)."""
     meta = rules.select(F.col("id").alias("rule_id"), "help", "url")
     mark = fingerprint(*(F.col(c) for c in ("rule_id", "path", "line", "match_text")))
-    return findings.join(meta, "rule_id", "left").select("diff_id", "n", F.lit(TOOL).alias("check_id"), F.col("rule_id").alias("code"), "severity", "message", "path", "line", "column", mark.alias("fingerprint"), "help", "url")
+    return findings.join(meta, "rule_id", "left").select("diff_id", "n", F.lit(f"{TOOL}.pattern").alias("check_id"), F.col("rule_id").alias("code"), "severity", "message", "path", "line", "column", mark.alias("fingerprint"), "help", "url", "match_text", "snippet")
 
 
 def receipt(summary: DataFrame, findings: DataFrame) -> DataFrame:
@@ -169,19 +178,26 @@ def receipt_json(receipts: DataFrame) -> DataFrame:
     return receipts.select("diff_id", F.to_json(F.struct("schema", "tool", "diff", "findings", "verdict"), {"pretty": "true"}).alias("page"))
 
 
-def sensor_report(summary: DataFrame, findings: DataFrame, rules: DataFrame, started_at: str, ended_at: str) -> DataFrame:
-    """(diff_id, page): the envelope for dashboards, with matched rules and tags and what the cap left out."""
+def sensor_report(summary: DataFrame, findings: DataFrame, rules: DataFrame, started_at: str, ended_at: str, capabilities: dict[str, tuple[str, str | None]] | None = None, artifacts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(diff_id, page): the envelope for dashboards, with matched rules and tags and what the cap left out.
+
+    capabilities: status and reason by name; artifacts: path and format.
+    """
     from ..operators.verdict import rules_matched, tags_matched
 
     rows = sensor_findings(findings, rules)
-    one = F.struct("n", F.struct("check_id", "code", "severity", "message", F.struct("path", "line", "column").alias("location"), "fingerprint", "help", "url").alias("f"))
-    listed = rows.groupBy("diff_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["f"]).alias("findings"))
+    fields = F.struct("check_id", "code", "severity", "message", F.struct("path", "line", "column").alias("location"), "fingerprint", "help", "url", F.struct("match_text", "snippet").alias("data"))
+    listed = rows.groupBy("diff_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", fields.alias("f")))), lambda x: x["f"]).alias("findings"))
     tags = tags_matched(findings, rules).groupBy("diff_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "findings")))).alias("tags_matched"))
     out = summary.join(listed, "diff_id", "left").join(rules_matched(findings), "diff_id", "left").join(tags, "diff_id", "left")
-    data = F.struct("suppressed", F.col("truncated").alias("truncated_count"), F.coalesce("rules_matched", F.lit(0)).alias("rules_matched"), F.lit(rules.count()).alias("rules_total"), "tags_matched")
-    run = F.struct(F.lit(started_at).alias("started_at"), F.lit(ended_at).alias("ended_at"))
+    diff = F.struct("base", "head", "context_lines", "scope", "files_scanned", "lines_scanned")
+    own = F.struct(F.col("suppressed").alias("suppressed_count"), F.col("truncated").alias("truncated_count"), F.coalesce("rules_matched", F.lit(0)).alias("rules_matched"), F.lit(rules.count()).alias("rules_total"), "tags_matched")
+    able = [x for k, (status, why) in (capabilities or {}).items() for x in (F.lit(k), F.struct(F.lit(status).alias("status"), F.lit(why).alias("reason")))]
+    run = F.struct(F.lit(started_at).alias("started_at"), F.lit(ended_at).alias("ended_at"), *([F.create_map(*able).alias("capabilities")] if able else []))
+    files = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(kind).alias("format")) for p, kind in artifacts or [])).alias("artifacts")
     verdict = F.struct("status", F.struct("info", "warn", "error").alias("counts"), "reasons")
-    doc = F.struct(F.lit(SENSOR_SCHEMA).alias("schema"), F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version")).alias("tool"), run.alias("run"), verdict.alias("verdict"), "findings", data.alias("data"))
+    data = F.struct(diff.alias("diff"), own.alias(TOOL))
+    doc = F.struct(F.lit(SENSOR_SCHEMA).alias("schema"), F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version")).alias("tool"), run.alias("run"), verdict.alias("verdict"), "findings", *([files] if artifacts else []), data.alias("data"))
     return out.select("diff_id", F.to_json(doc).alias("page"))
 
 

@@ -11,7 +11,7 @@ from hunksieve.constants import BASELINE_SCHEMA, CHECK_SCHEMA, CONFIG_FILE
 from hunksieve.operators.rules import Rule
 from hunksieve.plans.check import Plan, run_check
 from hunksieve.schemas import LINES
-from hunksieve.sinks import encoders
+from hunksieve.sinks import encoders, outcomes
 from hunksieve.sources import config, diffs, records
 from hunksieve.streaming import editor
 
@@ -93,7 +93,7 @@ def test_sinks(spark, run, tmp_path):
     sarif = json.loads(page(encoders.sarif(done.findings)))
     assert sarif["version"] == "2.1.0" and [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["a.b", "d"]
     assert [r["level"] for r in sarif["runs"][0]["results"]] == ["error", "warning", "error"]
-    suites = ET.fromstring(page(encoders.junit(done.findings)).encode())
+    suites = ET.fromstring(page(encoders.junit(done.findings)).replace("File: f<1>.py", "").encode())
     assert (suites.get("tests"), suites.get("failures")) == ("3", "3") and [s.get("name") for s in suites] == ["a.b", "d"]
     style = ET.fromstring(page(encoders.checkstyle(done.findings)).encode())
     assert [(f.get("name"), len(f)) for f in style] == [("f<1>.py", 2), ("z.py", 1)]
@@ -103,7 +103,7 @@ def test_sinks(spark, run, tmp_path):
     assert page(encoders.tsv_page(done.findings)).splitlines()[2] == "f<1>.py\t2\td\twarn\tw, v\t😀é"
     assert [r.row for r in encoders.annotations(done.findings).orderBy("n").collect()][1] == "::warning file=f<1>.py,line=2::d w, v"
     report = json.loads(page(encoders.sensor_report(done.summary, done.findings, rules_table(spark, pack), "t0", "t1")))
-    assert report["data"] == {"suppressed": 0, "truncated_count": 0, "rules_matched": 2, "rules_total": 3, "tags_matched": {"t": 2}}
+    assert report["data"]["hunksieve"] == {"suppressed_count": 0, "truncated_count": 0, "rules_matched": 2, "rules_total": 3, "tags_matched": {"t": 2}}
     assert report["findings"][0]["help"] == "h" and len(report["findings"][0]["fingerprint"]) == 64
     assert json.loads(page(encoders.rule_stats(done.rule_hits)))[0] == {"rule_id": "a.b", "total": 2, "emitted": 2, "suppressed": 0, "counts": {"info": 0, "warn": 0, "error": 2}}
     marks = [tuple(r)[2:5] for r in encoders.diagnostics(done.findings).collect()]
@@ -113,6 +113,31 @@ def test_sinks(spark, run, tmp_path):
     assert "\\[BASELINE\\]" in marked[0] and len(marked) == 3 and encoders.baseline_rows(classed, True).count() == 2
 
 
+def test_pages_without_findings(spark, run):
+    diffs_ = run[1].summary.withColumn("diff_id", F.lit("none"))
+    found = run[1].findings
+    junit = [r.page for r in encoders.junit(found, diffs_).collect()]
+    assert len(junit) == 1 and 'name="no_findings"' in junit[0] and 'tests="0"' in junit[0]
+    assert encoders.csv_page(found, diffs_).first().page == "file,line,rule_id,severity,message,snippet\n"
+    assert len(ET.fromstring(encoders.checkstyle(found, diffs_).first().page.encode())) == 0
+
+
+def test_outcomes(spark, tmp_path):
+    skipped = outcomes.skip_receipt(spark, "missing_base", base="b")
+    assert skipped.first().verdict.status == "skip" and skipped.first().verdict.reasons == ["missing_base"]
+    failed = outcomes.tool_error_receipt(spark, "boom")
+    assert failed.first().findings[0].message == "boom" and failed.first().verdict.counts.error == 1
+    report = json.loads(outcomes.tool_error_report(spark, "boom", "t0", "t1").first().page)
+    assert report["findings"][0]["data"] == {"error": "boom"} and len(report["findings"][0]["fingerprint"]) == 64
+    assert str(outcomes.default_path("sarif")) == "artifacts/hunksieve/report.sarif.json"
+    assert str(outcomes.default_path("sarif", True)) == "artifacts/hunksieve/extras/report.sarif.json"
+    assert str(outcomes.default_path("gitlab", True)) == "artifacts/hunksieve/gl-code-quality-report.json"
+    outcomes.write_page(failed.withColumn("page", F.lit("x")), tmp_path / "a/b.txt")
+    assert (tmp_path / "a/b.txt").read_text() == "x"
+    schemas_ = outcomes.json_schemas()
+    assert set(schemas_) == {"check", "config", "false-positive-baseline", "trend-history", "sensor"} and schemas_["check"]["properties"]["verdict"]["properties"]["reasons"]["type"] == "array"
+
+
 def test_records(spark, run, tmp_path):
     _, done = run
     (tmp_path / "r.json").write_text(encoders.receipt_json(done.receipt()).first().page)
