@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, licenses, packing, sharding, simhash, substring_dedup, tokencount, toxicity
+from . import decontaminate, fingerprints, langid, license_passages, licenses, packing, sharding, simhash, substring_dedup, tokencount, toxicity
 from .common import in_bucket, text_bytes
 
 
@@ -58,6 +58,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "line", "n_passages")
 
 
+def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole licence texts and notices over any lines; no SQL."""
+    found = license_passages.find_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", F.round("dice", 6).alias("dice"), "word", "n_words", "licenses")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", text_bytes().alias("n_bytes"), "n_tokens", "over_limit")
@@ -79,6 +85,7 @@ QUERIES = {
         op6_language_id,
         op7_toxicity,
         op8_license_scan,
+        op8_license_passages,
         op9_token_counts,
         op10_decontamination,
     )
