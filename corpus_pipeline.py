@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hunksieve.llm import decontaminate, packing, simhash, substring_dedup, toxicity
+from hunksieve.llm import decontaminate, near_copies, packing, substring_dedup, toxicity
 from hunksieve.llm.common import shared_dir
 from hunksieve.llm.queries import table
 
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id in each group of near-duplicates.
 
-    Fingerprints link at three bits; at four and five the texts' shingles must be alike as well.
+    Fingerprints link at three bits, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    return simhash.keep_one(docs, distance=3, reach=5)
+    return near_copies.keep_one(docs, distance=3, similarity=0.8)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

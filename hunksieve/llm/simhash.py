@@ -235,6 +235,15 @@ def verify_links(links: DataFrame, classes: DataFrame, docs: DataFrame, least: f
     return links.join(left, "a").join(right, "b").where(jaccard("set_a", "set_b") >= least).select("a", "b")
 
 
+def member_rows(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with the component of their fingerprint, by its smallest id, and the key of the row that stays."""
+    roots = connected_components(links)
+    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    leaders = member.groupBy("root").agg(F.min("first").alias("least"))
+    member = member.join(leaders, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keep"))
+    return rows.join(member, "fp").select("doc_id", "key", "fp", "component_id", "keep")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row for each row of `docs`: doc_id, key (`row_key`), fp (long), component_id, keep (key of the row that stays).
 
@@ -252,11 +261,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
         links = cut(links)
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
         links = links.where(near).unionByName(verify_links(links.where(~near), classes, docs, similarity, shingle, id_col, text_col))
-    roots = connected_components(links)
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    leaders = member.groupBy("root").agg(F.min("first").alias("least"))
-    member = member.join(leaders, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keep"))
-    return rows.join(member, "fp").select("doc_id", "key", "fp", "component_id", "keep")
+    return member_rows(rows, classes, links)
 
 
 def keep_one(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
