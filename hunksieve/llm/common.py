@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,28 +14,40 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one where the session names none (tests)."""
+    """The checkpoint folder that all executors share; without one a temporary folder in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: it is computed once, and lost executors cost nothing.
 
     The shuffle files behind it aren't needed any more. Spark deletes them once the driver has collected the plan that
-    owns them, which is asked for here: they would fill the disks long before a large driver heap does.
+    owns them, which is asked for here: they would fill the disks long before a large driver heap does. The folders of
+    the written tables `instead_of`, which nothing else reads, are deleted.
     """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    for old in instead_of:
+        where = spark._jvm.org.apache.hadoop.fs.Path(old.cut_path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Long key of a row by id and text; rows that repeat both share it, which gives them equal results."""
-    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
+    """Key of a row, as text: its id and a 128-bit hash of its text. Rows that repeat both share it and get equal results."""
+    own, text = F.col(id_col).cast("string"), F.col(text_col)
+    digest = F.concat_ws(":", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
+    return F.concat(F.coalesce(F.concat(own, F.lit(":")), F.lit("?")), F.when(text.isNull(), "").otherwise(digest))
 
 
 def text_bytes(text_col: str = "text") -> Column:

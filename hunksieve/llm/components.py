@@ -16,14 +16,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    if not state[0]:
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = cut(small.distinct())
+        pairs = cut(small.distinct(), [pairs])
         before, state = state, pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def merge_roots(member: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """`member` (node, root) with the roots joined that `edges` (a, b: nodes) connect; the smaller root stands for both."""
+    ends = edges.join(member.select(F.col(node).alias("a"), F.col("root").alias("_a")), "a").join(member.select(F.col(node).alias("b"), F.col("root").alias("_b")), "b")
+    roots = connected_components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return cut(member.join(roots, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))

@@ -107,4 +107,4 @@ def find_passages(docs: DataFrame, rows: list[tuple[str, str]] | None = None, le
 
     texts = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(scan, f"doc_id {kind}, key long, license string, dice double, word long, n_words long, licenses string")
+    return texts.mapInArrow(scan, f"doc_id {kind}, key string, license string, dice double, word long, n_words long, licenses string")

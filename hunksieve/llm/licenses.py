@@ -43,7 +43,7 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> D
 
 
 def scan_licenses(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct id and text: doc_id, key, license and dice of the best passage, its line (from 0), n_passages.
+    """One row for each row of `docs` (repeated rows get equal results): doc_id, key, license and dice of the best passage, its line (from 0), n_passages.
 
     Passages are lines. A line meets a template only where its size allows `least`: between size * least / (2 - least)
     and its inverse. Of equal coefficients the smaller template number, then the earlier line wins; without a match
@@ -61,6 +61,6 @@ def scan_licenses(docs: DataFrame, rows: list[tuple[str, str]] = TEMPLATES, leas
     met = held.join(F.broadcast(grams), "gram").where((F.col("n") >= F.col("size") * ratio) & (F.col("n") <= F.col("size") / ratio))
     scored = met.groupBy("doc_id", "key", "line", "template", "license", "n", "size").agg(F.count("*").alias("shared")).withColumn("dice", 2.0 * F.col("shared") / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("dice")).alias("less"), "template", "line", "license")).alias("best"), F.count_distinct("line").alias("n_passages"))
-    all_rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key")).distinct()
+    all_rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"))
     out = all_rows.join(best, "key", "left")
     return out.select("doc_id", "key", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice"), F.col("best.line").cast("long").alias("line"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))

@@ -3,7 +3,9 @@
 Correlated bits are grouped into parts. For each fingerprint a dynamic program gives every part its own threshold, by
 the candidates that a histogram of the parts lets expect; the thresholds add up to `distance - parts + 1`, so a linked
 fingerprint must lie within the threshold in some part. Each fingerprint is indexed by its parts' values once and
-probes the values around its own; what meets is verified over all bits.
+probes the values around its own; what meets is verified over all bits. Fingerprints at two bits or fewer that meet in
+a common neighbour are joined to components before, and only what lies in different components is linked then: a
+dense group of near copies never makes its pairs.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, cut, row_key
-from .components import connected_components
+from .components import merge_roots
 
 BITS = 64
 #: Bits of a part that its histogram tells apart, and the probes made at a time.
@@ -164,8 +166,18 @@ def part_histogram(classes: DataFrame, parts: list[list[int]]) -> np.ndarray:
     return out
 
 
+def close_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): of all fingerprints that are at most one bit from a number, the least and the greatest. They differ in two bits at most."""
+    around = F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))")
+    ends = classes.select("fp", around.alias("z")).groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    return ends.where("a <> b").select("a", "b").distinct()
+
+
 def find_links(classes: DataFrame, distance: int = 3, parts: int | None = None) -> DataFrame:
-    """(a, b), a < b: the different fingerprints of `classes` (column fp, distinct) that differ in at most `distance` bits."""
+    """(a, b), a < b: fingerprints of different roots that differ in at most `distance` bits.
+
+    classes: fp, distinct, and root, that of a component found so far; without it each fingerprint is its own root.
+    """
     n = classes.count()
     cuts = group_bits(bit_pairs(classes), n, parts or choose_parts(n, distance))
     seen = part_histogram(classes, cuts)
@@ -175,11 +187,11 @@ def find_links(classes: DataFrame, distance: int = 3, parts: int | None = None)
         for batch in source:
             fps = _fps(batch)
             for i, part in enumerate(cuts):
-                yield pa.RecordBatch.from_arrays([pa.array(values(fps, part) | i << 40), pa.array(fps.view(np.int64))], names=["part", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(values(fps, part) | i << 40), pa.array(fps.view(np.int64)), batch.column(1)], names=["part", "x", "rx"])
 
     def probe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            fps = _fps(batch)
+            fps, roots = _fps(batch), batch.column(1).to_numpy(zero_copy_only=False)
             vals = [values(fps, part) for part in cuts]
             near = [seen[i][v & ((1 << BIN_BITS) - 1)] / 2 ** max(0, len(cuts[i]) - BIN_BITS) for i, v in enumerate(vals)]
             costs = [np.stack([probes(len(part), t) * (1 + near[i]) for t in range(distance + 1)], axis=1) for i, part in enumerate(cuts)]
@@ -191,84 +203,66 @@ def find_links(classes: DataFrame, distance: int = 3, parts: int | None = None)
                     for lo in range(0, len(rows), step):
                         r = rows[lo : lo + step]
                         key = (v[r][:, None] ^ around[None, :]).ravel() | i << 40
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(fps[r].view(np.int64), len(around)))], names=["part", "q"])
-
-    fps = classes.select("fp")
-    there = fps.mapInArrow(index, "part long, x long")
-    asked = fps.mapInArrow(probe, "part long, q long")
-    met = asked.join(there, (asked["part"] == there["part"]) & (F.col("q") < F.col("x")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("x"))) <= distance))
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c[r], len(around))) for c in (fps.view(np.int64), roots))], names=["part", "q", "rq"])
+
+    rooted = "root" in classes.columns
+    rows = classes.select("fp", F.col("root" if rooted else "fp").alias("root"))
+    there = rows.mapInArrow(index, "part long, x long, rx long")
+    asked = rows.mapInArrow(probe, "part long, q long, rq long")
+    if rooted:  # a part value of one component alone links nothing
+        both = there.select("part", F.col("rx").alias("r")).unionByName(asked.select("part", F.col("rq").alias("r")))
+        split = cut(both.groupBy("part").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("part"))
+        there, asked = cut(there.join(split, "part", "left_semi")), cut(asked.join(split, "part", "left_semi"))
+    apart = (F.col("rq") != F.col("rx")) & (F.col("q") < F.col("x"))
+    met = asked.join(there, (asked["part"] == there["part"]) & apart & (F.bit_count(F.col("q").bitwiseXOR(F.col("x"))) <= distance))
     return met.select(F.col("q").alias("a"), F.col("x").alias("b")).distinct()
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; of all words together, if there are fewer."""
-    words = (text or "").encode("utf-8", "replace").translate(FOLD).split()
-    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype="<u8"))
+def component_roots(classes: DataFrame, distance: int = 3, parts: int | None = None) -> DataFrame:
+    """(fp, root) for each of `classes` (fp, distinct): the component of links at `distance` or fewer bits."""
+    member = cut(classes.select("fp", F.col("fp").alias("root")))
+    if distance >= 2:
+        member = merge_roots(member, close_pairs(member), "fp")
+    return merge_roots(member, find_links(member, distance, parts), "fp")
+
 
+def member_rows(rows: DataFrame, classes: DataFrame, member: DataFrame) -> DataFrame:
+    """`rows` with the component of their fingerprint, by its smallest id, and the key of the row that stays."""
+    known = classes.join(member, "fp")
+    leaders = known.groupBy("root").agg(F.min("first").alias("least"))
+    known = known.join(leaders, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keep"))
+    return rows.join(known, "fp").select("doc_id", "key", "fp", "component_id", "keep")
 
-@F.pandas_udf(T.DoubleType())
-def jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both))
-        yield pd.Series(out, dtype="float64")
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(fp, first) for each fingerprint of `rows` (doc_id, key, fp); first: its row of the smallest id, null ids last."""
+    return cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
 
-def verify_links(links: DataFrame, classes: DataFrame, docs: DataFrame, least: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The links whose classes' first documents have shingle sets of Jaccard similarity `least` or more."""
 
-    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for lo in range(0, batch.num_rows, 256):
-                fps, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], names=["fp", "set"])
+def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `docs`: doc_id, key (`row_key`), fp (long), component_id, keep (key of the row that stays).
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    first = classes.join(ends, "fp").select("fp", F.col("first.key").alias("_first"))
-    texts = docs.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text")).join(first, F.col("_key") == F.col("_first"))
-    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"]))
-    left, right = (held.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    return links.join(left, "a").join(right, "b").where(jaccard("set_a", "set_b") >= least).select("a", "b")
+    Equal fingerprints are one class, so copies are never paired; classes link at `distance` or fewer bits and are
+    joined to components. component_id is the smallest id in the component; null ids count as the largest. Texts
+    without words have fingerprint zero, which is linked like any other. Repeated rows share key, fingerprint and
+    component. Long texts are read whole. The table may be empty; its other columns don't matter.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), fingerprint(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
+    classes = classes_of(rows)
+    return member_rows(rows, classes, component_roots(classes, distance))
 
 
-def member_rows(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """`rows` with the component of their fingerprint, by its smallest id, and the key of the row that stays."""
-    roots = connected_components(links)
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    leaders = member.groupBy("root").agg(F.min("first").alias("least"))
-    member = member.join(leaders, "root").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keep"))
-    return rows.join(member, "fp").select("doc_id", "key", "fp", "component_id", "keep")
+def rows_that_stay(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` whose key is a `keep` of `found`, of repeated rows one; columns and their names unchanged."""
+    stay = found.select(F.col("keep").alias("key")).distinct()
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rec")).join(stay, "key", "left_semi")
+    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.withColumn("once", once).where("once = 1").select("rec.*")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row for each row of `docs`: doc_id, key (`row_key`), fp (long), component_id, keep (key of the row that stays).
+def keep_one(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each component the one of the smallest id (of repeated rows one), columns unchanged.
 
-    Links stand at `distance` or fewer bits. With `reach`, those beyond it, up to so many bits, stand if the Jaccard
-    similarity of the word shingles (`shingle` words) is `similarity` or more. Equal fingerprints are one class, so copies are never paired; links are found between classes only, of which each
-    has boundedly many neighbours, and joined to components. component_id is the smallest id in the component; null
-    ids count as the largest. Texts without words have fingerprint zero, which is linked like any other. Repeated rows
-    share key, fingerprint and component. The table may be empty; its other columns don't matter.
+    Nulls, empty texts, ties, repeated rows and empty tables are as in `near_duplicates`.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), fingerprint(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    classes = cut(rows.groupBy("fp").agg(first))
-    links = find_links(classes, distance if reach is None else max(reach, distance))
-    if reach is not None and reach > distance:
-        links = cut(links)
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-        links = links.where(near).unionByName(verify_links(links.where(~near), classes, docs, similarity, shingle, id_col, text_col))
-    return member_rows(rows, classes, links)
-
-
-def keep_one(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
-    """The rows of `docs` that stay: of each component the one of the smallest id (of repeated rows one), columns unchanged."""
-    from pyspark.sql import Window
-
-    stay = near_duplicates(docs, distance, id_col, text_col, reach).select(F.col("keep").alias("_keep")).distinct()
-    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(stay, F.col("_key") == F.col("_keep"), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return rows.withColumn("_once", once).where("_once = 1").drop("_once", "_key")
+    return rows_that_stay(docs, near_duplicates(docs, distance, id_col, text_col), id_col, text_col)

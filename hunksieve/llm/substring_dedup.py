@@ -109,9 +109,9 @@ def find_runs(docs: DataFrame, width: int) -> DataFrame:
                         d += [i] * len(m)
                         k += [key] * len(m)
                 if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), *(_longs(np.concatenate(c)) for c in zip(*cols, strict=True))], names=["d", "k", "m", "sn", "r"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.string()), *(_longs(np.concatenate(c)) for c in zip(*cols, strict=True))], names=["d", "k", "m", "sn", "r"])
 
-    return docs.mapInArrow(run, "d long, k long, m long, sn long, r long")
+    return docs.mapInArrow(run, "d long, k string, m long, sn long, r long")
 
 
 def windows_in_runs(docs: DataFrame, width: int) -> DataFrame:
@@ -131,9 +131,9 @@ def windows_in_runs(docs: DataFrame, width: int) -> DataFrame:
                     k += [key] * len(at)
                 if cols:
                     h1, h2, at = (_longs(np.concatenate(c)) for c in zip(*cols, strict=True))
-                    yield pa.RecordBatch.from_arrays([h1, h2, pa.array(d, pa.int64()), pa.array(k, pa.int64()), at], names=["h1", "h2", "d", "k", "p"])
+                    yield pa.RecordBatch.from_arrays([h1, h2, pa.array(d, pa.int64()), pa.array(k, pa.string()), at], names=["h1", "h2", "d", "k", "p"])
 
-    return docs.mapInArrow(take_apart, "h1 long, h2 long, d long, k long, p long")
+    return docs.mapInArrow(take_apart, "h1 long, h2 long, d long, k string, p long")
 
 
 @F.pandas_udf(T.StructType().add("kept", "string").add("n_words", "long").add("n_removed", "long"))
@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
     same = ["d"] if ids[0] == ids[1] else ["d", "k"]
     names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    keyed = docs.select(*(F.col(c) for c in names), F.col(id_col).cast("long").alias("d"), (row_key(id_col, text_col) if len(same) > 1 else F.lit(0).cast("long")).alias("k"))
+    keyed = docs.select(*(F.col(c) for c in names), F.col(id_col).cast("long").alias("d"), (row_key(id_col, text_col) if len(same) > 1 else F.lit("")).alias("k"))
     texts = keyed.select("d", "k", F.col(text_col).alias("text"))
     spans = find_repeats(texts if len(same) == 1 else texts.distinct(), width, same)
     out = on_document(keyed, spans, same, "left").withColumn("_cut", without_spans(F.col(text_col), F.col("spans")))

@@ -92,31 +92,6 @@ def test_links_for_each_number_of_parts(spark):
     assert t.tolist() == [[2, 0]] or t.sum() == 2
 
 
-def test_verified_links(spark):
-    rng = random.Random(11)
-    base = [f"w{rng.randrange(500)}" for _ in range(200)]
-    docs = [(0, " ".join(base), "", "")]
-    for i in range(1, 60):
-        words = list(base)
-        for _ in range(rng.choice([0, 1, 2, 6, 20])):
-            words[rng.randrange(200)] = f"v{rng.randrange(900)}"
-        docs.append((i, " ".join(words), "", ""))
-    docs += [(100, "", "", ""), (101, None, "", ""), (102, "one two", "", ""), docs[0]]
-    fps = {d: simhash.fingerprint_of(t) for d, t, *_ in docs}
-    sets = {d: {" ".join((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t, *_ in docs}
-    reps = {f: min(d for d in fps if fps[d] == f) for f in fps.values()}
-    group = {d: reps[f] for d, f in fps.items()}
-    for _ in range(12):
-        for d in sets:
-            for e in sets:
-                a, b = sets[reps[fps[d]]], sets[reps[fps[e]]]
-                bits = bin(fps[d] ^ fps[e]).count("1")
-                if bits <= 2 or (bits <= 6 and len(a & b) / len(a | b) >= 0.8):
-                    group[d] = min(group[d], group[e])
-    out = simhash.near_duplicates(spark.createDataFrame(docs, DOCS), 2, reach=6).collect()
-    assert {r.doc_id: r.component_id for r in out} == group and len(out) == len(docs) and len(set(group.values())) > 5
-
-
 def brute_repeats(docs, width):
     seen, out = set(), []
     for d, t in sorted({(d, t) for d, t, *_ in docs}, key=lambda x: x[0]):

@@ -10,7 +10,7 @@ DOCS = "doc_id long, text string"
 
 
 def brute(docs, least=0.8, distance=3):
-    sets, fps = [set(simhash.shingle_set(t, 5).tolist()) for _, t in docs], [simhash.fingerprint_of(t) for _, t in docs]
+    sets, fps = [set(near_copies.shingle_set(t, 5).tolist()) for _, t in docs], [simhash.fingerprint_of(t) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
