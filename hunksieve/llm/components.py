@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def unsettled(pairs: DataFrame) -> int:
+    """How many nodes of `pairs` (u, v) have two pairs above themselves, or one and others below."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("root"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("root") == 0))).count()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of `edges` (a, b): root is the smallest node of its component.
 
-    Each round is aggregates and equi-joins on nodes and leaves one written table; it ends when a round changes
-    nothing. Loops and repeated edges don't matter. No edges give an empty result.
+    Each round is aggregates and equi-joins on nodes and leaves one written table; it ends when all pairs are those of
+    a node and its root. Loops and repeated edges don't matter. No edges give an empty result.
     """
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    if not state[0]:
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
+        if not unsettled(pairs):
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = cut(small.distinct(), [pairs])
-        before, state = state, pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if before == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

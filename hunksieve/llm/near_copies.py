@@ -162,7 +162,6 @@ def near_copies(docs: DataFrame, distance: int = 3, similarity: float = 0.8, shi
     made = cut(signed(docs, shingle, id_col, text_col))
     rows = made.select("doc_id", "key", "fp")
     classes = classes_of(rows)
-    member = component_roots(classes, distance)
     reps = cut(made.groupBy("set").agg(F.min(F.struct("key", "fp")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")).select("set", "rep.*", "size", "bands"))
     same = made.select("set", "fp").distinct().join(reps.select("set", F.col("fp").alias("b")), "set").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
@@ -170,7 +169,7 @@ def near_copies(docs: DataFrame, distance: int = 3, similarity: float = 0.8, shi
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     held = cut(each.join(shared, "band"))
     stars = cut(band_pairs(held, similarity))
-    member = merge_roots(member, alike(stars, reps, docs, similarity, shingle, id_col, text_col).unionByName(same), "fp")
+    member = component_roots(classes, distance, known=alike(stars, reps, docs, similarity, shingle, id_col, text_col).unionByName(same))
 
     rooted = reps.select("set", "key", "fp", "size").join(member, "fp")
     told = cut(held.select("band", "set").join(rooted.select("set", "root"), "set"))

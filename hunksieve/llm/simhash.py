@@ -218,11 +218,14 @@ def find_links(classes: DataFrame, distance: int = 3, parts: int | None = None)
     return met.select(F.col("q").alias("a"), F.col("x").alias("b")).distinct()
 
 
-def component_roots(classes: DataFrame, distance: int = 3, parts: int | None = None) -> DataFrame:
-    """(fp, root) for each of `classes` (fp, distinct): the component of links at `distance` or fewer bits."""
+def component_roots(classes: DataFrame, distance: int = 3, parts: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for each of `classes` (fp, distinct): the component of links at `distance` or fewer bits, and of those `known` (a, b).
+
+    What joins dense groups before the links are looked for are the known links, or else the close pairs.
+    """
     member = cut(classes.select("fp", F.col("fp").alias("root")))
-    if distance >= 2:
-        member = merge_roots(member, close_pairs(member), "fp")
+    if known is not None or distance >= 2:
+        member = merge_roots(member, close_pairs(member) if known is None else known, "fp")
     return merge_roots(member, find_links(member, distance, parts), "fp")
 
 
