@@ -11,9 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
 
 from ..constants import DIRECTIVE
 from .lang import COMMENTS, STRINGS
@@ -57,42 +55,74 @@ def _table(lang: str, comments: bool) -> tuple[re.Pattern, list[tuple[bool, str
     return opener, [(is_comment, end if end in (None, "nested") else re.compile(end)) for is_comment, _, end in rows]
 
 
-def spans(text: str, lang: str, comments: bool) -> Iterator[tuple[bool, int, int]]:
-    """(is a comment, start, end) of strings and, if asked for, comments; what isn't closed reaches to the end."""
+#: An escape that waits for its character, and what is left of a string that ends in one.
+LATE, DANGLING = re.compile(r"\n*[^\n]"), re.compile(r"(?:\\\n*[^\n]|[^\\])*(\\\n*)?")
+State = tuple[int, object] | None
+
+
+def _close(text: str, at: int, end, more) -> tuple[int, object]:
+    """Where that ends which is open at `at` (-1: not in this text), and what goes on after the text: closer, depth or escape."""
+    if end is None:
+        close = text.find(more, at)
+        return (-1, more) if close < 0 else (close + len(more), None)
+    if end == "nested":
+        while more and (n := NEST.search(text, at)):
+            more, at = more + (1 if n[0] == "/*" else -1), n.end()
+        return (-1, more) if more else (at, None)
+    if more:
+        late = LATE.match(text, at)
+        if not late:
+            return -1, True
+        at = late.end()
+    if close := end.match(text, at):
+        return close.end(), None
+    return -1, end.pattern.startswith("(?:") and DANGLING.fullmatch(text, at)[1] is not None
+
+
+def scan(text: str, lang: str, comments: bool, state: State = None) -> tuple[list[tuple[bool, int, int]], State]:
+    """(is a comment, start, end) of strings and, if asked for, comments, and what is open at the end of the text.
+
+    `state` is what was open before; a text goes on from the line after.
+    """
     opener, rows = _table(lang, comments)
-    at = 0
+    found, at = [], 0
+    if state is not None:
+        row, more = state
+        at, more = _close(text, 0, rows[row][1], more)
+        found.append((rows[row][0], 0, len(text) if at < 0 else at))
+        if at < 0:
+            return found, (row, more)
     while m := opener.search(text, at):
-        is_comment, end = rows[next(i for i in range(len(rows)) if m[f"k{i}"] is not None)]
-        if end is None:
-            close = text.find('"' + m["hashes"], m.end())
-            at = len(text) if close < 0 else close + 1 + len(m["hashes"])
-        elif end == "nested":
-            depth, at = 1, m.end()
-            while depth and (n := NEST.search(text, at)):
-                depth, at = depth + (1 if n[0] == "/*" else -1), n.end()
-            at = len(text) if depth else at
-        else:
-            close = end.match(text, m.end())
-            at = close.end() if close else len(text)
-        yield is_comment, m.start(), at
+        row = int(m.lastgroup[1:])
+        is_comment, end = rows[row]
+        at, more = _close(text, m.end(), end, '"' + m["hashes"] if end is None else int(end == "nested"))
+        found.append((is_comment, m.start(), len(text) if at < 0 else at))
+        if at < 0:
+            return found, (row, more)
+    return found, None
 
 
 def blank(text: str, cuts: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for start, end in cuts:
-        out += [text[at:start], re.sub(r"[^\n]", " ", text[start:end])]
+        piece = text[start:end]
+        out += [text[at:start], " " * len(piece) if "\n" not in piece else re.sub(r"[^\n]", " ", piece)]
         at = end
     return "".join([*out, text[at:]])
 
 
+def mask_some(lines: list[str], lang: str, states: tuple[State, State] = (None, None)) -> tuple[list[list[str]], tuple[State, State]]:
+    """Lines without comments, without strings, without both, and what is open after the last: with and without comments."""
+    text = "\n".join(lines)
+    full, open_full = scan(text, lang, True, states[0])
+    strings, open_strings = scan(text, lang, False, states[1])
+    cuts = [(a, b) for c, a, b in full if c], [(a, b) for _, a, b in strings], [(a, b) for _, a, b in full]
+    return [blank(text, x).split("\n") if x else lines for x in cuts], (open_full, open_strings)
+
+
 def mask_lines(lines: list[str], lang: str) -> list[tuple[str, str, str]]:
     """Of each line of a run: without comments, without strings, without both."""
-    text = "\n".join(lines)
-    full = list(spans(text, lang, True))
-    no_comments = blank(text, [(a, b) for c, a, b in full if c])
-    both = blank(text, [(a, b) for _, a, b in full])
-    no_strings = blank(text, [(a, b) for _, a, b in spans(text, lang, False)])
-    return list(zip(no_comments.split("\n"), no_strings.split("\n"), both.split("\n"), strict=True))
+    return list(zip(*mask_some(lines, lang)[0], strict=True))
 
 
 def lower_ascii(text: str) -> str:
@@ -117,27 +147,50 @@ def directive(line: str, masked: str | None) -> tuple[str, bool, list[str]] | No
     return None
 
 
-MASKED = T.ArrayType(
-    T.StructType()
-    .add("no_comments", "string")
-    .add("no_strings", "string")
-    .add("no_both", "string")
-    .add("kind", "string")
-    .add("all", "boolean")
-    .add("ids", T.ArrayType(T.StringType()))
-)
-
-
-@F.pandas_udf(MASKED)
-def mask_runs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Of each run (its language, its lines in order): masks and directive of each line."""
-    for langs, runs in batches:
-        out = []
-        for lang, lines in zip(langs, runs, strict=True):
-            lines = list(lines)
-            rows = []
-            for line, masks in zip(lines, mask_lines(lines, lang or "unknown"), strict=True):
-                found = directive(line, masks[0]) or (None, None, None)
-                rows.append(dict(zip(MASKED.elementType.names, (*masks, *found), strict=True)))
-            out.append(rows)
-        yield pd.Series(out)
+#: What `mask_stream` adds; masks are null where nothing is masked.
+MASKED = "no_comments string, no_strings string, no_both string, suppress_all boolean, suppress_ids array<string>"
+
+
+def suppressed_lines(lines: list[str], no_comments: list[str], before: tuple[bool, list[str]]) -> tuple[list[bool], list[list[str]], tuple[bool, list[str]]]:
+    """For each line whether all rules are suppressed there, and which; `before` and the last are what the line before says of the next."""
+    every, ids, low = [], [], "\n".join(lines).lower()
+    if DIRECTIVE not in low:
+        every, ids = [False] * len(lines), [[]] * len(lines)
+        every[0], ids[0] = before
+        return every, ids, (False, [])
+    for line, masked in zip(lines, no_comments, strict=True):
+        kind, all_rules, some = (directive(line, masked) if DIRECTIVE in line.lower() else None) or (None, False, [])
+        own = kind == "same"
+        every.append(before[0] or (own and all_rules))
+        ids.append(sorted({*before[1], *(some if own else ())}))
+        before = (all_rules, some) if kind == "next" else (False, [])
+    return every, ids, before
+
+
+def mask_stream(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with MASKED. They come sorted: the first three columns tell a run, the fourth is its language, the last the content.
+
+    A batch at a time is held; what is open at its end goes on in the next one, so a file may be of any length.
+    """
+    key, states, before = None, (None, None), (False, [])
+    for batch in source:
+        runs = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        content = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+        masks, every, ids = ([], [], []), [], []
+        lo = 0
+        while lo < len(runs):
+            hi = lo + 1
+            while hi < len(runs) and runs[hi] == runs[lo]:
+                hi += 1
+            if runs[lo] != key:
+                key, states, before = runs[lo], (None, None), (False, [])
+            some = content[lo:hi]
+            made, states = mask_some(some, key[3], states)
+            more, named, before = suppressed_lines(some, made[0], before)
+            for out, own in zip(masks, made, strict=True):
+                out += [None if m is t or m == t else m for m, t in zip(own, some, strict=True)]
+            every += more
+            ids += named
+            lo = hi
+        extra = [*(pa.array(m, pa.string()) for m in masks), pa.array(every, pa.bool_()), pa.array(ids, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *(x.split(" ")[0] for x in MASKED.split(", "))])

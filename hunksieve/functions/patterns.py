@@ -25,7 +25,9 @@ def java_pattern(pattern: str) -> str:
     """
     if re.search(r"\(\?(=|!|<=|<!|>)|\(\?P=", pattern) or re.search(r"(?<!\\)(\\\\)*\\[1-9]", pattern):
         raise PatternError(f"look-around or back-reference in {pattern!r}")
-    pattern = pattern.replace("(?P<", "(?<")
+    names = dict.fromkeys(re.findall(r"\(\?P?<([^>=!]+)>", pattern))
+    for n, name in enumerate(names):
+        pattern = re.sub(rf"\(\?P?<{re.escape(name)}>", f"(?<g{n}>", pattern)
     multi = bool(re.search(r"\(\?[a-zA-Z]*m[a-zA-Z]*(-[a-zA-Z]*)?[:)]", pattern))
     out, inside, i = [], 0, 0
     while i < len(pattern):
@@ -40,22 +42,23 @@ def java_pattern(pattern: str) -> str:
             i += len(m[0])
             continue
         if c == "[":
-            if inside:
-                out.append("\\[")
-                i += 1
-                continue
-            inside = 1
+            inside += 1
             if pattern[i + 1 : i + 2] == "]" or pattern[i + 1 : i + 3] == "^]":  # a bracket that comes first is meant as such
                 n = 2 if pattern[i + 1] == "]" else 3
                 out.append(pattern[i : i + n - 1] + "\\]")
                 i += n
                 continue
         elif c == "]" and inside:
-            inside = 0
+            inside -= 1
         elif c == "$" and not inside and not multi:
             c = "\\z"
-        elif c == "&" and inside and pattern[i + 1 : i + 2] == "&":
-            c = "\\&"
+        elif inside and pattern[i : i + 3] == "--[":  # difference of classes: Java has it as an intersection
+            out.append("&&[^")
+            inside += 1
+            i += 3
+            continue
+        elif inside and pattern[i : i + 2] == "~~":
+            raise PatternError(f"symmetric difference of classes in {pattern!r}")
         out.append(c)
         i += 1
     return "".join(out)
@@ -72,13 +75,52 @@ def check_pattern(spark: SparkSession, pattern: str) -> str | None:
     return None
 
 
+META = set("\\.^$|?*+()[]{}")
+
+
+def required_text(pattern: str) -> tuple[str, bool]:
+    """The longest text that every match holds as it stands, outside groups and classes; and whether it is the whole pattern."""
+    if "(?" in pattern or "|" in pattern:
+        return "", False
+    best, run, depth, whole, i = "", "", 0, True, 0
+    while i < len(pattern):
+        c, size = pattern[i], 1
+        if c == "[":  # a class, nested ones included
+            size, nested = 1 + (pattern[i + 1 : i + 2] == "^"), 1
+            size += pattern[i + size : i + size + 1] == "]"
+            while nested and i + size < len(pattern):
+                here = pattern[i + size]
+                nested += (here == "[") - (here == "]")
+                size += 1 + (here == "\\")
+            c = ""
+        elif c == "\\":
+            c, size = (pattern[i + 1 : i + 2], 2) if pattern[i + 1 : i + 2] in META | set("-/#&~ \"'<>=!:,;@%`") else ("", 2)
+            if pattern[i : i + 2] in (r"\p", r"\P", r"\x", r"\u", r"\U") and pattern[i + 2 : i + 3] == "{":
+                size = pattern.find("}", i) + 1 - i
+            elif pattern[i : i + 2] in (r"\x", r"\u", r"\U", r"\p", r"\P"):
+                return "", False
+        elif c in META:
+            depth += (c == "(") - (c == ")")
+            if c == "{":
+                size = max(1, pattern.find("}", i) + 1 - i)
+            c = ""
+        after = pattern[i + size : i + size + 1]
+        if not c or depth or after in ("?", "*", "{", "+"):
+            run += c if c and not depth and after == "+" else ""
+            best, run, whole = max(best, run, key=len), "", False
+        else:
+            run += c
+        i += size
+    return max(best, run, key=len), whole
+
+
 def finds(text: Column, patterns: list[str]) -> Column:
-    """Whether some pattern matches anywhere."""
-    if len(patterns) > 1 and not any(re.search(r"\(\?[a-zA-Z-]+\)|\(\?P?<", p) for p in patterns):
-        patterns = ["|".join(f"(?:{p})" for p in patterns)]  # one search will do
+    """Whether some pattern matches anywhere. Text that a pattern can't do without is looked for first."""
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(FLAGS + java_pattern(p))
+        java, (needed, whole) = java_pattern(p), required_text(p)
+        hit = F.lit(True) if whole and needed else text.rlike(FLAGS + java)
+        out = out | ((F.contains(text, F.lit(needed)) & hit) if needed else hit)
     return out
 
 

@@ -1,8 +1,9 @@
 """Rules against scoped lines.
 
 Lines come as LINES (diff_id, idx, path, line, content); each diff is evaluated by itself. Rules are compiled to
-expressions with literal patterns, so one pass over the lines tests all of them; what looks at neighbouring lines is a
-window over the file's lines, in their order, whatever their numbers are.
+expressions with literal patterns, so one pass over the lines, without a shuffle, tests all of them. What is dearer is
+for what needs it: masks for rules that ignore comments or strings, windows over a file's lines for rules that look at
+neighbours, a join by path for rules with path or language conditions, directives for the files that hold one.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..constants import DIRECTIVE
 from ..functions.lang import language_of, parse_language
-from ..functions.masking import mask_runs
-from ..functions.patterns import FLAGS, finds, first_match, glob_regex, java_pattern, matches_any
+from ..functions.masking import MASKED, mask_stream
+from ..functions.patterns import finds, first_match, matches_any
 from ..functions.text import depth, higher, normal_path, snippet
 from .rules import Rule, check, closure
 
 FILE = ("diff_id", "path")
-EVENT = "struct<rule_idx: int, severity: string, at: bigint, line: bigint, content: string, suppress_all: boolean, suppress_ids: array<string>, start: int, match_text: string>"
+EVENT = "struct<rule_idx: int, severity: string, at: bigint, line: bigint, content: string, start: int, match_text: string>"
 
 
 def filter_paths(lines: DataFrame, globs: list[str]) -> DataFrame:
@@ -37,38 +38,57 @@ def first_of_each(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
 
 
-def masked(lines: DataFrame, language: str | None = None, always: bool = True) -> DataFrame:
-    """`lines` with no_comments, no_strings, no_both, and the directives kind, all, ids.
+def file_table(lines: DataFrame) -> DataFrame:
+    """A row for each file of a diff: diff_id, path, told (a line holds a directive), tangled (others' lines lie between its own)."""
+    files = lines.groupBy(*FILE).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.max(F.contains(F.lower("content"), F.lit(DIRECTIVE))).alias("told"))
+    order = Window.partitionBy("diff_id").orderBy("lo", "path")
+    before, after = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lead("lo").over(order)
+    tangled = F.coalesce(before > F.col("lo"), F.lit(False)) | F.coalesce(F.col("hi") > after, F.lit(False))
+    return files.select(*FILE, "told", tangled.alias("tangled"))
 
-    A run is a stretch of neighbouring lines of one path in a diff; masks carry over inside it. Without `always` only
-    the runs that hold a directive are scanned, and the masks of the others are null.
+
+def with_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """`lines` (of `files`) with the run that they lie in: a stretch of lines of one path in a diff, numbered in each file.
+
+    A file whose lines lie together is one run. Only tangled files are put in the order of their diff.
     """
-    order = Window.partitionBy("diff_id").orderBy("idx")
-    rows = lines.withColumn("_new", F.coalesce((F.col("path") != F.lag("path").over(order)).cast("int"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = lines.join((file_table(lines) if files is None else files).select(*FILE, "tangled"), [*FILE])
+    whole = rows.where(~F.col("tangled")).select(*lines.columns, F.lit(0).cast("long").alias("run"))
+    here = Window.partitionBy("diff_id").orderBy("idx")
+    new = F.coalesce((F.col("path") != F.lag("path").over(here)).cast("int"), F.lit(0))
+    cut = rows.where("tangled").select(*lines.columns, new.alias("_new"))
+    return whole.unionByName(cut.select(*lines.columns, F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
+
+
+def mask_table(lines: DataFrame, language: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """`lines` (of `files`) with run and MASKED, where masks are null for lines without anything to mask. Files are scanned side by side."""
     lang = F.lit(parse_language(language)) if language else F.coalesce(language_of(F.col("path")), F.lit("unknown"))
-    runs = rows.groupBy("diff_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "content", "path", "line"))).alias("rows"))
-    if not always:
-        told = runs.where(F.exists("rows", lambda x: F.contains(F.lower(x["content"]), F.lit(DIRECTIVE))))
-        plain = runs.where(~F.exists("rows", lambda x: F.contains(F.lower(x["content"]), F.lit(DIRECTIVE))))
-    else:
-        told, plain = runs, None
-    of = lang if language else F.coalesce(language_of(F.col("rows")[0]["path"]), F.lit("unknown"))
-    told = told.withColumn("masks", mask_runs(of, F.transform("rows", lambda x: x["content"])))
-    told = told.select("diff_id", "run", F.posexplode(F.arrays_zip("rows", "masks")).alias("n", "x")).select("diff_id", "run", "x.rows.*", "x.masks.*")
-    if plain is not None:
-        told = told.unionByName(plain.select("diff_id", "run", F.inline("rows")), allowMissingColumns=True)
-    return told
-
-
-def with_suppressions(rows: DataFrame) -> DataFrame:
-    """suppress_all and suppress_ids of each line: by its own directive, or by one for the next line on the line before in the run."""
-    before = Window.partitionBy("diff_id", "run").orderBy("idx")
-    none = F.array().cast("array<string>")
-    own, prev = F.col("kind") == "same", F.lag("kind").over(before) == "next"
-    every = F.coalesce(own & F.col("all"), F.lit(False)) | F.coalesce(prev & F.lag("all").over(before), F.lit(False))
-    ids = F.array_union(F.when(own, F.coalesce("ids", none)).otherwise(none), F.when(prev, F.coalesce(F.lag("ids").over(before), none)).otherwise(none))
-    return rows.withColumns({"suppress_all": every, "suppress_ids": ids})
+    head = ("diff_id", "path", "run")
+    rest = [c for c in lines.columns if c not in (*head, "content")]
+    rows = with_runs(lines, files).select(*head, lang.alias("lang"), *rest, "content")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.repartition(*(F.col(c) for c in head)).sortWithinPartitions(*head, "idx")
+    return rows.mapInArrow(mask_stream, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), MASKED])).drop("lang")
+
+
+def masked(lines: DataFrame, language: str | None = None) -> DataFrame:
+    """`lines` with run, no_comments, no_strings, no_both, and suppress_all and suppress_ids by the directives in comments.
+
+    Masks carry over inside a run, as does a directive for the next line.
+    """
+    return mask_table(lines, language).withColumns({c: F.coalesce(c, "content") for c in MASKS})
+
+
+def suppressions(lines: DataFrame, language: str | None = None) -> DataFrame:
+    """(diff_id, at, suppress_all, suppress_ids) of the lines where some rule is suppressed.
+
+    Only files with a directive are scanned, and tangled ones of their diffs, whose lines part the runs.
+    """
+    files = file_table(lines)
+    told = F.max("told").over(Window.partitionBy("diff_id"))
+    some = files.withColumn("_any", told).where(F.col("told") | (F.col("tangled") & F.col("_any")))
+    rows = mask_table(lines, language, some).where(F.col("suppress_all") | (F.size("suppress_ids") > 0))
+    return rows.select("diff_id", F.col("idx").alias("at"), "suppress_all", "suppress_ids")
 
 
 def applies(rule: Rule, path: Column, lang: Column) -> Column:
@@ -140,27 +160,18 @@ MASKS = ("no_comments", "no_strings", "no_both")
 
 
 def placed(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Events with the place and text of their match, where they don't have them yet.
+    """Events of single lines with the place and text of their match, worked out for matches alone.
 
-    Which rules match is told line by line with literal patterns; where they match is worked out here for matches
-    alone, with the patterns looked up by rule. The pattern that counts is the first in the rule's list that matches.
+    Each rule has its own literal patterns. The one that counts is the first in the rule's list that matches.
     """
-    def by_rule(values) -> Column:
-        return F.get(F.array(*values), F.col("rule_idx"))
-
-    def texts(shape: str) -> Column:
-        return by_rule(F.array(*(F.lit(FLAGS + shape.replace("@", java_pattern(p))) for p in r.patterns)) for r in rules)
-
-    content = F.col("content")
-    seen = F.get(F.array(content, *(F.coalesce(c, content) for c in MASKS)), by_rule(F.lit((1 if r.ignore_comments else 0) + (2 if r.ignore_strings else 0)) for r in rules))
-    rows = events.withColumns({"_seen": seen, "_tests": texts("@")})
-    first = F.array_position(F.transform("_tests", lambda p: F.rlike("_seen", p)), True).cast("int")
-    rows = rows.withColumn("_first", F.when(F.col("match_text").isNull(), first))
-    own = lambda shape: F.call_function("regexp_extract", F.col("_seen"), F.get(texts(shape), F.col("_first") - 1), F.lit(1))
-    start = F.when(F.col("_first").isNotNull(), F.length(own(r"\A((?s:.*?))(?:@)"))).otherwise(F.col("start"))
-    rows = rows.withColumn("start", start)
-    text = F.when(F.col("_first").isNotNull(), F.substr(content, F.col("start") + 1, F.length(own(r"\A(?s:.*?)(@)")))).otherwise(F.col("match_text"))
-    return rows.withColumn("match_text", text).drop("_seen", "_tests", "_first", *MASKS)
+    start = size = F.lit(None).cast("int")
+    content, own = F.col("content"), F.col("rule_idx")
+    for i, r in reversed([*enumerate(rules)]):
+        if not r.multiline and r.match_mode != "absent":
+            before, length = first_match(candidate(r), list(r.patterns))
+            start, size = F.when(own == i, before).otherwise(start), F.when(own == i, length).otherwise(size)
+    rows = events.withColumns({"start": start, "_size": size})
+    return rows.withColumn("match_text", F.substr(content, F.col("start") + 1, F.col("_size"))).drop("_size", *MASKS)
 
 
 def applicable(paths: DataFrame, rules: list[Rule], language: str | None = None, overrides: list[dict] | None = None) -> DataFrame:
@@ -183,14 +194,17 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     """
     check(rules)
     deps = closure(rules)
-    rows = with_suppressions(masked(lines, language, any(r.ignore_comments or r.ignore_strings for r in rules)))
-    rows = rows.join(applicable(lines, rules, language, overrides), "path")
+    masks = any(r.ignore_comments or r.ignore_strings for r in rules)
+    rows = mask_table(lines, language).select(*lines.columns, *MASKS) if masks else lines.withColumns({c: F.lit(None).cast("string") for c in MASKS})
+    bound = bool(overrides) or any(r.paths or r.exclude_paths or r.languages for r in rules)
+    if bound:
+        rows = rows.join(applicable(lines, rules, language, overrides), "path")
     file = Window.partitionBy(*FILE).orderBy("idx")
-    rows = rows.withColumn("pos", F.row_number().over(file))
-    plain, later = [], []
+    single, multi, absent = [], [], []
 
     for i, r in enumerate(rules):
-        base, text = F.col("severities")[i], candidate(r)
+        base, text = F.col("severities")[i] if bound else F.lit(r.severity), candidate(r)
+        applies_here = base.isNotNull() if bound else F.lit(True)
         around = lambda w: file.rowsBetween(-w, w)
         near = {}
         if r.context_patterns:
@@ -201,13 +215,9 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         severity = F.when(F.col(f"raise{i}"), higher(base, F.lit(r.escalate_to or "error"))).otherwise(base) if r.escalate_patterns else base
         fits = F.col(f"context{i}") if r.context_patterns else F.lit(True)
 
-        def event(start: Column, match_text: Column, of=None, severity=severity, i=i) -> Column:
-            own = [F.col(c) if of is None else of[c] for c in ("idx", "line", "content", "suppress_all", "suppress_ids")]
-            return F.struct(F.lit(i), severity if of is None else of["severity"], *own, start, match_text).cast(EVENT)
-
         if r.multiline:
-            seen = F.struct("idx", "line", "content", "suppress_all", "suppress_ids", severity.alias("severity"), text.alias("text"), fits.alias("fits"))
-            rows = rows.withColumn(f"next{i}", F.when(base.isNotNull(), F.collect_list(seen).over(file.rowsBetween(0, r.window - 1))))
+            seen = F.struct("idx", "line", "content", severity.alias("severity"), text.alias("text"), fits.alias("fits"))
+            rows = rows.withColumn(f"next{i}", F.when(applies_here, F.collect_list(seen).over(file.rowsBetween(0, r.window - 1))))
             ahead = F.col(f"next{i}")
             joined = F.array_join(F.transform(ahead, lambda x: x["text"]), "\n")
             before, length = first_match(joined, list(r.patterns))
@@ -216,31 +226,42 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
             at = before - F.when(n == 0, 0).otherwise(F.length(head) - F.length(F.substring_index(head, "\n", -1)))
             raw = F.substr(F.array_join(F.transform(ahead, lambda x: x["content"]), "\n"), before + 1, length)
             target = F.element_at(ahead, n + 1)
-            hit = base.isNotNull() & (F.size(ahead) >= 2) & before.isNotNull() & target["fits"]
-            found, where = event(at, raw, target), hit
+            where = applies_here & (F.size(ahead) >= 2) & before.isNotNull() & target["fits"]
+            found = F.struct(F.lit(i), target["severity"], target["idx"], target["line"], target["content"], at, raw).cast(EVENT)
         else:
-            where = base.isNotNull() & finds(text, list(r.patterns)) & fits
-            found = event(F.lit(None), F.lit(None))
+            where = applies_here & finds(text, list(r.patterns)) & fits
         if r.match_mode == "absent":
-            rows = rows.withColumn(f"met{i}", F.max(F.coalesce(where, F.lit(False)).cast("int")).over(Window.partitionBy(*FILE)))
-            where = base.isNotNull() & (F.col("pos") == 1) & (F.col(f"met{i}") == 0)
-            found = event(F.lit(None), F.lit("<absent>"))
-        (later if r.multiline and r.match_mode != "absent" else plain).append(F.when(where, found))
-
-    if not rules:
-        events = rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")))
-    else:
-        events = placed(rows.select(*FILE, *(F.col(c) for c in MASKS), F.inline(F.array_compact(F.array(*plain, *later)))), rules)
-    if later:  # several windows see one match
-        events = events.dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"])
+            absent.append((i, where, applies_here, severity))
+        elif r.multiline:
+            multi.append(F.when(where, found))
+        else:
+            single.append(F.when(where, F.struct(F.lit(i).alias("rule_idx"), severity.alias("severity"))))
+
+    parts = []
+    if single:
+        hits = rows.select(*FILE, F.col("idx").alias("at"), "line", "content", *MASKS, F.inline(F.array_compact(F.array(*single))))
+        parts.append(placed(hits, rules))
+    if multi:  # several windows see one match
+        parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))).dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"]))
+    if absent:  # a row for each file: its first line, and what matched in it
+        told = [F.max((F.coalesce(where, F.lit(False))).cast("int")).alias(f"met{i}") for i, where, *_ in absent]
+        first = F.min_by(F.struct("line", "content", *(F.when(here, severity).alias(f"severity{i}") for i, _, here, severity in absent)), "idx").alias("first")
+        files = rows.groupBy(*FILE).agg(F.min("idx").alias("at"), first, *told)
+        rows_of = [F.when((F.col(f"met{i}") == 0) & F.col(f"first.severity{i}").isNotNull(), F.struct(F.lit(i), F.col(f"first.severity{i}"), F.col("at"), F.col("first.line"), F.col("first.content"), F.lit(None), F.lit("<absent>")).cast(EVENT)) for i, *_ in absent]
+        parts.append(files.select(*FILE, F.inline(F.array_compact(F.array(*rows_of)))))
+    events = None
+    for part in parts or [rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")))]:
+        events = part if events is None else events.unionByName(part)
     if any(deps.values()):
         met = F.collect_set("rule_idx").over(Window.partitionBy(*FILE))
         index = {r.id: i for i, r in enumerate(rules)}
         needs = F.array(*(F.array(*(F.lit(index[d]) for d in sorted(deps[r.id]))).cast("array<int>") for r in rules))
         events = events.withColumn("_met", met).where(F.size(F.array_except(needs[F.col("rule_idx")], "_met")) == 0).drop("_met")
+    events = events.join(suppressions(lines, language), ["diff_id", "at"], "left")
     ids = F.array(*(F.lit(r.id) for r in rules)) if rules else F.array().cast("array<string>")
     events = events.withColumn("rule_id", F.get(ids, F.col("rule_idx")))
-    return events.withColumn("suppressed", F.col("suppress_all") | F.array_contains("suppress_ids", F.col("rule_id"))).drop("suppress_all", "suppress_ids")
+    suppressed = F.coalesce(F.col("suppress_all") | F.array_contains("suppress_ids", F.col("rule_id")), F.lit(False))
+    return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")
 
 
 def findings(events: DataFrame, rules: list[Rule], most: int = 200) -> DataFrame:
@@ -254,5 +275,3 @@ def findings(events: DataFrame, rules: list[Rule], most: int = 200) -> DataFrame
     column = (F.col("start") + 1).cast("long")
     return kept.select("diff_id", "n", "rule_id", "severity", F.get(messages, F.col("rule_idx")).alias("message"), "path", "line", column.alias("column"), "match_text", snippet(F.col("content")).alias("snippet"))
 
-
-__all__ = ["FLAGS", "applicable", "find_events", "findings", "glob_regex", "java_pattern"]

@@ -13,15 +13,16 @@ L1 = """l1 AS (
   FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents)
 )"""
 
+PLAIN_TEXT = """translate(content, '"''`/*#\\-<$', '          ')"""
 #: doc_lines as code, with masks of comments and of strings by the line's number.
 L2 = rf"""{L1}, l2 AS (
-  SELECT *, CASE n WHEN 1 THEN mark || ' ' || text WHEN 2 THEN 'x = ' || quote || text || quote || ';'
-    WHEN 3 THEN text || ' ' || mark || ' HUNKSIEVE: ignore word.the, other' WHEN 4 THEN text || ' ' || mark || ' hunksieve: ignore-next-line' ELSE text END AS content
+  SELECT *, CASE n WHEN 1 THEN mark || text || ending WHEN 2 THEN 'x = ' || quote || text || quote || ';'
+    WHEN 3 THEN text || ' ' || mark || 'HUNKSIEVE: ignore word.the, other' || ending WHEN 4 THEN text || ' ' || mark || 'hunksieve: ignore-next-line' || ending ELSE text END AS content
   FROM (
-    SELECT diff_id, idx, path, line, line % 5 AS n, translate(content, '"''`/*#\-<$', '          ') AS text,
-      CASE WHEN regexp_matches(path, '\.(py|sh)$') THEN '#' WHEN path LIKE '%.sql' THEN '--' ELSE '//' END AS mark,
-      CASE WHEN path LIKE '%.sql' THEN '''' ELSE '"' END AS quote
-    FROM l1 WHERE path NOT LIKE '%.html' AND path NOT LIKE '%.txt'
+    SELECT diff_id, idx, path, line, line % 5 AS n, {PLAIN_TEXT} AS text,
+      CASE WHEN regexp_matches(path, '\.(py|sh)$') THEN '# ' WHEN path LIKE '%.sql' THEN '-- ' WHEN path LIKE '%.html' THEN '<!-- ' ELSE '// ' END AS mark,
+      CASE WHEN path LIKE '%.html' THEN ' -->' ELSE '' END AS ending, CASE WHEN path LIKE '%.sql' THEN '''' ELSE '"' END AS quote
+    FROM l1
   )
 ), code AS (
   SELECT *, CASE n WHEN 1 THEN repeat(' ', length(content)::INT) WHEN 3 THEN text || repeat(' ', (length(content) - length(text))::INT)
@@ -103,8 +104,8 @@ ORACLES = {
     "findings_basic": f"{EVENTS} SELECT {FLAT}, {MARK} AS fingerprint FROM events",
     "scoped_lines": f"WITH {L1} SELECT diff_id, idx, path, line, content FROM l1",
     "files_lines_scanned": f"WITH {L1} SELECT diff_id, count(DISTINCT path) AS files_scanned, count(*) AS lines_scanned FROM l1 GROUP BY diff_id",
-    "multibase_union_dedupe": f"""WITH {L1}, both_ AS (SELECT diff_id, idx, path, line, content FROM l1 UNION ALL SELECT diff_id, idx + 1125899906842624, path, line - line % 2, content FROM l1)
-SELECT diff_id, idx, path, line, content FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, path, line, content ORDER BY idx) AS k FROM both_) WHERE k = 1""",
+    "multibase_union_dedupe": f"""WITH {L1}, both_ AS (SELECT idx, path, line, content FROM l1 UNION ALL SELECT idx + 281474976710656, path, line - line % 2, content FROM l1)
+SELECT 'bases' AS diff_id, idx, path, line, content FROM (SELECT *, row_number() OVER (PARTITION BY path, line, content ORDER BY idx) AS k FROM both_) WHERE k = 1""",
     "language_detect": f"""WITH {L1} SELECT DISTINCT path, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript'
   WHEN 'sql' THEN 'sql' WHEN 'go' THEN 'go' WHEN 'sh' THEN 'shell' WHEN 'html' THEN 'xml' END AS language FROM l1""",
     "glob_applicability": f"""WITH {L1}, p AS (SELECT DISTINCT path FROM l1)
@@ -120,6 +121,10 @@ UNION ALL SELECT path, '{GLOB_RULES[2].id}', 'error' FROM p WHERE regexp_matches
     "mask_line_comments": f"WITH {L2} SELECT path, line, no_comments AS masked FROM masks",
     "mask_strings": f"WITH {L2} SELECT path, line, no_strings AS masked FROM masks",
     "mask_both": f"WITH {L2} SELECT path, line, no_both AS masked FROM masks",
+    "mask_multiline_block": rf"""WITH {L1}, b AS (
+  SELECT path, line, line % 4 AS n, {PLAIN_TEXT} AS t, CASE WHEN path LIKE '%.html' THEN 4 WHEN regexp_matches(path, '\.(py|sh)$') THEN 0 ELSE 2 END AS k, CASE WHEN path LIKE '%.html' THEN 3 ELSE 2 END AS e FROM l1
+) SELECT path, line, CASE WHEN n = 1 THEN t || ' ' || CASE k WHEN 0 THEN t ELSE repeat(' ', (length(t) + k)::INT) END
+  WHEN k = 0 THEN CASE n WHEN 3 THEN t || ' ' || t ELSE t END WHEN n = 2 THEN repeat(' ', length(t)::INT) WHEN n = 3 AND line > 1 THEN repeat(' ', (length(t) + e + 1)::INT) || t ELSE t END AS masked FROM b""",
     "forced_language": f"""WITH {L1}, plain AS (SELECT * REPLACE (translate(content, '"''`/*', '     ') AS content) FROM l1),
 {events([Rule('go.only', 'warn', '', patterns=('the',))], 'plain', where={'go.only': 'line % 2 = 1'})} SELECT path, line, col FROM events""",
     "multiline_match": f"""WITH {L1}, w AS (
@@ -139,7 +144,7 @@ SELECT path, 'o.of' AS rule_id, path NOT LIKE 'src1/en/%' AS enabled, CASE WHEN
 UNION ALL SELECT path, 'o.to', true, NULL FROM p WHERE path LIKE 'src2/%'""",
     "suppressions": f"""WITH {L2}, s AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY diff_id, path ORDER BY idx) = 4, false) AS next_ FROM masks),
 {events([WORD_RULE, Rule('word.of', 'warn', '', patterns=('of',))], 's', 'no_both')}
-SELECT e.path, e.line, rule_id, next_ OR (n = 3 AND rule_id = 'word.the') AS suppressed FROM events e JOIN s USING (diff_id, idx)""",
+SELECT e.path, e.line, rule_id, (next_ AND e.path NOT LIKE '%.html') OR (n = 3 AND rule_id = 'word.the') AS suppressed FROM events e JOIN s USING (diff_id, idx)""",
     "event_order_cap": f'{RANKED} SELECT diff_id, n, rule_id, path, line, col AS "column", match_text, snippet FROM found WHERE n <= 7',
     "verdict_counts": f"""{EVENTS} SELECT *, CASE WHEN error > 0 THEN 'fail' WHEN warn > 0 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN truncated > 0 THEN 'truncated' ELSE '' END AS reason
 FROM (SELECT diff_id, {counts()}, 0 AS suppressed, greatest(count(*) - 7, 0) AS truncated FROM events GROUP BY diff_id)""",
@@ -200,7 +205,7 @@ o AS (SELECT uri, unnest(string_split(t, chr(10))) AS content, unnest(generate_s
 SELECT n.uri, n.line, n.content FROM n LEFT JOIN o USING (uri, line) WHERE n.content IS DISTINCT FROM o.content""",
     "benchmark_fanout_rules": f"""WITH {L1}, w AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS w FROM benchmark), a AS (SELECT regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g') AS c FROM l1)
 SELECT 'w.' || w AS rule_id, count(*) AS total FROM w, a WHERE length(w) > 2 AND contains(c, w) AND regexp_matches(c, '\\b' || w || '\\b') GROUP BY w""",
-    "runs_of_files": f"""WITH {L1}, p AS (SELECT diff_id, path IS DISTINCT FROM lag(path) OVER (PARTITION BY diff_id ORDER BY idx) AS new_ FROM l1) SELECT diff_id, count(*) FILTER (new_) AS runs FROM p GROUP BY diff_id""",
+    "runs_of_files": f"""WITH {L1}, p AS (SELECT diff_id, path IS DISTINCT FROM lag(path) OVER (PARTITION BY diff_id ORDER BY line % 2 = 0, idx) AS new_ FROM l1) SELECT diff_id, count(*) FILTER (new_) AS runs FROM p GROUP BY diff_id""",
     "diff_special_headers": """SELECT * FROM (VALUES ('deleted', 'n', 1, 'n', 'added'), ('rename', 'n.rs', 2, 'b', 'added'), ('binary', 't', 1, 'z', 'added'), ('mode', 't', 1, 'k', 'added'),
   ('quoted', 'café', 1, 'v', 'added'), ('malformed', 't', 3, 'k', 'added')) AS v(diff_id, path, line, content, kind)""",
 }

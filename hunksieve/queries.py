@@ -16,7 +16,7 @@ from .schemas import FP_ENTRY
 from .sinks import encoders
 from .sources import diffs, records
 from .streaming.editor import positional_changes
-from .tables import RULES, WORD_RULE, code_lines, diff_text, doc_lines, table
+from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, table
 
 KEYS = ("rule_id", "path", "line")
 
@@ -72,9 +72,10 @@ def diff_special_headers(spark, sf_dir):
 
 
 def multibase_union_dedupe(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    again = lines.withColumn("idx", F.col("idx") + (1 << 50)).withColumn("line", F.col("line") - F.col("line") % 2)
-    return evaluate.first_of_each(lines.unionByName(again)).select("diff_id", "idx", "path", "line", "content")
+    """The same diff against two bases, with other line numbers in the second; of lines that are the same in both the first counts."""
+    lines = doc_lines(spark, sf_dir).withColumnRenamed("idx", "pos")
+    both = diffs.union_bases([lines, lines.withColumn("line", F.col("line") - F.col("line") % 2)], "bases")
+    return evaluate.first_of_each(both.withColumnRenamed("pos", "idx")).select("diff_id", "idx", "path", "line", "content")
 
 
 def language_detect(spark, sf_dir):
@@ -127,12 +128,16 @@ def gitlab_fingerprint(spark, sf_dir):
 
 def _masks(column):
     def query(spark, sf_dir):
-        lines = code_lines(spark, sf_dir).where("path not like '%.txt'")
-        return evaluate.masked(lines).select("path", "line", F.col(column).alias("masked"))
+        return evaluate.masked(code_lines(spark, sf_dir)).select("path", "line", F.col(column).alias("masked"))
 
     return query
 
 
+def mask_multiline_block(spark, sf_dir):
+    """Comments that begin, go on and end on lines of their own."""
+    return evaluate.masked(block_lines(spark, sf_dir)).select("path", "line", F.col("no_comments").alias("masked"))
+
+
 def mask_html_blocks(spark, sf_dir):
     """Markup lines without comments that may span lines; no SQL."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("diff_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.posexplode(F.split("html", "\n")).alias("at", "content"))
@@ -199,7 +204,7 @@ def override_table(spark, sf_dir):
 
 
 def suppressions(spark, sf_dir):
-    lines = code_lines(spark, sf_dir).where("path not like '%.txt'")
+    lines = code_lines(spark, sf_dir)
     return flat(evaluate.find_events(lines, [WORD_RULE, replace(WORD_RULE, id="word.of", patterns=("of",))])).select("path", "line", "rule_id", "suppressed")
 
 
@@ -398,17 +403,15 @@ def benchmark_fanout_rules(spark, sf_dir):
 
 
 def runs_of_files(spark, sf_dir):
-    """Number of stretches of one path in each diff."""
-    lines = doc_lines(spark, sf_dir)
-    order = Window.partitionBy("diff_id").orderBy("idx")
-    new = F.coalesce((F.col("path") != F.lag("path").over(order)).cast("long"), F.lit(1))
-    return lines.select("diff_id", new.alias("new")).groupBy("diff_id").agg(F.sum("new").alias("runs"))
+    """Number of stretches of one path in each diff, where every other line of a diff is put behind all others."""
+    lines = doc_lines(spark, sf_dir).withColumn("idx", F.col("idx") + F.when(F.col("line") % 2 == 0, F.lit(1 << 60)).otherwise(F.lit(0)))
+    return evaluate.with_runs(lines).groupBy("diff_id").agg(F.count_distinct("path", "run").alias("runs"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
-    + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_html_blocks, forced_language, multiline_match, absent_mode)
+    + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, checkstyle_files, csv_rows)

@@ -46,7 +46,7 @@ def union_bases(diffs: list[DataFrame], label: str) -> DataFrame:
     """The diffs against several bases as one, in the order given."""
     out = None
     for seq, d in enumerate(diffs):
-        one = d.withColumn("pos", F.col("pos") + (seq << 40)).withColumn("diff_id", F.lit(label))
+        one = d.withColumn("pos", F.col("pos") + (seq << 48)).withColumn("diff_id", F.lit(label))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import DIRECTIVE
@@ -25,23 +25,44 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("diff_id", (F.col("doc_id") * LINES_OF_A_TEXT + line).alias("idx"), "path", line.alias("line"), "content", F.lit("added").alias("kind"))
 
 
+#: Marks around a comment that ends with its line, by extension: `//` for all others.
+LINE_MARKS = {"py": ("# ", ""), "sh": ("# ", ""), "sql": ("-- ", ""), "html": ("<!-- ", " -->")}
+PLAIN = "\"'`/*#\\-<$"
+
+
+def by_extension(values: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for ext, value in values.items():
+        out = F.when(F.endswith("path", F.lit(f".{ext}")), value).otherwise(out)
+    return out
+
+
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_lines as code: every fifth line a comment, a quoted string, a directive for the line itself or the next, or plain.
+    """doc_lines as code: of five lines one is a comment, a quoted string, holds a directive for itself or the next, or is plain.
 
-    Quotes inside the texts become blanks, so that the masks can be told from the line's number.
+    Quotes and comment marks inside the texts become blanks, so that the masks can be told from the line's number.
     """
-    lines = doc_lines(spark, sf_dir).withColumn("content", F.translate("content", "\"'`/*#\\-<$", "          "))
-    mark = F.when(F.col("path").rlike(r"\.(py|sh)$"), "#").when(F.endswith("path", F.lit(".sql")), "--").otherwise("//")
+    lines = doc_lines(spark, sf_dir).withColumn("content", F.translate("content", PLAIN, " " * len(PLAIN)))
+    mark, end = (by_extension({e: m[i] for e, m in LINE_MARKS.items()}, ("// ", "")[i]) for i in (0, 1))
     n, text = F.col("line") % 5, F.col("content")
-    quote = F.when(F.endswith("path", F.lit(".sql")), "'").otherwise('"')
+    quote = by_extension({"sql": "'"}, '"')
     made = (
-        F.when(n == 1, F.concat(mark, F.lit(" "), text))
+        F.when(n == 1, F.concat(mark, text, end))
         .when(n == 2, F.concat(F.lit("x = "), quote, text, quote, F.lit(";")))
-        .when(n == 3, F.concat(text, F.lit(" "), mark, F.lit(f" {DIRECTIVE.upper()} ignore word.the, other")))
-        .when(n == 4, F.concat(text, F.lit(" "), mark, F.lit(f" {DIRECTIVE} ignore-next-line")))
+        .when(n == 3, F.concat(text, F.lit(" "), mark, F.lit(f"{DIRECTIVE.upper()} ignore word.the, other"), end))
+        .when(n == 4, F.concat(text, F.lit(" "), mark, F.lit(f"{DIRECTIVE} ignore-next-line"), end))
         .otherwise(text)
     )
-    return lines.where(~F.endswith("path", F.lit(".html"))).withColumn("content", made)
+    return lines.withColumn("content", made)
+
+
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_lines as code: of four lines a comment begins in the first, goes on in the second and ends in the third; none in Python and shell."""
+    lines = doc_lines(spark, sf_dir).withColumn("content", F.translate("content", PLAIN, " " * len(PLAIN)))
+    start, end = by_extension({"html": "<!--", "py": "", "sh": ""}, "/*"), by_extension({"html": "-->", "py": "", "sh": ""}, "*/")
+    n, text = F.col("line") % 4, F.col("content")
+    made = F.when(n == 1, F.concat(text, F.lit(" "), start, text)).when(n == 3, F.concat(text, end, F.lit(" "), text)).otherwise(text)
+    return lines.withColumn("content", made)
 
 
 def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
