@@ -47,17 +47,34 @@ def file_table(lines: DataFrame) -> DataFrame:
     return files.select(*FILE, "told", tangled.alias("tangled"))
 
 
+#: Files are told apart by so many hash buckets before a join: 1,024 words of 64 bits.
+BUCKETS = 1 << 16
+
+
+def may_be_in(files: DataFrame) -> Column:
+    """Whether a line's file may be one of `files`, by a bit set of fixed size: what is surely not goes no further, unshuffled."""
+    bucket = F.pmod(F.xxhash64(*FILE), F.lit(BUCKETS))
+    words = files.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits"))
+    held = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    row = held.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w.cast("long")), F.lit(0).cast("long"))))
+    return F.getbit(F.get(row.scalar(), F.shiftright(bucket, 6).cast("int")), (bucket % 64).cast("int")) == 1
+
+
 def with_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """`lines` (of `files`) with the run that they lie in: a stretch of lines of one path in a diff, numbered in each file.
 
     A file whose lines lie together is one run. Only tangled files are put in the order of their diff.
     """
-    rows = lines.join((file_table(lines) if files is None else files).select(*FILE, "tangled"), [*FILE])
-    whole = rows.where(~F.col("tangled")).select(*lines.columns, F.lit(0).cast("long").alias("run"))
+    zero = F.lit(0).cast("long").alias("run")
+    wanted = file_table(lines).where("tangled") if files is None else files
+    near = may_be_in(wanted)
+    rows = lines.where(near).join(wanted.select(*FILE, "tangled"), [*FILE], "left" if files is None else "inner")
+    whole = rows.where(~F.coalesce("tangled", F.lit(False))).select(*lines.columns, zero)
     here = Window.partitionBy("diff_id").orderBy("idx")
     new = F.coalesce((F.col("path") != F.lag("path").over(here)).cast("int"), F.lit(0))
     cut = rows.where("tangled").select(*lines.columns, new.alias("_new"))
-    return whole.unionByName(cut.select(*lines.columns, F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
+    out = whole.unionByName(cut.select(*lines.columns, F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
+    return lines.where(~near).select(*lines.columns, zero).unionByName(out) if files is None else out
 
 
 def mask_table(lines: DataFrame, language: str | None = None, files: DataFrame | None = None) -> DataFrame:
@@ -164,12 +181,12 @@ def placed(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Each rule has its own literal patterns. The one that counts is the first in the rule's list that matches.
     """
-    start = size = F.lit(None).cast("int")
     content, own = F.col("content"), F.col("rule_idx")
-    for i, r in reversed([*enumerate(rules)]):
+    start = size = F
+    for i, r in enumerate(rules):  # one CASE with a branch for each rule
         if not r.multiline and r.match_mode != "absent":
             before, length = first_match(candidate(r), list(r.patterns))
-            start, size = F.when(own == i, before).otherwise(start), F.when(own == i, length).otherwise(size)
+            start, size = start.when(own == i, before), size.when(own == i, length)
     rows = events.withColumns({"start": start, "_size": size})
     return rows.withColumn("match_text", F.substr(content, F.col("start") + 1, F.col("_size"))).drop("_size", *MASKS)
 
