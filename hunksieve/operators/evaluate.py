@@ -8,13 +8,15 @@ neighbours, a join by path for rules with path or language conditions, directive
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DIRECTIVE
 from ..functions.lang import language_of, parse_language
 from ..functions.masking import MASKED, mask_stream
-from ..functions.patterns import finds, first_match, matches_any
+from ..functions.patterns import FLAGS, finds, first_match, java_pattern, matches_any, required_text
 from ..functions.text import depth, higher, normal_path, snippet
 from .rules import Rule, check, closure
 
@@ -174,20 +176,58 @@ def candidate(rule: Rule) -> Column:
 
 
 MASKS = ("no_comments", "no_strings", "no_both")
+#: Place of the text that a rule sees among the content and MASKS, by whether it ignores comments and strings.
+MASK_OF = {(False, False): 0, (True, False): 1, (False, True): 2, (True, True): 3}
+
+
+#: Rules that each get expressions of their own. Those of a larger pack are walked as one array of a literal, as the code
+#: of so many expressions would be one method too large for the JVM's compiler.
+FEW_RULES = 8
+PACK = "array<struct<i: int, mask: int, tests: array<struct<needed: string, whole: boolean, pattern: string>>>>"
+
+
+def literal(values: list, kind: str) -> Column:
+    """A list as one literal of that type; Catalyst folds it."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def packed_hits(pack: list[tuple[int, Rule]], bound: bool) -> Column:
+    """Numbers of the rules of a pack that match a line. Each pattern has text that it can't do without, which is looked for first."""
+    told = [{"i": i, "mask": MASK_OF[r.ignore_comments, r.ignore_strings], "tests": [{"needed": n, "whole": w, "pattern": FLAGS + java_pattern(p)} for p in r.patterns for n, w in [required_text(p)]]} for i, r in pack]
+    seen = F.array(F.col("content"), *(F.coalesce(c, "content") for c in MASKS))
+    masks = any(x["mask"] for x in told)
+
+    def hit(rule: Column) -> Column:
+        text = F.get(seen, rule["mask"]) if masks else F.col("content")
+        found = F.exists(rule["tests"], lambda t: F.contains(text, t["needed"]) & (t["whole"] | F.rlike(text, t["pattern"])))
+        return F.get("severities", rule["i"]).isNotNull() & found if bound else found
+
+    return F.transform(F.filter(literal(told, PACK), hit), lambda rule: rule["i"])
 
 
 def placed(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Events of single lines with the place and text of their match, worked out for matches alone.
 
-    Each rule has its own literal patterns. The one that counts is the first in the rule's list that matches.
+    The pattern that counts is the first in the rule's list that matches. Where patterns are looked up, events are
+    sorted by rule in each partition, so that a pattern is compiled once there.
     """
     content, own = F.col("content"), F.col("rule_idx")
-    start = size = F
-    for i, r in enumerate(rules):  # one CASE with a branch for each rule
-        if not r.multiline and r.match_mode != "absent":
-            before, length = first_match(candidate(r), list(r.patterns))
-            start, size = start.when(own == i, before), size.when(own == i, length)
-    rows = events.withColumns({"start": start, "_size": size})
+    if len(rules) <= FEW_RULES:
+        start = size = F
+        for i, r in enumerate(rules):  # one CASE with a branch for each rule
+            if not r.multiline and r.match_mode != "absent":
+                before, length = first_match(candidate(r), list(r.patterns))
+                start, size = start.when(own == i, before), size.when(own == i, length)
+        rows = events.withColumns({"start": start, "_size": size})
+    else:
+        by_rule = lambda values, kind: F.get(literal(values, f"array<{kind}>"), own)
+        shapes = {name: by_rule([[FLAGS + shape.replace("@", java_pattern(p)) for p in r.patterns] for r in rules], "array<string>") for name, shape in (("_test", "@"), ("_head", r"\A((?s:.*?))(?:@)"), ("_body", r"\A(?s:.*?)(@)"))}
+        mask = by_rule([MASK_OF[r.ignore_comments, r.ignore_strings] for r in rules], "int")
+        rows = events.sortWithinPartitions("rule_idx").withColumn("_seen", F.get(F.array(content, *(F.coalesce(c, content) for c in MASKS)), mask))
+        first = F.array_position(F.transform(shapes["_test"], lambda p: F.rlike("_seen", p)), True).cast("int")
+        rows = rows.withColumn("_first", first)
+        length = lambda shape: F.length(F.call_function("regexp_extract", F.col("_seen"), F.get(shapes[shape], F.col("_first") - 1), F.lit(1)))
+        rows = rows.withColumns({"start": length("_head"), "_size": length("_body")}).drop("_seen", "_first")
     return rows.withColumn("match_text", F.substr(content, F.col("start") + 1, F.col("_size"))).drop("_size", *MASKS)
 
 
@@ -217,9 +257,12 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     if bound:
         rows = rows.join(applicable(lines, rules, language, overrides), "path")
     file = Window.partitionBy(*FILE).orderBy("idx")
-    single, multi, absent = [], [], []
+    single, packed, raised, multi, absent = [], [], [], [], []
 
     for i, r in enumerate(rules):
+        if len(rules) > FEW_RULES and r.match_mode != "absent" and not (r.multiline or r.context_patterns or r.escalate_patterns) and all(required_text(p)[0] for p in r.patterns):
+            packed.append((i, r))
+            continue
         base, text = F.col("severities")[i] if bound else F.lit(r.severity), candidate(r)
         applies_here = base.isNotNull() if bound else F.lit(True)
         around = lambda w: file.rowsBetween(-w, w)
@@ -252,12 +295,18 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         elif r.multiline:
             multi.append(F.when(where, found))
         else:
-            single.append(F.when(where, F.struct(F.lit(i).alias("rule_idx"), severity.alias("severity"))))
+            single.append(F.when(where, i).otherwise(-1))
+            if r.escalate_patterns:
+                raised.append((i, severity))
 
     parts = []
-    if single:
-        hits = rows.select(*FILE, F.col("idx").alias("at"), "line", "content", *MASKS, F.inline(F.array_compact(F.array(*single))))
-        parts.append(placed(hits, rules))
+    if single or packed:
+        each = ([F.array_remove(F.array(*single), -1)] if single else []) + ([packed_hits(packed, bound)] if packed else [])
+        hits = rows.withColumn("rule_idx", F.explode(F.concat(*each)))
+        severity = F.get(F.col("severities") if bound else literal([r.severity for r in rules], "array<string>"), F.col("rule_idx"))
+        for i, higher_one in raised:
+            severity = F.when(F.col("rule_idx") == i, higher_one).otherwise(severity)
+        parts.append(placed(hits.select(*FILE, "rule_idx", severity.alias("severity"), F.col("idx").alias("at"), "line", "content", *MASKS), rules))
     if multi:  # several windows see one match
         parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))).dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"]))
     if absent:  # a row for each file: its first line, and what matched in it
@@ -275,8 +324,7 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         needs = F.array(*(F.array(*(F.lit(index[d]) for d in sorted(deps[r.id]))).cast("array<int>") for r in rules))
         events = events.withColumn("_met", met).where(F.size(F.array_except(needs[F.col("rule_idx")], "_met")) == 0).drop("_met")
     events = events.join(suppressions(lines, language), ["diff_id", "at"], "left")
-    ids = F.array(*(F.lit(r.id) for r in rules)) if rules else F.array().cast("array<string>")
-    events = events.withColumn("rule_id", F.get(ids, F.col("rule_idx")))
+    events = events.withColumn("rule_id", F.get(literal([r.id for r in rules], "array<string>"), F.col("rule_idx")))
     suppressed = F.coalesce(F.col("suppress_all") | F.array_contains("suppress_ids", F.col("rule_id")), F.lit(False))
     return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")
 
@@ -286,7 +334,7 @@ def findings(events: DataFrame, rules: list[Rule], most: int = 200) -> DataFrame
 
     The order is that of the lines in the diff, then of the rules, then of the match in the line.
     """
-    messages = F.array(*(F.lit(r.message) for r in rules)) if rules else F.array().cast("array<string>")
+    messages = literal([r.message for r in rules], "array<string>")
     order = Window.partitionBy("diff_id").orderBy("at", "rule_idx", F.col("start").asc_nulls_last(), "match_text")
     kept = events.where("not suppressed").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     column = (F.col("start") + 1).cast("long")
