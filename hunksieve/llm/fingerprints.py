@@ -18,8 +18,8 @@ from .common import cut, row_key, text_bytes
 
 #: So many shared digests are broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Bytes of text in a range of ids.
-RANGE_BYTES = 32 << 20
+#: Bytes of text in a range of ids, the most ranges (beyond them ranges grow; a task sorts with spills and streams), ids sampled for each.
+RANGE_BYTES, MOST_RANGES, SAMPLE = 32 << 20, 1 << 14, 16
 
 
 def canonical_text(text: str | None) -> str:
@@ -78,37 +78,45 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", fingerprint_udf(find_clashes(docs, text_col))(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def range_bounds(rows: DataFrame, wanted: int) -> np.ndarray:
+    """Ids at which ranges begin, from a sample of ids by their hashes: SAMPLE for each range, MOST_RANGES ranges at most.
+
+    They decide which task a row goes to and nothing else, so the sample doesn't show in the result.
+    """
+    n = rows.count()
+    share = min(1.0, SAMPLE * wanted / max(n, 1))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), "d"), F.lit(1 << 30)) < int(share * (1 << 30))).where("d is not null")
+    ids = np.sort(np.array([r[0] for r in chosen.select("d").distinct().limit(2 * SAMPLE * wanted).collect()], dtype=np.int64))
+    return np.unique(ids[(np.arange(1, wanted) * len(ids)) // wanted]) if len(ids) else ids
+
+
 def by_id_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, k, text, next) in ranges of ids, sorted in each; the first rows of a range follow the one before as `next`.
 
     The ranges' first ids are values of the table, so the row after a range's last one is known at the scan. After the
-    last range come the first rows of all. Null ids are the smallest.
+    last range come the first rows of all. Null ids are the smallest. Ids are whole numbers.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("d"), row_key(id_col, text_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, least, nulls = docs.agg(F.sum(text_bytes(text_col)), F.min(F.col(id_col).cast("long")), F.count_if(F.col(id_col).isNull())).first()
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // RANGE_BYTES)
-    steps = F.array(*(F.lit(i / wanted) for i in range(1, wanted)))
-    found = rows.agg(F.percentile_approx("d", steps, 10 * wanted).alias("b")).first()[0] if wanted > 1 else None
-    bounds = np.unique(np.array([b for b in found or [] if b != least or nulls], dtype=np.int64))
+    wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // RANGE_BYTES))
+    found = range_bounds(rows, wanted)
+    bounds = found[found != least] if not nulls and least is not None else found
     last = len(bounds)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(ids: pd.Series) -> pd.Series:
-        """The range of each id, and -1 less the range that it follows. Ids come as text, as longs with nulls would come as floats."""
-        out = []
-        for text in ids:
-            d = None if text is None else int(text)
-            at = 0 if d is None else int(np.searchsorted(bounds, d, side="right"))
-            own = [at]
-            if at and bounds[at - 1] == d:
-                own.append(-at)
-            if d is None if nulls else d == least:
-                own.append(-1 - last)
-            out.append(own)
-        return pd.Series(out)
-
-    placed = rows.withColumn("place", F.explode(places(F.col("d").cast("string"))))
+    @F.pandas_udf("part int, follows int")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        """The range of each id, and the range that it follows as its first id, or -1."""
+        d = ids.to_numpy(dtype=np.int64)
+        at = np.searchsorted(bounds, d, side="right")
+        first = (at > 0) & (bounds[np.maximum(at, 1) - 1] == d) if last else np.zeros(len(d), dtype=bool)
+        return pd.DataFrame({"part": at.astype(np.int32), "follows": np.where(first, at - 1, -1).astype(np.int32)})
+
+    told = rows.withColumn("at", place(F.coalesce("d", F.lit(0).cast("long"))))
+    part = F.when(F.col("d").isNull(), 0).otherwise(F.col("at.part"))
+    follows = F.when(F.col("d").isNull() | (F.col("at.follows") < 0), None).otherwise(-1 - F.col("at.follows"))
+    wraps = F.when(F.col("d").isNull() if nulls else F.col("d") == F.lit(least), -1 - last)
+    placed = told.withColumn("place", F.explode(F.array_compact(F.array(part, follows, wraps))))
     placed = placed.select("d", "k", "text", (F.col("place") < 0).alias("next"), F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("part"))
     return placed.repartitionById(last + 1, F.col("part")).sortWithinPartitions("next", F.col("d").asc_nulls_first(), "k").drop("part")
 

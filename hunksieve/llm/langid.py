@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_bucket
 
-#: Words are runs of letters. n-grams have up to three letters, a space standing for either end of a word.
-OTHER = re.compile(r"[\W\d_]+")
+#: Numerals that are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
+#: Words are runs of letters. n-grams have up to three, a space standing for either end of a word.
+OTHER = re.compile(rf"[\W\d_{NUMERALS}]+")
 SPACE = 32
 #: n-grams of a profile, and documents to learn from for each language.
 RANKS, TRAINING = 400, 1000
@@ -124,5 +127,6 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
     A null text or one without a letter is `und` with score 0, as is every text without profiles; of equal distances
     the first language in order wins. One pass, no shuffle. Columns of those names are replaced.
     """
-    out = docs.withColumn("_lang", identifier(profiles)(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    told = docs.select(F.struct(*names).alias("row"), identifier(profiles)(F.col(text_col)).alias("told"))
+    return told.select("row.*", "told.lang_pred", "told.score")

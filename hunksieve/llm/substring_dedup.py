@@ -198,11 +198,12 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
     same = ["d"] if ids[0] == ids[1] else ["d", "k"]
     names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    keyed = docs.select(*(F.col(c) for c in names), F.col(id_col).cast("long").alias("d"), (row_key(id_col, text_col) if len(same) > 1 else F.lit("")).alias("k"))
-    texts = keyed.select("d", "k", F.col(text_col).alias("text"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("d"), (row_key(id_col, text_col) if len(same) > 1 else F.lit("")).alias("k"))
+    texts = keyed.select("d", "k", "text")
+    keyed = keyed.drop("text")
     spans = find_repeats(texts if len(same) == 1 else texts.distinct(), width, same)
-    out = on_document(keyed, spans, same, "left").withColumn("_cut", without_spans(F.col(text_col), F.col("spans")))
-    return out.select(*names, "_cut.kept", "_cut.n_words", "_cut.n_removed")
+    out = on_document(keyed, spans, same, "left").withColumn("cut", without_spans(F.col(f"row.`{text_col}`"), F.col("spans")))
+    return out.select("row.*", "cut.kept", "cut.n_words", "cut.n_removed")
 
 
 def dedup_texts(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
