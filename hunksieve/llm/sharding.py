@@ -24,8 +24,8 @@ def shuffle_into_shards(
     well, and no bucket outgrows its size but by chance or by one long record. The place must be the same when a task
     is run again: `docs` has to be a scan or a written table, not the output of a shuffle. Null texts count as no
     bytes. An empty table gives an empty result. Columns of `docs` named shard or slot are replaced. The permutation
-    doesn't depend on the order in which rows or buckets come in: a bucket is put in the order of the scan, the buckets of
-    a partition in order of number, before Fisher-Yates.
+    doesn't depend on the order in which rows or buckets come in: a bucket is put in the order of the scan before
+    Fisher-Yates, and has a task of its own.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
     total = docs.agg(F.sum(text_bytes(text_col) + 1)).first()[0] or 0
@@ -37,9 +37,9 @@ def shuffle_into_shards(
     offsets = scattered.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("rows"))
 
     by_place = lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)
-    # As many partitions as buckets, so that a task holds one or a few at a time; their order there decides the random numbers.
-    full = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("_at", "rec")).alias("recs"))
-    mixed = full.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.array_sort("recs", by_place), F.lit(seed)).alias("recs"))
+    # A partition for each bucket: a task holds one, and the random numbers go by its number alone.
+    full = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("_at", "rec")).alias("recs"))
+    mixed = full.select("bucket", F.shuffle(F.array_sort("recs", by_place), F.lit(seed)).alias("recs"))
     ranked = mixed.join(offsets, "bucket").select("first", "rows", F.posexplode("recs").alias("pos", "one"))
 
     rank, base, extra = F.col("first") + F.col("pos"), F.floor(F.col("rows") / shards), F.col("rows") % shards
