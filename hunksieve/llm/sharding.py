@@ -37,10 +37,14 @@ def shuffle_into_shards(
     offsets = scattered.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("rows"))
 
     by_place = lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)
-    # A partition for each bucket: a task holds one, and the random numbers go by its number alone.
-    full = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("_at", "rec")).alias("recs"))
-    mixed = full.select("bucket", F.shuffle(F.array_sort("recs", by_place), F.lit(seed)).alias("recs"))
-    ranked = mixed.join(offsets, "bucket").select("first", "rows", F.posexplode("recs").alias("pos", "one"))
+    # A partition for each bucket: a task holds one, and the random numbers go by its number alone. Where a bucket
+    # begins comes with its records, so that they are shuffled once.
+    records = scattered.select("bucket", F.struct("_at", "rec").alias("one"), *(F.lit(None).cast("long").alias(c) for c in ("first", "rows")))
+    heads = offsets.select("bucket", F.lit(None).cast(records.schema["one"].dataType).alias("one"), "first", "rows")
+    full = records.unionByName(heads).repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    full = full.agg(F.collect_list("one").alias("recs"), F.max("first").alias("first"), F.max("rows").alias("rows"))
+    mixed = full.withColumn("recs", F.shuffle(F.array_sort("recs", by_place), F.lit(seed)))
+    ranked = mixed.select("first", "rows", F.posexplode("recs").alias("pos", "one"))
 
     rank, base, extra = F.col("first") + F.col("pos"), F.floor(F.col("rows") / shards), F.col("rows") % shards
     ranked = ranked.select("one.rec.*", rank.alias("_rank"), base.alias("_base"), (extra * (base + 1)).alias("_large"), extra.alias("_extra"))
