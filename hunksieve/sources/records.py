@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +23,12 @@ def _struct(ddl: str) -> str:
     return out
 
 
+def is_missing(spark: SparkSession, path: str) -> bool:
+    """Whether nothing is at `path`, in the file system that Spark reads it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
     """Receipts, one row for each file."""
     return spark.read.schema(RECEIPT).json(path, multiLine=True)
@@ -37,7 +41,7 @@ def receipt_findings(receipts: DataFrame) -> DataFrame:
 
 def read_baseline_receipt(spark: SparkSession, path: str) -> DataFrame:
     """(rule_id, path, line) of an old receipt; an error if it's missing or of another schema."""
-    if "://" not in path and not Path(path).exists():
+    if is_missing(spark, path):
         raise RecordError(f"no baseline at {path}")
     receipts = read_receipts(spark, path)
     _expect(receipts, CHECK_SCHEMA, path)
@@ -50,7 +54,7 @@ def _expect(frame: DataFrame, schema: str, path: str) -> None:
 
 
 def _read_list(spark: SparkSession, path: str, name: str, element: str, schema: str) -> DataFrame:
-    if "://" not in path and not Path(path).exists():
+    if is_missing(spark, path):
         return spark.createDataFrame([], element)
     frame = spark.read.schema(f"schema string, {name} array<struct<{_struct(element)}>>").json(path, multiLine=True)
     _expect(frame, schema, path)
