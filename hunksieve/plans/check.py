@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, history, verdict
-from ..operators.rules import Rule, select_by_tags
+from ..operators.rules import Rule, rules_table, select_by_tags
 from ..sinks import encoders
 
 
@@ -85,3 +86,13 @@ def run_check(lines: DataFrame, rules: list[Rule], plan: Plan | None = None, all
     told = {"base": F.lit(plan.base), "head": F.lit(plan.head), "scope": F.lit(plan.scope), "context_lines": F.lit(plan.diff_context).cast("long")}
     summary = summary.withColumns({**told, "status": verdict.status(), "reasons": verdict.reasons(), "exit_code": verdict.exit_code(plan.fail_on)})
     return Run(lines, events, found, known, hits, summary)
+
+
+def run_sensor(lines: DataFrame, rules: list[Rule], plan: Plan | None = None, capabilities: dict[str, tuple[str, str | None]] | None = None, artifacts: list[tuple[str, str]] | None = None, **how) -> tuple[Run, DataFrame]:
+    """`run_check` with the sensor reports (diff_id, page) of its diffs. The time told is that of the evaluation, which ends here."""
+    began = datetime.now(UTC)
+    done = run_check(lines, rules, plan, **how)
+    ended = datetime.now(UTC)
+    took = int((ended - began).total_seconds() * 1000)
+    stamp = lambda t: t.isoformat(timespec="seconds").replace("+00:00", "Z")
+    return done, encoders.sensor_report(done.summary, done.findings, rules_table(lines.sparkSession, rules), stamp(began), stamp(ended), capabilities, artifacts, took)

@@ -65,7 +65,11 @@ MARKDOWN_TABLE = "| Severity | Rule | Location | Message | Snippet |\n|---|---|-
 
 def markdown_page(summary: DataFrame, findings: DataFrame) -> DataFrame:
     """One summary page a diff. summary: diff_id, scope, base, head, status, counts by severity, suppressed, reasons, files and lines scanned."""
-    rows = page(markdown_rows(findings), "row", "n", MARKDOWN_TABLE, "\n")
+    return _markdown(summary, markdown_rows(findings))
+
+
+def _markdown(summary: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = page(rows, "row", "n", MARKDOWN_TABLE, "\n")
     said = F.filter("reasons", lambda x: x.isin(*META_REASONS))
     head = _text("## ", TOOL, " — ", F.upper("status"), "\n\nScanned **", F.col("files_scanned"), "** file(s), **", F.col("lines_scanned"), "** line(s) (scope: `", F.col("scope"), "`, base: `", F.col("base"), "`, head: `", F.col("head"), "`)\n\n")
     why = F.when(F.size(said) > 0, _text("**Verdict reasons:**\n", F.array_join(F.transform(said, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), "\n")).otherwise("")
@@ -75,11 +79,16 @@ def markdown_page(summary: DataFrame, findings: DataFrame) -> DataFrame:
 
 def baseline_rows(classed: DataFrame, new_only: bool = False) -> DataFrame:
     """Markdown rows marked as old or new, old ones first."""
-    mark = F.when(F.col("class") == "baseline", "[BASELINE] ").otherwise("[NEW] ")
-    rows = markdown_rows(classed.withColumn("message", F.concat(mark, "message"))).join(classed.select("diff_id", "n", "class"), ["diff_id", "n"])
-    rows = rows.where("class = 'new'") if new_only else rows
+    old = F.col("class") == "baseline"
+    rows = classed.where(~old) if new_only else classed
     order = Window.partitionBy("diff_id").orderBy("class", "n")
-    return rows.select("diff_id", F.row_number().over(order).alias("n"), "row")
+    marked = rows.withColumn("message", F.concat(F.when(old, "[BASELINE] ").otherwise("[NEW] "), "message")).withColumn("n", F.row_number().over(order))
+    return markdown_rows(marked)
+
+
+def baseline_page(summary: DataFrame, classed: DataFrame, new_only: bool = False) -> DataFrame:
+    """The summary page of `markdown_page` with `baseline_rows`, and what was known before told from what is new."""
+    return _markdown(summary, baseline_rows(classed, new_only))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -94,16 +103,24 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("diff_id", "n", F.col("rule_id").alias("ruleId"), called(F.col("severity"), "sarif").alias("level"), escape_xml(F.col("message")).alias("text"), escape_xml(F.col("path")).alias("uri"), F.col("line").alias("startLine"), F.col("column").alias("startColumn"), escape_xml(F.col("snippet")).alias("snippet"), key.alias("fingerprint"))
 
 
-def sarif(findings: DataFrame) -> DataFrame:
-    """(diff_id, page): SARIF 2.1.0."""
+#: Fixed value: where the schema of SARIF 2.1.0 lies.
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+
+
+def sarif(findings: DataFrame, diffs: DataFrame | None = None, information_uri: str | None = None) -> DataFrame:
+    """(diff_id, page): SARIF 2.1.0. diffs: (diff_id) of all diffs, so that those without findings get a page as well."""
     rules = sarif_rules(findings).groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.struct("text").alias("shortDescription"), F.struct("level").alias("defaultConfiguration")))).alias("rules"))
     place = F.struct(F.struct(F.struct("uri", F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct("startLine", "startColumn", F.struct(F.col("snippet").alias("text")).alias("snippet")).alias("region")).alias("physicalLocation"))
     one = F.struct("n", F.struct("ruleId", "level", F.struct("text").alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("partialFingerprints")).alias("r"))
     results = sarif_results(findings).groupBy("diff_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"]).alias("results"))
-    tool = F.struct(F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"), "rules").alias("driver"))
-    run = F.struct(tool.alias("tool"), "results")
-    doc = F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return rules.join(results, "diff_id").select("diff_id", F.to_json(doc).alias("page"))
+    rows = rules.join(results, "diff_id")
+    rows = diffs.select("diff_id").distinct().join(rows, "diff_id", "left") if diffs is not None else rows
+    uri = [F.lit(information_uri).alias("informationUri")] if information_uri else []
+    tool = F.struct(F.struct(F.lit(TOOL).alias("name"), F.lit(VERSION).alias("version"), *uri, "rules").alias("driver"))
+    none = F.array().cast(results.schema["results"].dataType)
+    run = F.struct(tool.alias("tool"), F.coalesce("results", none).alias("results"))
+    doc = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
+    return rows.select("diff_id", F.to_json(doc).alias("page"))
 
 
 def junit_suites(findings: DataFrame) -> DataFrame:
@@ -151,6 +168,12 @@ def gitlab(findings: DataFrame) -> DataFrame:
     return findings.select("diff_id", "n", mark.alias("fingerprint"), F.to_json(issue).alias("issue"))
 
 
+def gitlab_page(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    """(diff_id, page): the issues as one JSON array."""
+    line = F.concat(F.when(F.col("n") > F.min("n").over(Window.partitionBy("diff_id")), ",\n").otherwise(""), "issue")
+    return page(gitlab(findings).withColumn("line", line), "line", "n", "[", "]", diffs)
+
+
 def rule_stats(hits: DataFrame) -> DataFrame:
     """(diff_id, page): rule hits as JSON."""
     row = F.struct("rule_id", "total", "emitted", "suppressed", *(["false_positive"] if "false_positive" in hits.columns else []), F.struct("info", "warn", "error").alias("counts"))
@@ -178,7 +201,7 @@ def receipt_json(receipts: DataFrame) -> DataFrame:
     return receipts.select("diff_id", F.to_json(F.struct("schema", "tool", "diff", "findings", "verdict"), {"pretty": "true"}).alias("page"))
 
 
-def sensor_report(summary: DataFrame, findings: DataFrame, rules: DataFrame, started_at: str, ended_at: str, capabilities: dict[str, tuple[str, str | None]] | None = None, artifacts: list[tuple[str, str]] | None = None) -> DataFrame:
+def sensor_report(summary: DataFrame, findings: DataFrame, rules: DataFrame, started_at: str, ended_at: str, capabilities: dict[str, tuple[str, str | None]] | None = None, artifacts: list[tuple[str, str]] | None = None, duration_ms: int | None = None) -> DataFrame:
     """(diff_id, page): the envelope for dashboards, with matched rules and tags and what the cap left out.
 
     capabilities: status and reason by name; artifacts: path and format.
@@ -193,7 +216,7 @@ def sensor_report(summary: DataFrame, findings: DataFrame, rules: DataFrame, sta
     diff = F.struct("base", "head", "context_lines", "scope", "files_scanned", "lines_scanned")
     own = F.struct(F.col("suppressed").alias("suppressed_count"), F.col("truncated").alias("truncated_count"), F.coalesce("rules_matched", F.lit(0)).alias("rules_matched"), F.lit(rules.count()).alias("rules_total"), "tags_matched")
     able = [x for k, (status, why) in (capabilities or {}).items() for x in (F.lit(k), F.struct(F.lit(status).alias("status"), F.lit(why).alias("reason")))]
-    run = F.struct(F.lit(started_at).alias("started_at"), F.lit(ended_at).alias("ended_at"), *([F.create_map(*able).alias("capabilities")] if able else []))
+    run = F.struct(F.lit(started_at).alias("started_at"), F.lit(ended_at).alias("ended_at"), *([F.lit(duration_ms).alias("duration_ms")] if duration_ms is not None else []), *([F.create_map(*able).alias("capabilities")] if able else []))
     files = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(kind).alias("format")) for p, kind in artifacts or [])).alias("artifacts")
     verdict = F.struct("status", F.struct("info", "warn", "error").alias("counts"), "reasons")
     data = F.struct(diff.alias("diff"), own.alias(TOOL))

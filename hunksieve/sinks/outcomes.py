@@ -8,11 +8,14 @@ from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import BASELINE_SCHEMA, CHECK_SCHEMA, SENSOR_SCHEMA, TOOL, TREND_SCHEMA, VERSION
+from ..operators import history
 from ..operators.rules import Rule
 from ..schemas import FP_ENTRY, RECEIPT, TREND_RUN
+from ..sources import records
 
 INTERNAL, RUNTIME_ERROR = f"{TOOL}.internal", "tool.runtime_error"
 #: File names by format. Those of the second table stay where they are beside a sensor report.
@@ -54,10 +57,43 @@ def default_path(kind: str, beside_sensor: bool = False) -> Path:
 
 
 def write_page(pages: DataFrame, path: str | Path) -> None:
-    """One page to a file on the driver; folders are made."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(pages.select("page").first()[0], encoding="utf-8")
+    """One page to a file, in the file system that Spark reads the path from; folders are made, an older file is replaced."""
+    spark, text = pages.sparkSession, pages.select("page").first()[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.getScheme() == "file":  # without the checksum file that Hadoop puts beside
+        path = Path(files.makeQualified(where).toUri().getPath())
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+        return
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _listed(rows: DataFrame, name: str, schema: str, element: str, *order: str) -> DataFrame:
+    """(page): one document of all rows in order, as the readers of records take it."""
+    fields_ = T._parse_datatype_string(element).names
+    key = F.struct(*order, F.struct(*fields_).alias("x"))
+    listed = F.transform(F.array_sort(F.collect_list(key)), lambda r: r["x"])
+    return rows.agg(F.to_json(F.struct(F.lit(schema).alias("schema"), listed.alias(name)), {"pretty": "true"}).alias("page"))
+
+
+def write_acknowledged(entries: DataFrame, path: str) -> None:
+    """Adds `entries` (FP_ENTRY) to the file of acknowledged findings at `path`, which is made if it's missing.
+
+    The file is one document, which a person reads and edits; notes that it has stay.
+    """
+    old = records.read_acknowledged(entries.sparkSession, path)
+    write_page(_listed(history.merge_baselines(old, entries), "entries", BASELINE_SCHEMA, FP_ENTRY, "rule_id", "path", "line", "fingerprint"), path)
+
+
+def append_history(run: DataFrame, path: str, most: int | None = None) -> None:
+    """Adds `run` (one row of TREND_RUN) to the history at `path`, which is made if it's missing, and keeps the newest `most`."""
+    runs = history.append_run(records.read_history(run.sparkSession, path), run, most)
+    write_page(_listed(runs, "runs", TREND_SCHEMA, TREND_RUN, "seq"), path)
 
 
 def _schema(kind: T.DataType) -> dict:

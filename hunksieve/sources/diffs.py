@@ -42,6 +42,12 @@ def git_diff(repo: str, base: str | None = None, head: str | None = None, contex
     return done.stdout.decode(errors="replace")
 
 
+def git_changes(repo: str, path: str | None = None, timeout: float = 10) -> str:
+    """What an editor sees as changed: the diff of the working tree, then that of the index."""
+    both = [git_diff(repo, staged=staged, path=path, timeout=timeout) for staged in (False, True)]
+    return "".join(t if t.endswith("\n") else t + "\n" for t in both if t)
+
+
 def union_bases(diffs: list[DataFrame], label: str) -> DataFrame:
     """The diffs against several bases as one, in the order given."""
     out = None

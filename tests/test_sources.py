@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hunksieve.constants import BASELINE_SCHEMA, CHECK_SCHEMA, CONFIG_FILE
+from hunksieve.operators import history
 from hunksieve.operators.rules import Rule
-from hunksieve.plans.check import Plan, run_check
-from hunksieve.schemas import LINES
+from hunksieve.plans.check import Plan, run_check, run_sensor
+from hunksieve.schemas import LINES, TREND_RUN
 from hunksieve.sinks import encoders, outcomes
 from hunksieve.sources import config, diffs, records
 from hunksieve.streaming import editor
@@ -57,7 +58,13 @@ def test_git(tmp_path, spark):
     git("add", ".")
     git("commit", "-qm", "one")
     (tmp_path / "f.py").write_text("a\nb\n")
+    (tmp_path / "g.py").write_text("n\n")
     git("add", ".")
+    (tmp_path / "f.py").write_text("a\nb\nc\n")
+    seen = diffs.parse_unified_diffs(diffs.raw_diff(spark, diffs.git_changes(str(tmp_path), "f.py"))).orderBy("idx").collect()
+    assert [(r.path, r.line, r.content) for r in seen] == [("f.py", 3, "c"), ("f.py", 2, "b")]
+    (tmp_path / "f.py").write_text("a\nb\n")
+    git("rm", "-qf", "g.py")
     staged = diffs.parse_unified_diffs(diffs.raw_diff(spark, diffs.git_diff(str(tmp_path), staged=True)))
     assert [(r.path, r.line, r.content) for r in staged.collect()] == [("f.py", 2, "b")]
     git("commit", "-qm", "two")
@@ -92,6 +99,8 @@ def test_sinks(spark, run, tmp_path):
     page = lambda df: df.first().page
     sarif = json.loads(page(encoders.sarif(done.findings)))
     assert sarif["version"] == "2.1.0" and [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["a.b", "d"]
+    assert sarif["$schema"].endswith("sarif-schema-2.1.0.json") and "informationUri" not in sarif["runs"][0]["tool"]["driver"]
+    assert [json.loads(r.issue) for r in encoders.gitlab(done.findings).orderBy("n").collect()] == json.loads(page(encoders.gitlab_page(done.findings)))
     assert [r["level"] for r in sarif["runs"][0]["results"]] == ["error", "warning", "error"]
     suites = ET.fromstring(page(encoders.junit(done.findings)).replace("File: f<1>.py", "").encode())
     assert (suites.get("tests"), suites.get("failures")) == ("3", "3") and [s.get("name") for s in suites] == ["a.b", "d"]
@@ -110,6 +119,8 @@ def test_sinks(spark, run, tmp_path):
     assert marks == [(0, 2, 3), (1, 2, 3), (0, 0, 1)]
     classed = done.findings.withColumn("class", F.when(F.col("n") == 3, "baseline").otherwise("new"))
     marked = [r.row for r in encoders.baseline_rows(classed).orderBy("n").collect()]
+    told = page(encoders.baseline_page(done.summary, classed))
+    assert told.index(marked[0]) < told.index(marked[1]) < told.index(marked[2]) and told.startswith("## ")
     assert "\\[BASELINE\\]" in marked[0] and len(marked) == 3 and encoders.baseline_rows(classed, True).count() == 2
 
 
@@ -120,6 +131,18 @@ def test_pages_without_findings(spark, run):
     assert len(junit) == 1 and 'name="no_findings"' in junit[0] and 'tests="0"' in junit[0]
     assert encoders.csv_page(found, diffs_).first().page == "file,line,rule_id,severity,message,snippet\n"
     assert len(ET.fromstring(encoders.checkstyle(found, diffs_).first().page.encode())) == 0
+    (sarif,) = json.loads(encoders.sarif(found, diffs_, "https://example.org").first().page)["runs"]
+    assert sarif["results"] == [] and sarif["tool"]["driver"]["informationUri"] == "https://example.org" and "rules" not in sarif["tool"]["driver"]
+    assert encoders.gitlab_page(found, diffs_).first().page == "[]"
+    assert "No findings." in encoders.baseline_page(diffs_, found.withColumn("class", F.lit("new"))).first().page
+
+
+def test_run_sensor(spark, run):
+    pack, done = run
+    again, reports = run_sensor(done.lines, pack, Plan(), {"git": ("available", None)}, [("a.json", "sarif")])
+    report = json.loads(reports.first().page)
+    assert again.findings.count() == 3 == len(report["findings"]) and report["run"]["duration_ms"] >= 0 and report["run"]["started_at"].endswith("Z")
+    assert report["run"]["capabilities"] == {"git": {"status": "available"}} and report["artifacts"] == [{"path": "a.json", "format": "sarif"}]
 
 
 def test_outcomes(spark, tmp_path):
@@ -154,6 +177,38 @@ def test_records(spark, run, tmp_path):
         records.read_acknowledged(spark, str(tmp_path / "b.json"))
 
 
+def test_records_elsewhere(spark, tmp_path):
+    """Paths belong to Spark's file systems, not to the driver's disk."""
+    (tmp_path / "b.json").write_text(json.dumps({"schema": BASELINE_SCHEMA, "entries": [{"fingerprint": "f", "rule_id": "r", "path": "p", "line": 3}]}))
+    spark.conf.set("fs.viewfs.mounttable.t.link./there", f"file:{tmp_path}")
+    assert records.read_acknowledged(spark, "viewfs://t/there/b.json").count() == 1
+    assert records.read_acknowledged(spark, "viewfs://t/there/none.json").count() == 0
+    spark.conf.set("fs.defaultFS", "viewfs://t/")
+    try:
+        assert records.read_acknowledged(spark, "/there/b.json").count() == 1
+        outcomes.write_acknowledged(records.read_acknowledged(spark, "/there/b.json"), "/there/c.json")
+        assert records.read_acknowledged(spark, "/there/c.json").count() == 1
+    finally:
+        spark.conf.unset("fs.defaultFS")
+        spark.conf.unset("fs.viewfs.mounttable.t.link./there")
+    assert records.read_acknowledged(spark, str(tmp_path / "c.json")).first()[:] == ("f", "r", "p", 3, None)
+
+
+def test_record_writers(spark, run, tmp_path):
+    path = str(tmp_path / "made/b.json")
+    entries = history.entries_of(run[1].findings)
+    outcomes.write_acknowledged(entries.limit(1).withColumn("note", F.lit("why")), path)
+    outcomes.write_acknowledged(entries, path)
+    got = records.read_acknowledged(spark, path).collect()
+    assert len(got) == 3 and [(r.rule_id, r.path, r.line) for r in got] == sorted((r.rule_id, r.path, r.line) for r in got) and sum(r.note == "why" for r in got) == 1
+    path = str(tmp_path / "h.json")
+    for k in range(4):
+        one = spark.createDataFrame([(0, f"s{k}", "e", 1, "b", "h", "added", "pass", (0, k, 0, 0), 1, 2, k)], TREND_RUN)
+        outcomes.append_history(one, path, 3)
+    runs = records.read_history(spark, path).orderBy("seq").collect()
+    assert [r.started_at for r in runs] == ["s1", "s2", "s3"] and [r.counts.warn for r in runs] == [1, 2, 3]
+
+
 def test_editor_texts():
     assert editor.changed_lines("a\nb\n", "a\nc\nd") == [(2, "c"), (3, "d")] and editor.changed_lines("a\nb", "a") == []
     edit = lambda *a: dict(zip(("sl", "sc", "el", "ec", "text"), a, strict=True))
