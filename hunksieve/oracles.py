@@ -180,18 +180,24 @@ d AS (SELECT seq, v - lag(v) OVER w AS info, c - lag(c) OVER w AS warn, e - lag(
 SELECT * FROM d WHERE findings IS NOT NULL ORDER BY seq DESC LIMIT 1""",
     "trend_retention": "SELECT datediff('day', DATE '1970-01-01', ts::DATE) AS seq, count(*) AS findings FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 3",
     "sensor_findings": f"""{RANKED} SELECT diff_id, n, rule_id AS code, severity, message, path, line, col AS "column", {MARK} AS fingerprint,
-  CASE rule_id WHEN 'pii.email' THEN 'remove it' END AS help, CASE rule_id WHEN 'pii.ipv4' THEN 'https://example.org/ip' END AS url FROM findings""",
-    "rules_matched": f"{RANKED} SELECT diff_id, count(DISTINCT rule_id) AS rules_matched FROM findings GROUP BY diff_id",
-    "tags_matched": f"""{RANKED} SELECT diff_id, tag, count(*) AS findings FROM findings JOIN (VALUES ('pii.email', 'pii'), ('pii.email', 'Mail'), ('pii.ipv4', 'pii'), ('secret.token', 'secret')) AS t(rule_id, tag) USING (rule_id) GROUP BY ALL""",
-    "sarif_rules": f"{RANKED} SELECT diff_id, rule_id, {xml('arg_min(message, n)')} AS text, arg_min({level('sarif')}, n) AS level FROM findings GROUP BY diff_id, rule_id",
-    "sarif_results": f"""{RANKED} SELECT diff_id, n, rule_id AS "ruleId", {level('sarif')} AS level, {xml('message')} AS text, {xml('path')} AS uri, line AS "startLine", col AS "startColumn", {xml('snippet')} AS snippet, rule_id || ':' || path || ':' || line AS fingerprint FROM findings""",
-    "junit_suites": f"{RANKED} SELECT diff_id, rule_id, count(*) AS tests, count(*) FILTER (severity <> 'info') AS failures FROM findings GROUP BY diff_id, rule_id",
+  CASE rule_id WHEN 'pii.email' THEN 'remove it' END AS help, CASE rule_id WHEN 'pii.ipv4' THEN 'https://example.org/ip' END AS url FROM found""",
+    "rules_matched": f"{RANKED} SELECT diff_id, count(DISTINCT rule_id) AS rules_matched FROM found GROUP BY diff_id",
+    "tags_matched": f"""{RANKED} SELECT diff_id, tag, count(*) AS findings FROM found JOIN (VALUES ('pii.email', 'pii'), ('pii.email', 'Mail'), ('pii.ipv4', 'pii'), ('secret.token', 'secret')) AS t(rule_id, tag) USING (rule_id) GROUP BY ALL""",
+    "sarif_rules": f"{RANKED} SELECT diff_id, rule_id, {xml('arg_min(message, n)')} AS text, arg_min({level('sarif')}, n) AS level FROM found GROUP BY diff_id, rule_id",
+    "sarif_results": f"""{RANKED} SELECT diff_id, n, rule_id AS "ruleId", {level('sarif')} AS level, {xml('message')} AS text, {xml('path')} AS uri, line AS "startLine", col AS "startColumn", {xml('snippet')} AS snippet, rule_id || ':' || path || ':' || line AS fingerprint FROM found""",
+    "junit_suites": f"{RANKED} SELECT diff_id, rule_id, count(*) AS tests, count(*) FILTER (severity <> 'info') AS failures FROM found GROUP BY diff_id, rule_id",
     "checkstyle_files": f"""{RANKED} SELECT diff_id, path, count(*) AS errors, string_agg('    <error line="' || line || '" column="' || col || '" severity="' || {level('checkstyle')} || '" message="' || {xml('message')} || '" source="' || {xml('rule_id')} || '"/>' || chr(10), '' ORDER BY n) AS elements
-FROM findings GROUP BY diff_id, path""",
-    "csv_rows": f"{RANKED} SELECT diff_id, n, {csv('path')} || ',' || line || ',' || rule_id || ',' || severity || ',' || {csv('message')} || ',' || {csv('snippet')} || chr(10) AS row FROM findings",
-    "tsv_rows": f"{RANKED} SELECT diff_id, n, {tsv('path')} || chr(9) || line || chr(9) || rule_id || chr(9) || severity || chr(9) || {tsv('message')} || chr(9) || {tsv('snippet')} || chr(10) AS row FROM findings",
-    "annotations": f"{RANKED} SELECT diff_id, n, '::' || {level('annotation')} || ' file=' || path || ',line=' || line || '::' || rule_id || ' ' || message AS row FROM findings",
-    "markdown_rows": f"{RANKED} SELECT diff_id, n, '| ' || severity || ' | `' || {markdown('rule_id')} || '` | `' || {markdown('path')} || ':' || line || '` | ' || {markdown('message')} || ' | `' || {markdown('snippet')} || '` |' || chr(10) AS row FROM findings",
+FROM found GROUP BY diff_id, path""",
+    "csv_rows": f"{RANKED} SELECT diff_id, n, {csv('path')} || ',' || line || ',' || rule_id || ',' || severity || ',' || {csv('message')} || ',' || {csv('snippet')} || chr(10) AS row FROM found",
+    "tsv_rows": f"{RANKED} SELECT diff_id, n, {tsv('path')} || chr(9) || line || chr(9) || rule_id || chr(9) || severity || chr(9) || {tsv('message')} || chr(9) || {tsv('snippet')} || chr(10) AS row FROM found",
+    "annotations": f"{RANKED} SELECT diff_id, n, '::' || {level('annotation')} || ' file=' || path || ',line=' || line || '::' || rule_id || ' ' || message AS row FROM found",
+    "markdown_rows": f"{RANKED} SELECT diff_id, n, '| ' || severity || ' | `' || {markdown('rule_id')} || '` | `' || {markdown('path')} || ':' || line || '` | ' || {markdown('message')} || ' | `' || {markdown('snippet')} || '` |' || chr(10) AS row FROM found",
+    "junit_cases": f"""{RANKED} SELECT diff_id, rule_id, string_agg('    <testcase classname="' || {xml('path')} || '" name="' || {xml("(path || ':' || line)")} || '">' || chr(10)
+  || CASE WHEN severity = 'info' THEN '' ELSE '      <failure type="' || CASE severity WHEN 'error' THEN 'error' ELSE 'warning' END || '" message="' || {xml('message')} || '">' || chr(10)
+    || 'Rule: ' || rule_id || chr(10) || 'File: ' || path || chr(10) || 'Line: ' || line || chr(10) || 'Snippet: ' || snippet || chr(10) || '      </failure>' || chr(10) END
+  || '    </testcase>' || chr(10), '' ORDER BY n) AS cases FROM findings GROUP BY diff_id, rule_id""",
+    "gitlab_issues": f"""{RANKED} SELECT diff_id, n, CASE snippet WHEN '' THEN json_merge_patch(issue, '{{"content": null}}') ELSE issue END::VARCHAR AS issue FROM (SELECT *, json_object('description', message, 'check_name', rule_id, 'fingerprint', sha256(rule_id || path || line || col || match_text),
+  'severity', {level('gitlab')}, 'location', json_object('path', path, 'lines', json_object('begin', line)), 'content', json_object('body', snippet)) AS issue FROM found)""",
     "xml_escape": f"SELECT page_id, {xml('html')} AS escaped FROM pages",
     "rule_suggest": "SELECT id, s AS score FROM (SELECT id, CASE WHEN starts_with(id, 'pii.ipv') OR starts_with('pii.ipv', id) THEN 0 WHEN contains(id, 'pii.ipv') OR contains('pii.ipv', id) THEN 1 WHEN levenshtein(id, 'pii.ipv') <= 3 THEN levenshtein(id, 'pii.ipv') + 2 END AS s FROM (VALUES ('pii.email'), ('pii.ipv4'), ('secret.token'), ('text.licence')) AS v(id)) WHERE s IS NOT NULL",
     "rule_self_test": r"""SELECT rule_id, n, should_match, matched, should_match = matched AS passed FROM (

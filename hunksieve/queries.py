@@ -316,47 +316,56 @@ def trend_retention(spark, sf_dir):
 
 
 def sensor_findings(spark, sf_dir):
-    return encoders.sensor_findings(found(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
+    return encoders.sensor_findings(all_findings(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
 
 
 def rules_matched(spark, sf_dir):
-    return verdict.rules_matched(found(spark, sf_dir))
+    return verdict.rules_matched(all_findings(spark, sf_dir))
 
 
 def tags_matched(spark, sf_dir):
-    return verdict.tags_matched(found(spark, sf_dir), rules.rules_table(spark, RULES))
+    return verdict.tags_matched(all_findings(spark, sf_dir), rules.rules_table(spark, RULES))
 
 
 def sarif_rules(spark, sf_dir):
-    return encoders.sarif_rules(found(spark, sf_dir))
+    return encoders.sarif_rules(all_findings(spark, sf_dir))
 
 
 def sarif_results(spark, sf_dir):
-    return encoders.sarif_results(found(spark, sf_dir))
+    return encoders.sarif_results(all_findings(spark, sf_dir))
 
 
 def junit_suites(spark, sf_dir):
-    return encoders.junit_suites(found(spark, sf_dir)).drop("cases")
+    return encoders.junit_suites(all_findings(spark, sf_dir)).drop("cases")
+
+
+def junit_cases(spark, sf_dir):
+    """The bodies of the suites, which are one text each, under the cap of a run."""
+    return encoders.junit_suites(found(spark, sf_dir)).select("diff_id", "rule_id", "cases")
+
+
+def gitlab_issues(spark, sf_dir):
+    return encoders.gitlab(all_findings(spark, sf_dir)).select("diff_id", "n", "issue")
 
 
 def checkstyle_files(spark, sf_dir):
-    return encoders.checkstyle_files(found(spark, sf_dir))
+    return encoders.checkstyle_files(all_findings(spark, sf_dir))
 
 
 def csv_rows(spark, sf_dir):
-    return encoders.csv_rows(found(spark, sf_dir))
+    return encoders.csv_rows(all_findings(spark, sf_dir))
 
 
 def tsv_rows(spark, sf_dir):
-    return encoders.tsv_rows(found(spark, sf_dir))
+    return encoders.tsv_rows(all_findings(spark, sf_dir))
 
 
 def annotations(spark, sf_dir):
-    return encoders.annotations(found(spark, sf_dir))
+    return encoders.annotations(all_findings(spark, sf_dir))
 
 
 def markdown_rows(spark, sf_dir):
-    return encoders.markdown_rows(found(spark, sf_dir))
+    return encoders.markdown_rows(all_findings(spark, sf_dir))
 
 
 def xml_escape(spark, sf_dir):
@@ -414,7 +423,7 @@ QUERIES = {
     + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
-    + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, checkstyle_files, csv_rows)
+    + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
     + (benchmark_fanout_rules, runs_of_files)
 }
