@@ -192,6 +192,11 @@ def self_test(spark: SparkSession, rules: list[Rule], id_prefix: str = "") -> Da
     return out.withColumn("passed", F.col("should_match") == F.col("matched"))
 
 
+def self_test_totals(results: DataFrame) -> DataFrame:
+    """(passed, failed): how many cases of `self_test` went each way; one row, of zeros without cases."""
+    return results.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 def suggest(rules: DataFrame, wanted: str, most: int = 5) -> DataFrame:
     """The ids of `rules` (rule_idx, id) nearest to a mistyped one: by beginning, inclusion, or up to three edits."""
     a, b = F.lower("id"), F.lit(wanted.lower())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tomllib
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import MISSING, dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -47,6 +48,9 @@ class Config:
     rules: tuple[Rule, ...] = field(default=())
 
 
+VARIABLE = r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}"
+
+
 def expand_env(text: str, env: dict[str, str] | None = None) -> str:
     """`${NAME}` and `${NAME:-default}`, where the default is for names that aren't set; others are an error."""
     env = dict(os.environ) if env is None else env
@@ -58,7 +62,7 @@ def expand_env(text: str, env: dict[str, str] | None = None) -> str:
             raise ConfigError(f"environment variable {m[1]} is not set")
         return m[2]
 
-    return re.sub(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}", value, text)
+    return re.sub(VARIABLE, value, text)
 
 
 def _parse(text: str, where: str) -> tuple[list[str], Defaults, list[Rule]]:
@@ -111,6 +115,29 @@ def preset(name: str) -> Config:
     return Config(STANDARD, tuple(PRESETS[name]))
 
 
+def config_text(config: Config) -> str:
+    """A configuration as the text of a file that `load_config` reads back to the same; only what differs from the defaults is named.
+
+    Texts are JSON strings, which TOML reads as well. A text that looks like `${NAME}` can't be kept from being expanded, so it's an error.
+    """
+
+    def text(value: object) -> str:
+        if isinstance(value, tuple):
+            return "[" + ", ".join(map(text, value)) + "]"
+        if is_dataclass(value):
+            return "{" + ", ".join(f"{k} = {v}" for k, v in lines(value)) + "}"
+        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+    def lines(value: object) -> list[tuple[str, str]]:
+        return [(f.name, text(v)) for f in fields(value) if (v := getattr(value, f.name)) is not None and (f.default is MISSING or v != f.default)]
+
+    tables = [("[defaults]", config.defaults), *(("[[rule]]", r) for r in config.rules)]
+    out = "\n".join("\n".join([head, *(f"{k} = {v}" for k, v in lines(table))]) + "\n" for head, table in tables)
+    if re.search(VARIABLE, out):
+        raise ConfigError("a text looks like an environment variable")
+    return out
+
+
 def directories_above(lines: DataFrame) -> DataFrame:
     """(directory): all directories that hold a path of `lines`, up to the root, which is empty."""
     parts = F.split("path", "/")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hunksieve.constants import BASELINE_SCHEMA, CHECK_SCHEMA, CONFIG_FILE
 from hunksieve.operators import history
-from hunksieve.operators.rules import Rule
+from hunksieve.operators.rules import Rule, TestCase, self_test, self_test_totals
 from hunksieve.plans.check import Plan, run_check, run_sensor
 from hunksieve.schemas import LINES, TREND_RUN
 from hunksieve.sinks import encoders, outcomes
@@ -51,6 +51,23 @@ def test_overrides_of_directories(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("name", sorted(config.PRESETS))
+def test_preset_texts(tmp_path, name):
+    (tmp_path / "c.toml").write_text(config.config_text(config.preset(name)), encoding="utf-8")
+    assert config.load_config(tmp_path / "c.toml", {}) == config.preset(name)
+
+
+def test_config_text(spark, tmp_path):
+    rule = Rule("a", patterns=('say "é\\d" 😀\t\x7f',), test_cases=(TestCase("é1", True, language="py"), TestCase("b\n", False)), multiline_window=0)
+    made = config.Config(config.STANDARD, (rule,))
+    (tmp_path / "c.toml").write_text(config.config_text(made), encoding="utf-8")
+    assert config.load_config(tmp_path / "c.toml", {}) == made
+    with pytest.raises(config.ConfigError):
+        config.config_text(config.Config(rules=(Rule("a", patterns=("${HOME}",)),)))
+    tested = self_test(spark, [Rule("a", patterns=("x",), test_cases=(TestCase("x", True), TestCase("x", False), TestCase("y", False)))])
+    assert self_test_totals(tested).first()[:] == (2, 1) and self_test_totals(tested.limit(0)).first()[:] == (0, 0)
+
+
 def test_git(tmp_path, spark):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
     git("init", "-q", "-b", "main")
