@@ -126,33 +126,37 @@ def fingerprints_under_edit(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     `edited` has the last n_chars // share code points replaced by the first as many (or all) of the next document in
     order of id; after the last comes the first, a sole document follows itself. Rows that repeat id and text are one
-    document here and get equal results; texts of one id are ordered by `row_key`. Null texts count as empty.
+    document here and get equal results; texts of one id are ordered by `row_key`. Null texts count as empty. Ids are whole
+    numbers, or text that is one; an empty table gives no rows.
     """
     clashes = find_clashes(docs, text_col)
 
     def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = namer(clashes), []
+        name, held, copies = namer(clashes), None, 0  # the row that waits for the next one's text, and how often it came
 
-        def done(text: str) -> list[tuple]:
-            own, other, out = held[0][2], name(text), []
+        def done(text: str) -> tuple:
+            d, _, own = held
             n = len(own) // share
             edited = own[: len(own) - n] + text[:n]
-            row = (len(own), edited, name(own), name(edited), other)
-            for d, *_ in held:
-                out.append((d, *row))
-            held.clear()
-            return out
+            return (d, len(own), edited, name(own), name(edited), name(text))
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)], names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint"])
 
         for batch in source:
             for lo in range(0, batch.num_rows, 64):
                 out = []
                 for d, k, text, follows in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                    if held and (follows or held[0][:2] != (d, k)):
-                        out += done(text)
+                    if held and (follows or held[:2] != (d, k)):
+                        row = done(text)
+                        for _ in range((copies - 1) // 64):
+                            yield told([row] * 64)
+                        out += [row] * ((copies - 1) % 64 + 1)
+                        held, copies = None, 0
                     if not follows:
-                        held.append((d, k, text))
+                        held, copies = (d, k, text), copies + 1
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)], names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint"])
+                    yield told(out)
 
     return by_id_ranges(docs, id_col, text_col).mapInArrow(walk, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, next_fingerprint string")
 

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_bucket
 
-#: Numerals that are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
 #: Words are runs of letters. n-grams have up to three, a space standing for either end of a word.
-OTHER = re.compile(rf"[\W\d_{NUMERALS}]+")
+OTHER = re.compile(r"[\W\d_]+")
+#: Numerals that are neither letters nor decimal digits separate words too. They are rare: looked up in what OTHER leaves.
+NUMERALS = dict.fromkeys((i for i in range(sys.maxunicode + 1) if (c := chr(i)).isalnum() and not (c.isalpha() or c.isdecimal())), " ")
+IS_NUMERAL = np.zeros(sys.maxunicode + 1, dtype=bool)
+IS_NUMERAL[list(NUMERALS)] = True
 SPACE = 32
 #: n-grams of a profile, and documents to learn from for each language.
 RANKS, TRAINING = 400, 1000
@@ -28,9 +30,11 @@ HELD_OUT_PARTS, HELD_OUT = 3, 1
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a whole text, each packed into 63 bits, and how often each occurs."""
     words = OTHER.sub(" ", text.lower()).strip()
+    c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    if not words.isascii() and IS_NUMERAL[c].any():
+        return count_grams(words.translate(NUMERALS))
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    c = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     pairs = (c[:-1] << 21) | c[1:]
     inside = c[1:-1] != SPACE
     return np.unique(np.concatenate([c[1:-1][inside], pairs, ((pairs[:-1] << 21) | c[2:])[inside]]), return_counts=True)
@@ -74,7 +78,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = F.xxhash64(F.lit(11), "id", "lang")
     # The k-th smallest hash of each language bounds its sample; a mergeable sketch of the k smallest would do no better.
     share = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = F.least(F.lit(1.0), 1.5 * per_lang / F.col("n") + 0.001)
+    likely = F.least(F.lit(1.0), (1.5 * per_lang + 100) / F.col("n"))  # a window so large holds per_lang all but surely
     some = rows.join(F.broadcast(share), "lang").where(F.pmod(order, F.lit(1 << 30)) < likely * (1 << 30))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
     chosen = cut(some.select("lang", "id", order.alias("order")).withColumn("_place", place).where(F.col("_place") <= per_lang).select("lang", "id").distinct())
@@ -125,7 +129,7 @@ def identify_language(docs: DataFrame, profiles: Profiles, text_col: str = "text
     """`docs` with lang_pred and score: one less the out-of-place distance, as a share of the greatest possible.
 
     A null text or one without a letter is `und` with score 0, as is every text without profiles; of equal distances
-    the first language in order wins. One pass, no shuffle. Columns of those names are replaced.
+    the first language in order wins. Repeated rows get equal results, an empty table stays empty. One pass, no shuffle. Columns of those names are replaced.
     """
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     told = docs.select(F.struct(*names).alias("row"), identifier(profiles)(F.col(text_col)).alias("told"))

@@ -158,7 +158,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids: little-endian uint32 binary).
 
     A document's ids end in `end_id`; one of more than `size` ids is cut at multiples of `size`. A null or empty text
-    is the end id alone. Repeated rows are packed as often as they occur. No window exceeds `size`, and offsets in a
+    is the end id alone. Repeated rows are packed as often as they occur. Ids are whole numbers, or text that is one; a
+    null id stays. An empty table gives no pieces; other columns don't matter. No window exceeds `size`, and offsets in a
     sequence are gapless. The tokens are written once and read twice: for the emitted windows and for the leftovers,
     of which a group holds at most `MERGED * open_windows` windows.
     """

@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
 
     A word goes if a window of `width` words that covers it also starts earlier: in a document of smaller id, or
     before in the same one; windows are judged on the input. Words are runs of other than ASCII white space, as they
-    stand. Null and empty texts have none. A null id counts as the smallest. Rows that repeat id and text count as one
+    stand. Null and empty texts have none. Ids are whole numbers, or text that is one; a null id counts as the smallest. Rows that repeat id and text count as one
     document and get equal results; rows that share an id but not the text are told apart by `row_key`. Shorter
     documents are never touched. Columns named like the results are replaced.
     """

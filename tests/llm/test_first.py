@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hunksieve.llm import decontaminate, packing, sharding, tokencount
@@ -93,7 +94,9 @@ def brute(docs, items, width=13):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)  # 0: joined by shuffles, frequent words salted
     rng = random.Random(3)
     vocab = ["a", "B", "c", "été", "7", "rare", "the"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 2, 12, 13, 15, 30])))) for i in range(12)] + [(None, "Rare, the; c"), (99, None), (5, "a a a a a a a a a a a a a a a")]
@@ -110,5 +113,8 @@ def test_decontamination(spark):
     clean = decontaminate.drop_contaminated(frame, bench)
     assert clean.columns == frame.columns
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for d, *_, dirty in brute(docs, items) if not dirty)
+    names = {"_bad": "lang", "key": "shard", "row": "doc_id", "w": "text"}
+    clashing = decontaminate.drop_contaminated(frame.select("doc_id", "text", *(F.col(c).alias(n) for n, c in names.items())), bench)
+    assert clashing.columns == ["doc_id", "text", *names] and clashing.count() == clean.count()
     assert decontaminate.find_contamination(frame, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_contamination(frame.limit(0), bench).count() == 0

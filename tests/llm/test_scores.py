@@ -60,6 +60,8 @@ def test_fingerprints_under_edit(spark, null_id):
     assert fingerprints.fingerprints_under_edit(frame.limit(0)).count() == 0
     one = fingerprints.fingerprints_under_edit(spark.createDataFrame([(5, "abcdefgh", "", "")], DOCS)).collect()
     assert [(r.doc_id, r.edited) for r in one] == [(5, "abcdefab")]
+    many = spark.createDataFrame([(5, "abcdefgh", "", "")] * 131 + [(6, "xyz", "", "")], DOCS)
+    assert Counter((r.doc_id, r.edited) for r in fingerprints.fingerprints_under_edit(many).collect()) == {(5, "abcdefxy"): 131, (6, "xyz"): 1}
 
 
 def test_grams():
@@ -176,7 +178,7 @@ def test_licenses(spark):
     docs += [(500, None, None, None), (501, "", "", ""), (502, "license " * 9000, "", ""), (None, "Licensed under CC BY 4.0.", "", "")]
     out = licenses.scan_licenses(spark.createDataFrame([*docs, docs[0]], DOCS)).collect()
     got = {r.doc_id: (r.license, None if r.dice is None else round(r.dice, 9), r.line, r.n_passages) for r in out}
-    assert len(out) == len(docs) and got == {d: brute_dice(t) for d, t, *_ in docs}
+    assert len(out) == len(docs) + 1 and got == {d: brute_dice(t) for d, t, *_ in docs}
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
 
 
