@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, license_passages, licenses, packing, sharding, simhash, substring_dedup, tokencount, toxicity
+from . import decontaminate, fingerprints, langid, lexical_search, license_passages, licenses, packing, periodic_runs, prefix_bpe, sharding, simhash, substring_dedup, tokencount, toxicity
 from .common import in_bucket, text_bytes
 
 
@@ -74,6 +74,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def periodic_words(doc_id: Column, text: Column) -> Column:
+    """The words of a text; those of every tenth document, by the hash of its id, go on periodically from some word."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    told = F.named_struct(F.lit("w"), periodic_runs.words(text), F.lit("g"), F.floor(h / 10))
+    begin = told["g"] % F.size(told["w"])
+    period = F.floor((F.size(told["w"]) - begin) / (told["g"] % 8 + 3)) + 1
+    made = F.transform(told["w"], lambda w, i: F.when(i >= begin, F.get(told["w"], (begin + (i - begin) % period).cast("int"))).otherwise(w))
+    return F.when((h % 10 == 0) & (F.size(told["w"]) > 0), made).otherwise(told["w"])
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs, sequence=periodic_words(F.col("doc_id"), F.col("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("a"), (-r["start"]).alias("b"), (-r["period"]).alias("c"), r.alias("run"))))["run"]
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    told = found.select("doc_id", "runs", "kept", best.alias("best"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, F.sha2("lines", 256).alias("runs_sha256"), F.sha2(F.array_join("kept", " "), 256).alias("collapsed_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = prefix_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(prefix_bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +119,9 @@ QUERIES = {
         op8_license_passages,
         op9_token_counts,
         op10_decontamination,
+        op11_periodic_runs,
+        op12_byte_bpe,
+        op13_lexical_search,
     )
 }
 
@@ -154,4 +188,24 @@ SELECT doc_id, license, round(dice, 6) AS dice, line::BIGINT AS line, coalesce(n
 FROM documents LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (doc_id)
 """ % ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
 
-ORACLES = {"op8_license_scan": OP8_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
+#: Every term of every document with its share of the score, summed over the terms of each item.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), sizes AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM docs WHERE len(w) > 0
+), postings AS (
+  SELECT doc_id, term, len(any_value(w))::BIGINT AS n, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM postings, sizes GROUP BY term
+), shares AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_words))) AS share FROM postings JOIN weights USING (term), sizes
+), scores AS (
+  SELECT item_id, doc_id, sum(share * repeats)::BIGINT AS score FROM (SELECT item_id, term, count(*) AS repeats FROM items GROUP BY item_id, term) JOIN shares USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES = {"op13_lexical_search": OP13_SQL, "op8_license_scan": OP8_SQL, "op3_substring_dedup": OP3_SQL, "op10_decontamination": OP10_SQL}
