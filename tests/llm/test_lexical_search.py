@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hunksieve.llm import lexical_search
@@ -34,10 +36,36 @@ def brute(docs, items, k):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("fan", "levels", "postings", "block"), [(32, 3, 4_000_000, 8 << 20), (2, 3, 40, 60), (3, 2, 5, 8 << 20)])
-def test_search(spark, fan, levels, postings, block, monkeypatch):
-    for name, value in {"FAN": fan, "LEVELS": levels, "SEGMENT": fan**levels, "POSTINGS": postings, "QUERY_BYTES": block}.items():
+@pytest.mark.parametrize(("fan", "levels", "postings"), [(32, 3, 4_000_000), (2, 3, 40), (3, 2, 5), (2, 1, 100)])
+def test_tree(fan, levels, postings, monkeypatch):
+    """Segments, trees and the order of opening, in this process."""
+    for name, value in {"FAN": fan, "LEVELS": levels, "SEGMENT": fan**levels, "POSTINGS": postings}.items():
         monkeypatch.setattr(lexical_search, name, value)
+    rng = random.Random(8)
+    for _ in range(60):
+        n_terms, n = rng.choice([1, 4, 9]), rng.choice([1, 7, 60])
+        docs = [(rng.choice([i, i // 2]), rng.randrange(1, 9), {t: rng.choice([1, 1, 2, 7]) for t in range(n_terms) if rng.random() < 0.3}) for i in range(n)]
+        batches, at = [], 0
+        while at < n:
+            some = docs[at : at + rng.randrange(1, 20)]
+            at += len(some)
+            columns = [[d for d, *_ in some], [s for _, s, _ in some], [list(b) for *_, b in some], [list(b.values()) for *_, b in some]]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=list("abcd")))
+        queries = [lexical_search.Query(np.array(sorted(rng.sample(range(n_terms), rng.randrange(1, n_terms + 1)))), np.array([])) for _ in range(5)]
+        queries = [lexical_search.Query(q.terms, np.array([rng.choice([0, 1, 1, 5]) for _ in q.terms])) for q in queries]
+        k, words = rng.choice([1, 3, 10]), sum(s for _, s, _ in docs)
+        got = Counter(tuple(r.values()) for b in lexical_search.searcher(queries, n_terms, n, words, k)(batches) for r in b.to_pylist())
+        want = Counter()
+        for i, q in enumerate(queries):
+            weight = dict(zip(q.terms.tolist(), q.weights.tolist(), strict=True))
+            scores = [(-sum(weight.get(t, 0) * ((10**9 * c) // (1000 * c + 8 * (25 + (75 * s * n) // words))) for t, c in b.items()), d) for d, s, b in docs]
+            want.update((i, d, -s) for s, d in sorted(x for x in scores if x[0] < 0)[:k])
+        assert got == want
+
+
+@pytest.mark.parametrize("block", [60, 8 << 20])
+def test_search(spark, block, monkeypatch):
+    monkeypatch.setattr(lexical_search, "QUERY_BYTES", block)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(30)] + ["Été", "42", "Ünï"]
     text = lambda n: " ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(len(vocabulary))], k=n))
