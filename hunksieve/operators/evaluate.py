@@ -17,6 +17,7 @@ from ..constants import DIRECTIVE
 from ..functions.lang import language_of, parse_language
 from ..functions.masking import MASKED, mask_stream
 from ..functions.patterns import FLAGS, finds, first_match, java_pattern, matches_any, required_text
+from ..functions.sets import may_be_in
 from ..functions.text import depth, higher, normal_path, snippet
 from .rules import Rule, check, closure
 
@@ -49,19 +50,6 @@ def file_table(lines: DataFrame) -> DataFrame:
     return files.select(*FILE, "told", tangled.alias("tangled"))
 
 
-#: Files are told apart by so many hash buckets before a join: 1,024 words of 64 bits.
-BUCKETS = 1 << 16
-
-
-def may_be_in(files: DataFrame) -> Column:
-    """Whether a line's file may be one of `files`, by a bit set of fixed size: what is surely not goes no further, unshuffled."""
-    bucket = F.pmod(F.xxhash64(*FILE), F.lit(BUCKETS))
-    words = files.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits"))
-    held = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    row = held.select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w.cast("long")), F.lit(0).cast("long"))))
-    return F.getbit(F.get(row.scalar(), F.shiftright(bucket, 6).cast("int")), (bucket % 64).cast("int")) == 1
-
-
 def with_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """`lines` (of `files`) with the run that they lie in: a stretch of lines of one path in a diff, numbered in each file.
 
@@ -69,7 +57,7 @@ def with_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """
     zero = F.lit(0).cast("long").alias("run")
     wanted = file_table(lines).where("tangled") if files is None else files
-    near = may_be_in(wanted)
+    near = may_be_in(wanted, *FILE)
     rows = lines.where(near).join(wanted.select(*FILE, "tangled"), [*FILE], "left" if files is None else "inner")
     whole = rows.where(~F.coalesce("tangled", F.lit(False))).select(*lines.columns, zero)
     here = Window.partitionBy("diff_id").orderBy("idx")

@@ -16,7 +16,7 @@ from .schemas import FP_ENTRY
 from .sinks import encoders
 from .sources import diffs, records
 from .streaming.editor import positional_changes
-from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, table
+from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, special_diffs, table
 
 KEYS = ("rule_id", "path", "line")
 
@@ -59,16 +59,8 @@ def _diff(scope):
 
 
 def diff_special_headers(spark, sf_dir):
-    texts = [
-        ("deleted", "diff --git a/o b/o\ndeleted file mode 100644\n--- a/o\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n-b\ndiff --git a/n b/n\nnew file mode 100644\n+++ b/n\n@@ -0,0 +1 @@\n+n\n"),
-        ("rename", "diff --git a/o.rs b/x.rs\nrename from o.rs\nrename to n.rs\n--- a/o.rs\n+++ b/x.rs\n@@ -1 +1,2 @@\n a\n+b\n"),
-        ("binary", "diff --git a/i b/i\nBinary files a/i and b/i differ\ndiff --git a/t b/t\n+++ b/t\n@@ -0,0 +1 @@\n+z\n"),
-        ("mode", "diff --git a/s b/s\nold mode 100644\nnew mode 100755\ndiff --git a/t b/t\n+++ b/t\n@@ -0,0 +1 @@\n+k\n"),
-        ("quoted", 'diff --git "a/s p" "b/s p"\n+++ "b/caf\\303\\251"\n@@ -0,0 +1 @@\n+v\n'),
-        ("malformed", "diff --git a/a b/a\n+++ b/a\n@@ no @@\n+x\ndiff --git a/t b/t\n+++ b/t\n@@ -0,0 +3 @@\n+k\n"),
-    ]
-    raw = diffs.split_lines(spark.createDataFrame(texts, "diff_id string, text string"), "diff_id", "text")
-    return diffs.parse_unified_diffs(raw).select("diff_id", "path", "line", "content", "kind")
+    """Renamed, binary, deleted, quoted and other file sections, all documents of a source in one diff of many blocks."""
+    return diffs.parse_unified_diffs(special_diffs(spark, sf_dir)).select("diff_id", "path", "line", "content", "kind")
 
 
 def multibase_union_dedupe(spark, sf_dir):

@@ -1,17 +1,15 @@
-"""Unified diffs as tables of lines, by running sums over the lines of each diff."""
+"""Unified diffs as tables of lines, parsed block by block."""
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..constants import MAX_U32
+from ..functions.sets import may_be_in
 from ..schemas import LINES, RAW_DIFF
+from . import parser
 
 SCOPES = ("added", "changed", "modified", "deleted")
 
@@ -57,159 +55,32 @@ def union_bases(diffs: list[DataFrame], label: str) -> DataFrame:
     return out
 
 
-def _plain_path(token: str) -> str | None:
-    token = token.strip()
-    token = token[2:] if token.startswith(("a/", "b/")) else token
-    parts = [x for i, x in enumerate(token.split("/")) if x and (x != "." or i == 0)]
-    return ("/" if token.startswith("/") else "") + "/".join(parts) or None
-
-
-ESCAPES = {"n": 10, "t": 9, "r": 13, "\\": 92, '"': 34, " ": 32}
-
-
-def _quoted_tokens(text: str) -> list[str]:
-    """Space-separated tokens, of which some stand in double quotes with backslash and octal escapes."""
-    tokens, data, quoted, i = [], bytearray(), False, 0
-    while i < len(text):
-        c = text[i]
-        if quoted and c == "\\" and i + 1 < len(text):
-            octal = ""
-            while len(octal) < 3 and text[i + 1 + len(octal) : i + 2 + len(octal)] in tuple("01234567"):
-                octal += text[i + 1 + len(octal)]
-            if octal:
-                data.append(int(octal, 8) & 255)
-                i += len(octal)
-            elif text[i + 1] in ESCAPES:
-                data.append(ESCAPES[text[i + 1]])
-                i += 1
-            else:
-                data += text[i : i + 2].encode()
-                i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif c.isspace() and not quoted:
-            if data:
-                tokens.append(data.decode(errors="replace"))
-            data = bytearray()
-        else:
-            data += c.encode("utf-8", "surrogatepass")
-        i += 1
-    return [*tokens, data.decode(errors="replace")] if data else tokens
-
-
-@F.pandas_udf(T.StringType())
-def quoted_path(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The path in the rest of a `diff --git` (second token), `+++ ` or `rename` line that holds a quote."""
-    for kinds, rests in batches:
-        out = []
-        for kind, rest in zip(kinds, rests, strict=True):
-            tokens = _quoted_tokens(rest)
-            if kind == "git":
-                out.append(_plain_path(tokens[1]) if len(tokens) > 1 else None)
-            elif kind == "to":
-                out.append((tokens[0] if tokens else None) if rest.strip().startswith('"') else rest.strip())
-            else:
-                out.append(None if not tokens or tokens[0] == "/dev/null" else _plain_path(tokens[0]))
-        yield pd.Series(out, dtype=object)
-
-
-def _components(path: Column) -> Column:
-    """Without a/ or b/, double slashes, inner `.` and slashes at the end; null if nothing is left."""
-    path = F.regexp_replace(path, r"\A[ab]/", "")
-    path = F.regexp_replace(F.regexp_replace(path, r"/+", "/"), r"(?:/\.)+(?=/|\z)", "")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/\z", ""))
-    return F.nullif(path, F.lit(""))
-
-
-def _start(header: Column, at: int, sign: str) -> Column:
-    token = F.get(F.split(F.trim(F.regexp_replace(header, r"\s+", " ")), " "), F.lit(at))
-    number = F.regexp_extract(token, rf"\A\{sign}\+?(\d+)(?:,.*)?\z", 1)
-    n = F.nullif(number, F.lit("")).try_cast("long")
-    return F.when(n <= MAX_U32, n)
-
-
-def parse_unified_diffs(raw: DataFrame, scope: str = "added") -> DataFrame:
+#: A block, which is parsed in one task, is 2 to this power places of a diff.
+BLOCK_BITS = 17
+
+
+def parse_unified_diffs(raw: DataFrame, scope: str = "added", bits: int = BLOCK_BITS) -> DataFrame:
     """LINES of the diffs in `raw` that are in scope; idx is the place in the diff.
 
     Added takes every added line; changed and modified those that follow a removed line since the last context line
     of their hunk; deleted the removed ones, with their old numbers. Binary files and submodules are left out, deleted
-    files too but for scope deleted. A malformed hunk header skips its hunk. Diffs are parsed side by side.
+    files too but for scope deleted. A malformed hunk header skips its hunk. Null lines count as empty.
+
+    Lines are dealt by diff and block of 2 ** bits places. Diffs of several blocks are read twice: their blocks are first
+    reduced to maps of the parser's state (see `parser`), whose composition tells in which state each block begins.
     """
     if scope not in SCOPES:
         raise ValueError(f"no such scope: {scope}")
-    r = F.col("raw")
-    starts = lambda x: F.startswith(r, F.lit(x))
-    kind = (
-        F.when(starts("diff --git "), "git")
-        .when((starts("Binary files ") & F.contains(r, F.lit(" differ"))) | starts("Subproject commit "), "skip")
-        .when(starts("deleted file mode "), "gone")
-        .when(starts("old mode ") | starts("new mode "), "mode")
-        .when(starts("rename to ") & (F.trim(F.substr(r, F.lit(11))) != ""), "to")
-        .when(starts("rename from ") & (F.trim(F.substr(r, F.lit(13))) != ""), "from")
-        .when(starts("+++ "), "plus")
-        .when(starts("@@"), "hunk")
-        .when(starts("+++") | starts("---") | starts("\\"), "note")
-        .when(starts("+"), "+")
-        .when(starts("-"), "-")
-        .when(starts(" "), " ")
-        .otherwise("other")
-    )
-    rest = F.when(F.col("what") == "git", F.substr(r, F.lit(12))).when(F.col("what") == "to", F.substr(r, F.lit(11))).when(F.col("what") == "plus", F.substr(r, F.lit(5)))
-    tokens = F.filter(F.split(F.col("rest"), r"(?U)\s+"), lambda t: t != "")
-    plain = (
-        F.when(F.col("what") == "git", _components(F.try_element_at(tokens, F.lit(2))))
-        .when(F.col("what") == "to", F.trim("rest"))
-        .when(F.try_element_at(tokens, F.lit(1)) != "/dev/null", _components(F.try_element_at(tokens, F.lit(1))))
-    )
-    told = raw.withColumn("what", kind).withColumn("rest", rest)
-    told = told.withColumn("told", F.when(F.contains("rest", F.lit('"')), quoted_path("what", F.when(F.contains("rest", F.lit('"')), F.col("rest")).otherwise(F.lit("")))).otherwise(plain)).drop("rest")
-    told = told.withColumns({"old_start": F.when(F.col("what") == "hunk", _start(r, 1, "-")), "new_start": F.when(F.col("what") == "hunk", _start(r, 2, "+"))})
-
-    here = Window.partitionBy("diff_id").orderBy("pos")
-    so_far, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
-    what = F.col("what")
-
-    def running(cond: Column, w=so_far) -> Column:
-        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)).over(w), F.lit(0))
-
-    def within(*keys: str):
-        w = Window.partitionBy("diff_id", *keys).orderBy("pos")
-        return w.rowsBetween(Window.unboundedPreceding, -1)
-
-    t = told.withColumn("section", running(what == "git"))
-    # The new name of a rename takes the next +++ line, once.
-    t = t.withColumn("pluses", running(what == "plus", before))
-    renamed = F.last(F.when(what == "to", F.col("told")), ignorenulls=True).over(within("section", "pluses"))
-    t = t.withColumn("named", F.when(what == "git", F.col("told")).when(what == "plus", F.coalesce(renamed, F.col("told"))))
-    t = t.withColumn("path", F.last("named", ignorenulls=True).over(before))
-
-    # Whether the file is skipped: the last word in its section, first by header lines alone, then with submodule lines of hunks.
-    said = F.when(what == "skip", True).when(what == "gone", F.lit(scope != "deleted"))
-    skipped = lambda e: F.coalesce(F.last(e, ignorenulls=True).over(within("section")), F.lit(False))
-    t = t.withColumn("skip0", skipped(said))
-    marks = F.when(what == "git", False).when((what == "hunk") & ~F.col("skip0"), F.col("old_start").isNotNull() & F.col("new_start").isNotNull())
-    t = t.withColumn("in0", F.coalesce(F.last(marks, ignorenulls=True).over(before), F.lit(False)))
-    t = t.withColumn("module", what.isin("+", "-") & F.substr(r, F.lit(2)).startswith("Subproject commit ") & F.col("in0") & ~F.col("skip0") & F.col("path").isNotNull())
-    t = t.withColumn("skip", skipped(F.when(F.col("module"), True).otherwise(said)))
-    opens = F.when((what == "git") | F.col("module"), False).when((what == "hunk") & ~F.col("skip"), F.col("old_start").isNotNull() & F.col("new_start").isNotNull())
-    t = t.withColumn("opens", opens).withColumn("hunk", running(F.col("opens").isNotNull()))
-    t = t.withColumn("in_hunk", F.coalesce(F.last("opens", ignorenulls=True).over(before), F.lit(False)))
-    t = t.withColumn("body", F.when(F.col("in_hunk") & ~F.col("skip") & ~F.col("module") & F.col("path").isNotNull() & what.isin("+", "-", " "), what))
-    body = F.col("body")
-    in_hunk = within("hunk")
-    count = lambda *signs: F.coalesce(F.sum(F.when(body.isin(*signs), 1).otherwise(0)).over(in_hunk), F.lit(0))
-    first = lambda c: F.last(c, ignorenulls=True).over(within("hunk"))
-    t = t.withColumns(
-        {
-            "new_line": first("new_start") + count("+", " "),
-            "old_line": first("old_start") + count("-", " "),
-            "changed": F.coalesce(F.last(F.when(body.isin("-", " "), body), ignorenulls=True).over(in_hunk) == "-", F.lit(False)),
-        }
-    )
-    wanted = {"added": body == "+", "deleted": body == "-"}.get(scope, (body == "+") & F.col("changed"))
-    line = F.least(F.col("old_line" if scope == "deleted" else "new_line"), F.lit(MAX_U32))
-    named = F.lit("deleted") if scope == "deleted" else F.when(F.col("changed"), "changed").otherwise("added")
-    return t.where(wanted).select("diff_id", F.col("pos").alias("idx"), "path", line.alias("line"), F.substr(r, F.lit(2)).alias("content"), named.alias("kind"))
+    keys = ("diff_id", "block")
+    keyed = raw.select("diff_id", F.shiftright("pos", bits).alias("block"), "pos", "raw")
+    dealt = keyed.repartition(*(F.col(c) for c in keys))
+    several = keyed.groupBy("diff_id").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi")
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    told = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", map string"
+    maps = dealt.where(may_be_in(several, "diff_id")).sortWithinPartitions(*keys, "pos").mapInArrow(parser.summarise(scope == "deleted"), told)
+    begins = maps.repartition("diff_id").sortWithinPartitions(*keys).mapInArrow(parser.carry, told)
+    rows = dealt.join(begins.hint("shuffle_hash"), [*keys], "left").select(*keys, "pos", "raw", "map").sortWithinPartitions(*keys, "pos")
+    return rows.mapInArrow(parser.emit(scope), f"diff_id {kinds['diff_id']}, idx {kinds['pos']}, path string, line long, content string, kind string")
 
 
 def empty_lines(spark: SparkSession) -> DataFrame:

@@ -78,6 +78,27 @@ def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.withColumn("pos", F.col("pos").cast("long")).unionByName(hunks).unionByName(body)
 
 
+#: Header lines of a file section by the document's id modulo seven; ~ stands for the id.
+SECTIONS = (
+    ("diff --git a/old_~ b/new_~", "similarity index 90%", "rename from old_~", "rename to named_~.txt", "--- a/old_~", "+++ b/new_~", "@@ -1 +1,9 @@"),
+    ("diff --git a/i_~.png b/i_~.png", "Binary files a/i_~.png and b/i_~.png differ", "@@ -1 +1 @@"),
+    ("diff --git a/gone_~ b/gone_~", "deleted file mode 100644", "--- a/gone_~", "+++ /dev/null", "@@ -1,2 +0,0 @@"),
+    ("diff --git a/mode_~ b/mode_~", "old mode 100644", "new mode 100755", "@@ -0,0 +5 @@"),
+    ('diff --git "a/s p_~" "b/s p_~"', '+++ "b/caf\\303\\251_~.rs"', "@@ -0,0 +1 @@"),
+    ("diff --git a/m_~ b/m_~", "+++ b/m_~", "@@ no @@", "+lost", "@@ -3 +10 @@", " kept"),
+    ("diff --git a/sub_~ b/sub_~", "+++ b/sub_~", "@@ -1 +1 @@", "-Subproject commit a", "+Subproject commit b"),
+)
+
+
+def special_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW_DIFF of all documents: a source is one diff, a document a file section with special headers, all of its lines added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("diff_id"), F.split("text", "\n").alias("lines"))
+    heads = F.array(*(F.array(*(F.lit(x) for x in section)) for section in SECTIONS))
+    head = F.transform(F.get(heads, (F.col("doc_id") % len(SECTIONS)).cast("int")), lambda x: F.replace(x, F.lit("~"), F.col("doc_id").cast("string")))
+    rows = docs.select("diff_id", "doc_id", F.posexplode(F.concat(head, F.transform("lines", lambda x: F.concat(F.lit("+x"), x)))).alias("at", "raw"))
+    return rows.select("diff_id", (F.col("doc_id") * LINES_OF_A_TEXT + F.col("at")).alias("pos"), "raw")
+
+
 #: What the queries look for. Patterns mean the same in RE2.
 RULES = [
     Rule("pii.email", "warn", "address in text", patterns=(r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+",), tags=("pii", "Mail"), help="remove it"),

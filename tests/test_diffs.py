@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from hunksieve.sources import diffs
+from hunksieve.sources import diffs, parser
 
 CASES = {
     "addition": ("diff --git a/a.rs b/a.rs\n--- a/a.rs\n+++ b/a.rs\n@@ -1,1 +1,2 @@\n one\n+two\n", [("a.rs", 2, "two", "added")]),
@@ -92,22 +92,50 @@ def read(text, scope):
     return out
 
 
-def test_random(spark):
+POOL = ["diff --git a/f{} b/f{}", "diff --git a/f{}", "Binary files a and b differ", "Subproject commit x", "deleted file mode 1", "old mode 1", "rename to r{}", "rename to ", "rename from q", "+++ b/p{}", "+++ /dev/null", "+++ ", "@@ -{} +{} @@ x", "@@ -{},3 +{},4 @@", "@@ bad", "@@ -x +1 @@", "+++more", "---", "\\ No newline", "+add {}", "-del {}", " ctx", "+Subproject commit y", "", "junk", "+", "-"]
+WEIGHTS = [6, 1, 1, 1, 1, 1, 1, 1, 1, 6, 1, 1, 8, 8, 1, 1, 1, 1, 1, 25, 18, 18, 1, 1, 1, 2, 2]
+
+
+def random_lines(rng, n):
+    return [x.replace("{}", str(rng.randrange(1, 9))) for x in rng.choices(POOL, WEIGHTS, k=n)]
+
+
+@pytest.mark.parametrize("bits", [diffs.BLOCK_BITS, 2, 0])
+def test_random(spark, bits):
+    """Diffs in blocks of any size, down to single lines."""
     rng = random.Random(1)
-    pool = ["diff --git a/f{} b/f{}", "diff --git a/f{}", "Binary files a and b differ", "Subproject commit x", "deleted file mode 1", "old mode 1", "rename to r{}", "rename to ", "rename from q", "+++ b/p{}", "+++ /dev/null", "+++ ", "@@ -{} +{} @@ x", "@@ -{},3 +{},4 @@", "@@ bad", "@@ -x +1 @@", "+++more", "---", "\\ No newline", "+add {}", "-del {}", " ctx", "+Subproject commit y", "", "junk", "+", "-"]
-    weights = [6, 1, 1, 1, 1, 1, 1, 1, 1, 6, 1, 1, 8, 8, 1, 1, 1, 1, 1, 25, 18, 18, 1, 1, 1, 2, 2]
-    texts = []
-    for i in range(200):
-        lines = rng.choices(pool, weights, k=rng.choice([5, 30, 60]))
-        texts.append((str(i), "\n".join(x.replace("{}", str(rng.randrange(1, 9))) for x in lines)))
+    texts = [(str(i), "\n".join(random_lines(rng, rng.choice([5, 30, 60])))) for i in range(200)]
     raw = diffs.split_lines(spark.createDataFrame(texts, "diff_id string, text string"), "diff_id", "text")
     for scope in diffs.SCOPES:
-        if scope == "deleted":  # a deleted header after a submodule line of the same file isn't a diff
-            texts_ = [(i, t) for i, t in texts if "commit y" not in t]
-        else:
-            texts_ = texts
         got: dict = {}
-        for r in diffs.parse_unified_diffs(raw, scope).orderBy("diff_id", "idx").collect():
+        for r in diffs.parse_unified_diffs(raw, scope, bits).orderBy("diff_id", "idx").collect():
             got.setdefault(r.diff_id, []).append((r.path, r.line, r.content, r.kind))
-        for i, t in texts_:
+        for i, t in texts:
             assert got.get(i, []) == read(t, scope), (scope, t)
+
+
+def test_cut_at_every_line():
+    """What lies before a cut as a map, composed with what lies behind, gives the rows and the state of the whole."""
+    rng = random.Random(3)
+    for _ in range(60):
+        lines = random_lines(rng, rng.choice([3, 8, 30]))
+        for scope in ("added", "changed", "deleted"):
+            gone = scope == "deleted"
+            whole, end = parser.parse_lines(lines, scope)
+            assert [r[1:] for r in whole] == read("\n".join(lines), scope)
+            for cut in range(len(lines) + 1):
+                before, behind = parser.map_lines(lines[:cut], gone), parser.map_lines(lines[cut:], gone)
+                state = before[parser.START.kind()].after(parser.START)
+                first, same = parser.parse_lines(lines[:cut], scope)
+                more, done = parser.parse_lines(lines[cut:], scope, state)
+                assert same == state and done == end and first + [(i + cut, *r) for i, *r in more] == whole
+                assert parser.then(before, behind) == parser.map_lines(lines, gone)
+                assert parser.unpacked(parser.packed(before)) == before
+
+
+def test_no_diff_is_one_task(spark):
+    """A diff of many blocks is dealt over many tasks."""
+    raw = spark.range(64).selectExpr("'d' AS diff_id", "id AS pos", "'+x' AS raw")
+    rows = diffs.parse_unified_diffs(spark.createDataFrame([("d", -2, "+++ b/f"), ("d", -1, "@@ -1 +1 @@")], raw.schema).unionByName(raw).selectExpr("diff_id", "pos + 2 AS pos", "raw"), bits=1)
+    assert [r.line for r in rows.orderBy("idx").collect()] == list(range(1, 65))
+    assert "Window" not in rows._jdf.queryExecution().toString()
