@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def text_bytes(text_col: str = "text") -> Column:
 def in_bucket(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def slices(lists: pa.ListArray, most: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Stretches of a list array of at most `most` values or one list: the values, and where each list begins and the last ends."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        yield lists.values.slice(offsets[lo], offsets[hi] - offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
+        lo = hi

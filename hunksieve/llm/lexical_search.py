@@ -21,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .decontaminate import words
 
 #: Ranges below one, levels of ranges above single documents, and so documents of a segment at most.
 FAN, LEVELS = 32, 3
 SEGMENT = FAN**LEVELS
 #: Terms in documents of a segment at most, and the bytes of the queries that go through the documents at a time.
-POSTINGS, QUERY_BYTES = 4_000_000, 8 << 20
+POSTINGS, QUERY_BYTES = 1_000_000, 8 << 20
+#: Words that are counted in one step.
+COUNTED = 1 << 18
 FOUND = "query long, doc_id long, score long"
 
 
@@ -102,15 +104,18 @@ def term_counts(vocabulary: list[str]):
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = pa.array(vocabulary, pa.string())
         for batch in batches:
-            offsets = batch.offsets.to_numpy().astype(np.int64)
-            flat = batch.values.slice(offsets[0], offsets[-1] - offsets[0])
-            code = pc.fill_null(pc.index_in(flat.cast(pa.string()), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            own = np.repeat(np.arange(len(batch)), np.diff(offsets))[code >= 0]
-            key, n = np.unique(own * (len(vocabulary) + 1) + code[code >= 0], return_counts=True)
-            own, term = np.divmod(key, len(vocabulary) + 1)
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(own, minlength=len(batch)))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, n)]
-            yield pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), *lists], names=["n", "terms", "counts"])
+            sizes, terms, counts = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for flat, offsets in slices(batch, COUNTED):
+                code = pc.fill_null(pc.index_in(flat.cast(pa.string()), known), -1).to_numpy(zero_copy_only=False)
+                own = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[code >= 0]
+                key, n = np.unique(own * (len(vocabulary) + 1) + code[code >= 0], return_counts=True)
+                own, term = np.divmod(key, len(vocabulary) + 1)
+                sizes.append(np.bincount(own, minlength=len(offsets) - 1))
+                terms.append(term)
+                counts.append(n)
+            ends = pa.array(np.append(0, np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in (terms, counts)]
+            yield pa.StructArray.from_arrays([pc.list_value_length(batch).cast(pa.int64()), *lists], names=["n", "terms", "counts"])
 
     return count
 

@@ -18,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Words of a tree, unless one stretch is longer, and leaves looked at in one step.
 TREE, STEP = 1 << 18, 1 << 20
+#: Words of an Arrow batch that are looked at in one step, or one text.
+SLICE = 1 << 19
 RUN = "struct<start: bigint, length: bigint, period: bigint>"
 RESULTS = ("words", "n_words", "runs", "kept")
 
@@ -203,21 +207,19 @@ def listed(text: np.ndarray, rows: dict[str, np.ndarray], n: int) -> pa.Array:
 def finder(least: int):
     """Arrow UDF: runs and kept parts of each array of words."""
 
+    part = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    kind = pa.struct([("runs", pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "period")]))), ("parts", part)])
+
     @F.arrow_udf(f"runs array<{RUN}>, parts array<struct<start: bigint, length: bigint>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            offsets = batch.offsets.to_numpy().astype(np.int64)
-            codes = batch.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            offsets = offsets - offsets[0]
-            runs = runs_of_batch(codes, offsets, least)
-            parts = kept_parts(runs, offsets)
-            yield pa.StructArray.from_arrays(
-                [
-                    listed(runs[:, 0], {"start": runs[:, 1], "length": runs[:, 2], "period": runs[:, 3]}, len(batch)),
-                    listed(parts[:, 0], {"start": parts[:, 1], "length": parts[:, 2]}, len(batch)),
-                ],
-                names=["runs", "parts"],
-            )
+            out = []
+            for flat, offsets in slices(batch, SLICE):
+                runs = runs_of_batch(flat.dictionary_encode().indices.to_numpy(zero_copy_only=False), offsets, least)
+                parts, n = kept_parts(runs, offsets), len(offsets) - 1
+                columns = [listed(runs[:, 0], {"start": runs[:, 1], "length": runs[:, 2], "period": runs[:, 3]}, n), listed(parts[:, 0], {"start": parts[:, 1], "length": parts[:, 2]}, n)]
+                out.append(pa.StructArray.from_arrays(columns, names=["runs", "parts"]))
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
 
     return find
 
