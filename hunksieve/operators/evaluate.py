@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DIRECTIVE
 from ..functions.lang import language_of, parse_language
-from ..functions.masking import MASKED, mask_stream
+from ..functions.masking import MASKED, mask_begins, mask_maps, mask_stream
 from ..functions.patterns import FLAGS, finds, first_match, java_pattern, matches_any, required_text
 from ..functions.sets import may_be_in
 from ..functions.text import depth, higher, normal_path, snippet
@@ -41,41 +41,69 @@ def first_of_each(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
 
 
+#: Lines of a run are masked in blocks of 2 to this power places, files are put in order in ranges of 2 to that power places.
+BLOCK_BITS, RANGE_BITS = 17, 30
+
+
 def file_table(lines: DataFrame) -> DataFrame:
-    """A row for each file of a diff: diff_id, path, told (a line holds a directive), tangled (others' lines lie between its own)."""
-    files = lines.groupBy(*FILE).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.max(F.contains(F.lower("content"), F.lit(DIRECTIVE))).alias("told"))
-    order = Window.partitionBy("diff_id").orderBy("lo", "path")
+    """A row for each file of a diff: diff_id, path, its first and last place (lo, hi), tangled (others' lines lie between its own).
+
+    Files are in the order of their first lines inside ranges of places; what lies before and after a range comes from
+    a table of the ranges, so that no diff is put in order as a whole.
+    """
+    files = lines.groupBy(*FILE).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).withColumn("range", F.shiftright("lo", RANGE_BITS))
+    across = Window.partitionBy("diff_id").orderBy("range")
+    ranges = files.groupBy("diff_id", "range").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = ranges.select("diff_id", "range", F.max("hi").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("reached"), F.lead("lo").over(across).alias("next"))
+    order = Window.partitionBy("diff_id", "range").orderBy("lo", "path")
     before, after = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lead("lo").over(order)
-    tangled = F.coalesce(before > F.col("lo"), F.lit(False)) | F.coalesce(F.col("hi") > after, F.lit(False))
-    return files.select(*FILE, "told", tangled.alias("tangled"))
+    placed = files.select("*", before.alias("before"), after.alias("after")).join(ranges, ["diff_id", "range"])
+    tangled = F.coalesce(F.greatest("before", "reached") > F.col("lo"), F.lit(False)) | F.coalesce(F.col("hi") > F.coalesce("after", "next"), F.lit(False))
+    return placed.select(*FILE, "lo", "hi", tangled.alias("tangled"))
 
 
 def with_runs(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """`lines` (of `files`) with the run that they lie in: a stretch of lines of one path in a diff, numbered in each file.
 
-    A file whose lines lie together is one run. Only tangled files are put in the order of their diff.
+    A file whose lines lie together is one run. Only the lines of tangled files are put in order, in blocks; a table of
+    the blocks tells how many runs lie before each.
     """
     zero = F.lit(0).cast("long").alias("run")
     wanted = file_table(lines).where("tangled") if files is None else files
     near = may_be_in(wanted, *FILE)
     rows = lines.where(near).join(wanted.select(*FILE, "tangled"), [*FILE], "left" if files is None else "inner")
     whole = rows.where(~F.coalesce("tangled", F.lit(False))).select(*lines.columns, zero)
-    here = Window.partitionBy("diff_id").orderBy("idx")
-    new = F.coalesce((F.col("path") != F.lag("path").over(here)).cast("int"), F.lit(0))
-    cut = rows.where("tangled").select(*lines.columns, new.alias("_new"))
-    out = whole.unionByName(cut.select(*lines.columns, F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("run")))
+    mixed = rows.where("tangled").select(*lines.columns, F.shiftright("idx", BLOCK_BITS).alias("_block"))
+    here, across = Window.partitionBy("diff_id", "_block").orderBy("idx"), Window.partitionBy("diff_id").orderBy("_block")
+    mixed = mixed.withColumn("_new", F.coalesce((F.col("path") != F.lag("path").over(here)).cast("int"), F.lit(0)))
+    blocks = mixed.groupBy("diff_id", "_block").agg(F.sum("_new").alias("n"), F.min_by("path", "idx").alias("first"), F.max_by("path", "idx").alias("last"))
+    blocks = blocks.withColumn("opens", F.coalesce((F.col("first") != F.lag("last").over(across)).cast("int"), F.lit(0)))
+    so_far = F.sum(F.col("n") + F.col("opens")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    blocks = blocks.select("diff_id", "_block", so_far.alias("_before"))
+    run = F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    out = whole.unionByName(mixed.join(blocks, ["diff_id", "_block"]).select(*lines.columns, run.alias("run")))
     return lines.where(~near).select(*lines.columns, zero).unionByName(out) if files is None else out
 
 
-def mask_table(lines: DataFrame, language: str | None = None, files: DataFrame | None = None) -> DataFrame:
-    """`lines` (of `files`) with run and MASKED, where masks are null for lines without anything to mask. Files are scanned side by side."""
+def mask_table(lines: DataFrame, language: str | None = None, files: DataFrame | None = None, strings: bool = True) -> DataFrame:
+    """`lines` (of `files`) with run and MASKED, where masks are null for lines without anything to mask, no_strings without `strings`.
+
+    Blocks of lines are scanned side by side. Those of files of several blocks are scanned twice: first for what each does
+    to what is open before it, which composed tells how each block begins (see `masking`).
+    """
     lang = F.lit(parse_language(language)) if language else F.coalesce(language_of(F.col("path")), F.lit("unknown"))
-    head = ("diff_id", "path", "run")
-    rest = [c for c in lines.columns if c not in (*head, "content")]
-    rows = with_runs(lines, files).select(*head, lang.alias("lang"), *rest, "content")
+    head = ("diff_id", "path", "run", "block")
+    own = [c for c in lines.columns if c not in (*FILE, "content")]
+    rows = with_runs(lines, files).withColumns({"block": F.shiftright("idx", BLOCK_BITS), "lang": lang})
+    long = (file_table(lines) if files is None else files).where(F.shiftright("lo", BLOCK_BITS) < F.shiftright("hi", BLOCK_BITS))
+    dealt = lambda df, *by: df.repartition(*(F.col(c) for c in by))
+    told = "diff_id string, path string, run long, block long"
+    maps = dealt(rows.where(may_be_in(long, *FILE)).select(*head, "lang", "idx", "content"), *head).sortWithinPartitions(*head, "idx")
+    maps = maps.mapInArrow(mask_maps(strings), f"{told}, lang string, begin string")
+    begins = dealt(maps, *head[:3]).sortWithinPartitions(*head).mapInArrow(mask_begins, f"{told}, begin string")
+    rows = dealt(rows, *head).join(begins.hint("shuffle_hash"), [*head], "left").select(*head, "lang", "begin", *own, "content").sortWithinPartitions(*head, "idx")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = rows.repartition(*(F.col(c) for c in head)).sortWithinPartitions(*head, "idx")
-    return rows.mapInArrow(mask_stream, ", ".join([*(f"{c} {t}" for c, t in kinds.items()), MASKED])).drop("lang")
+    return rows.mapInArrow(mask_stream(strings), ", ".join([*(f"{c} {t}" for c, t in kinds.items()), MASKED])).drop("lang", "begin", "block")
 
 
 def masked(lines: DataFrame, language: str | None = None) -> DataFrame:
@@ -89,12 +117,14 @@ def masked(lines: DataFrame, language: str | None = None) -> DataFrame:
 def suppressions(lines: DataFrame, language: str | None = None) -> DataFrame:
     """(diff_id, at, suppress_all, suppress_ids) of the lines where some rule is suppressed.
 
-    Only files with a directive are scanned, and tangled ones of their diffs, whose lines part the runs.
+    Only files with a directive are scanned, and tangled ones of their diffs, whose lines part the runs. Lines of diffs
+    without a directive, by a bit set, go into no shuffle.
     """
-    files = file_table(lines)
-    told = F.max("told").over(Window.partitionBy("diff_id"))
-    some = files.withColumn("_any", told).where(F.col("told") | (F.col("tangled") & F.col("_any")))
-    rows = mask_table(lines, language, some).where(F.col("suppress_all") | (F.size("suppress_ids") > 0))
+    told = lines.where(F.contains(F.lower("content"), F.lit(DIRECTIVE))).select(*FILE).distinct()
+    near = lines.where(may_be_in(told, "diff_id"))
+    files = file_table(near.select(*FILE, "idx")).join(told.withColumn("told", F.lit(True)), [*FILE], "left")
+    some = files.where(F.col("told") | F.col("tangled"))
+    rows = mask_table(near, language, some, strings=False).where(F.col("suppress_all") | (F.size("suppress_ids") > 0))
     return rows.select("diff_id", F.col("idx").alias("at"), "suppress_all", "suppress_ids")
 
 
@@ -240,7 +270,8 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     check(rules)
     deps = closure(rules)
     masks = any(r.ignore_comments or r.ignore_strings for r in rules)
-    rows = mask_table(lines, language).select(*lines.columns, *MASKS) if masks else lines.withColumns({c: F.lit(None).cast("string") for c in MASKS})
+    strings = any(r.ignore_strings and not r.ignore_comments for r in rules)
+    rows = mask_table(lines, language, strings=strings).select(*lines.columns, *MASKS) if masks else lines.withColumns({c: F.lit(None).cast("string") for c in MASKS})
     bound = bool(overrides) or any(r.paths or r.exclude_paths or r.languages for r in rules)
     if bound:
         rows = rows.join(applicable(lines, rules, language, overrides), "path")

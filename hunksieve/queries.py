@@ -130,6 +130,11 @@ def mask_multiline_block(spark, sf_dir):
     return evaluate.masked(block_lines(spark, sf_dir)).select("path", "line", F.col("no_comments").alias("masked"))
 
 
+def mask_true_texts(spark, sf_dir):
+    """All masks of the documents as they stand, whose quotes and marks open and close where they happen to; no SQL."""
+    return evaluate.masked(doc_lines(spark, sf_dir)).select("path", "line", "no_comments", "no_strings", "no_both")
+
+
 def mask_html_blocks(spark, sf_dir):
     """Markup lines without comments that may span lines; no SQL."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("diff_id"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.posexplode(F.split("html", "\n")).alias("at", "content"))
@@ -412,7 +417,7 @@ def runs_of_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
-    + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
+    + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
