@@ -74,19 +74,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def periodic_words(doc_id: Column, text: Column) -> Column:
+def periodic_words(doc_id: Column, w: Column) -> Column:
     """The words of a text; those of every tenth document, by the hash of its id, go on periodically from some word."""
     h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    told = F.named_struct(F.lit("w"), periodic_runs.words(text), F.lit("g"), F.floor(h / 10))
-    begin = told["g"] % F.size(told["w"])
-    period = F.floor((F.size(told["w"]) - begin) / (told["g"] % 8 + 3)) + 1
-    made = F.transform(told["w"], lambda w, i: F.when(i >= begin, F.get(told["w"], (begin + (i - begin) % period).cast("int"))).otherwise(w))
-    return F.when((h % 10 == 0) & (F.size(told["w"]) > 0), made).otherwise(told["w"])
+    g = F.floor(h / 10)
+    begin = g % F.size(w)
+    period = F.floor((F.size(w) - begin) / (g % 8 + 3)) + 1
+    made = F.transform(w, lambda x, i: F.when(i >= begin, F.get(w, (begin + (i - begin) % period).cast("int"))).otherwise(x))
+    return F.when((h % 10 == 0) & (F.size(w) > 0), made).otherwise(w)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = periodic_runs.find_runs(docs, sequence=periodic_words(F.col("doc_id"), F.col("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.words(F.col("text")).alias("w"))
+    docs = docs.select("doc_id", periodic_words(F.col("doc_id"), F.col("w")).alias("words"))
+    found = periodic_runs.find_runs(docs, sequence=F.col("words"))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("a"), (-r["start"]).alias("b"), (-r["period"]).alias("c"), r.alias("run"))))["run"]
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
     told = found.select("doc_id", "runs", "kept", best.alias("best"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"))
