@@ -211,8 +211,8 @@ old_ AS (SELECT conv_id::VARCHAR AS uri, string_agg(text, chr(10) ORDER BY turn,
 n AS (SELECT uri, unnest(string_split(t, chr(10))) AS content, unnest(generate_series(1, len(string_split(t, chr(10))))) AS line FROM new_),
 o AS (SELECT uri, unnest(string_split(t, chr(10))) AS content, unnest(generate_series(1, len(string_split(t, chr(10))))) AS line FROM old_)
 SELECT n.uri, n.line, n.content FROM n LEFT JOIN o USING (uri, line) WHERE n.content IS DISTINCT FROM o.content""",
-    "benchmark_fanout_rules": f"""WITH {L1}, w AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS w FROM benchmark), a AS (SELECT regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g') AS c FROM l1)
-SELECT 'w.' || w AS rule_id, count(*) AS total FROM w, a WHERE length(w) > 2 AND contains(c, w) AND regexp_matches(c, '\\b' || w || '\\b') GROUP BY w""",
+    "benchmark_fanout_rules": f"""WITH {L1}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS w FROM benchmark)
+SELECT 'w.' || w AS rule_id, count(*) AS total FROM w, l1 WHERE contains(content, w) AND regexp_matches(content, w || '[a-z]{{2}}') GROUP BY w""",
     "runs_of_files": f"""WITH {L1}, p AS (SELECT diff_id, path IS DISTINCT FROM lag(path) OVER (PARTITION BY diff_id ORDER BY line % 2 = 0, idx) AS new_ FROM l1) SELECT diff_id, count(*) FILTER (new_) AS runs FROM p GROUP BY diff_id""",
 }
 

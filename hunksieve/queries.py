@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.lang import language_of
-from .operators import evaluate, history, rules, verdict
+from .operators import evaluate, history, packs, rules, verdict
 from .operators.rules import Rule, TestCase
 from .plans.check import Plan, run_check
 from .schemas import FP_ENTRY
@@ -402,10 +402,11 @@ def changed_lines_positional(spark, sf_dir):
 
 
 def benchmark_fanout_rules(spark, sf_dir):
-    """A rule for the first word of each benchmark item: how often each matches."""
-    firsts = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0)).alias("w")).where("length(w) > 2").distinct().orderBy("w").collect()  # one literal a rule
-    pack = [Rule(f"w.{r.w}", "info", "", patterns=(rf"\b{r.w}\b",)) for r in firsts]
-    return verdict.rule_hits(evaluate.find_events(doc_lines(spark, sf_dir).withColumn("content", F.regexp_replace("content", "[^\\x00-\\x7F]", "_")), pack)).groupBy("rule_id").agg(F.sum("total").alias("total"))
+    """A rule for each lower-case word of the benchmark's items, held in a table: how many lines go on with two letters more."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), 0))
+    pack = table(spark, sf_dir, "benchmark").select(word.alias("w")).distinct()
+    pack = pack.select(F.concat(F.lit("w."), "w").alias("id"), F.lit("info").alias("severity"), F.array(F.concat("w", F.lit("[a-z]{2}"))).alias("patterns"))
+    return packs.find_in_pack(doc_lines(spark, sf_dir), pack).groupBy("rule_id").agg(F.count("*").alias("total"))
 
 
 def runs_of_files(spark, sf_dir):

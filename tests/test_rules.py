@@ -1,5 +1,6 @@
 """Patterns, globs, masks, directives, rules and evaluation."""
 
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from hunksieve.functions import masking, patterns
 from hunksieve.functions import text as tx
 from hunksieve.functions.lang import language_of, parse_language
-from hunksieve.operators import evaluate, history, rules, verdict
+from hunksieve.operators import evaluate, history, packs, rules, verdict
 from hunksieve.operators.rules import Rule, RuleError, TestCase
 from hunksieve.plans.check import Plan, run_check
 from hunksieve.schemas import FP_ENTRY, LINES
@@ -244,3 +245,22 @@ def test_scalars(spark):
     assert got[1] == "a|b`c#d*e_f[g]h&gt;i\r\n&lt;&amp;&quot;&apos;&#x1;"
     assert got[2] == "x" * 240 + "…" and got[3] == 4 and got[4].startswith('"a|b') and '""' in got[4]
     assert got[5] == "a\\tb\\\\\\n" and got[6] == "a/b"
+
+
+def test_packs_in_tables(spark):
+    """Rules as rows against the same rules one by one: required texts, none, several patterns, directives."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "été", "naïve", "x1", "zz"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(9))) + rng.choice(["", " // hunksieve: ignore p.1, p.3", " // hunksieve: ignore-all"]) for _ in range(120)] + [""]
+    lines = spark.createDataFrame([(f"d{i % 3}", i, f"f{i % 7}.rs", i, t, "added") for i, t in enumerate(texts)], "diff_id string, idx long, path string, line long, content string, kind string")
+    patterns = [("alpha b",), (r"\bgam+a\b", "delta"), ("é+t",), ("zz",), (r"[a-z]\d",), ("naïve [a-z]+", "na"), ("(?i)BETA",), ("nowhere",), ("a|b",), ()]
+    pack = [Rule(f"p.{i}", "warn", "", patterns=p) for i, p in enumerate(patterns)]
+    got = packs.find_in_pack(lines, rules.rules_table(spark, pack))
+    key = lambda r: (r.diff_id, r.path, r["at"], r.line, r.rule_id, r.severity, r.start, r.match_text, r.suppressed)
+    want = evaluate.find_events(lines, pack[:-1])
+    assert Counter(map(key, got.collect())) == Counter(map(key, want.collect()))
+    assert got.where("suppressed").count() and got.where("not suppressed").count()
+    assert packs.find_in_pack(lines.limit(0), rules.rules_table(spark, pack)).count() == 0
+    assert packs.find_in_pack(lines, rules.rules_table(spark, [])).count() == 0
+    nothing = spark.createDataFrame([("d", 1, "f", 1, None, "added")], lines.schema)
+    assert packs.find_in_pack(nothing, rules.rules_table(spark, pack)).count() == 0
