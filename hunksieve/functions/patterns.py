@@ -9,58 +9,143 @@ from pyspark.sql import functions as F
 
 #: Unicode classes and line ends as rule patterns expect them.
 FLAGS = "(?Ud)"
-#: POSIX class names.
-POSIX = {"alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "xdigit": r"\p{XDigit}", "word": r"\w"}
+#: POSIX classes, which hold ASCII alone.
+POSIX = {
+    "alnum": r"0-9A-Za-z",
+    "alpha": r"A-Za-z",
+    "ascii": r"\x00-\x7F",
+    "blank": r"\t\x20",
+    "cntrl": r"\x00-\x1F\x7F",
+    "digit": r"0-9",
+    "graph": r"\x21-\x7E",
+    "lower": r"a-z",
+    "print": r"\x20-\x7E",
+    "punct": r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E",
+    "space": r"\t-\r\x20",
+    "upper": r"A-Z",
+    "word": r"0-9A-Za-z_",
+    "xdigit": r"0-9A-Fa-f",
+}
+#: Edges of words, which Java writes as look-arounds.
+EDGES = {r"\<": r"(?<!\w)(?=\w)", r"\>": r"(?<=\w)(?!\w)", r"\b{start}": r"(?<!\w)(?=\w)", r"\b{end}": r"(?<=\w)(?!\w)", r"\b{start-half}": r"(?<!\w)", r"\b{end-half}": r"(?!\w)"}
+ESCAPE = re.compile(r"\\(?:[pP](?:\{[^}]*\}|.)|x(?:\{[^}]*\}|..)|u(?:\{[^}]*\}|.{4})|U(?:\{[^}]*\}|.{8})|b\{[a-z-]+\}|.)", re.DOTALL)
+GROUP = re.compile(r"\(\?(?:P?<([^>=!][^>]*)>|([a-zA-Z]*)(?:-([a-zA-Z]+))?([:)]))")
 
 
 class PatternError(ValueError):
     """A pattern or glob that can't be used."""
 
 
+def _escape(pattern: str, i: int) -> tuple[str, int]:
+    """An escape in Java's dialect, and its length."""
+    m = ESCAPE.match(pattern, i)
+    if not m:
+        raise PatternError(f"{pattern!r} ends in a backslash")
+    text = m[0]
+    if text[1] in "xuU":
+        digits = text[2:].strip("{}")
+        if not re.fullmatch("[0-9A-Fa-f]+", digits):
+            raise PatternError(f"bad escape {text!r} in {pattern!r}")
+        return rf"\x{{{digits}}}", len(text)
+    return text, len(text)
+
+
+def _class(pattern: str, i: int, flat: bool = False) -> tuple[str, int]:
+    """The class that begins at a bracket in Java's dialect, and where it ends. Set operations bind from the left."""
+    start, i = i, i + 1
+    negated = pattern[i : i + 1] == "^"
+    i += negated
+    whole, op, items, first = None, None, [], True
+
+    def joined(left: str | None, how: str | None, right: str) -> str:
+        right = right or r"[^\x{0}-\x{10FFFF}]"
+        if left is None:
+            return f"[{right}]"
+        right = f"[{right}]"
+        differs = lambda a, b: f"[{a}&&[^{b}]]"
+        return {"&&": f"[{left}&&{right}]", "--": differs(left, right), "~~": f"[{differs(left, right)}{differs(right, left)}]"}[how]
+
+    while i < len(pattern):
+        c, two = pattern[i], pattern[i : i + 2]
+        if c == "]" and not (first and op is None):
+            whole = joined(whole, op, "".join(items))
+            return (f"[^{whole}]" if negated else whole), i + 1
+        if two in ("&&", "--", "~~") and not (two == "--" and pattern[i + 2 : i + 3] == "]"):
+            whole, op, items, i = joined(whole, op, "".join(items)), two, [], i + 2
+            continue
+        first = False
+        if c == "[":
+            if m := re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:]):
+                if m[2] not in POSIX:
+                    raise PatternError(f"unknown class {m[0]} in {pattern!r}")
+                items.append(f"[{m[1]}{POSIX[m[2]]}]")
+                i += len(m[0])
+                continue
+            inner, i = _class(pattern, i)
+            items.append(inner)
+            continue
+        if c == "\\":
+            text, size = _escape(pattern, i)
+        else:
+            text, size = (f"\\{c}" if c in "[]^-&~\\" else c), 1
+        i += size
+        if pattern[i : i + 1] == "-" and pattern[i + 1 : i + 2] not in ("]", "-", ""):  # a range
+            high, size = _escape(pattern, i + 1) if pattern[i + 1] == "\\" else (pattern[i + 1], 1)
+            text += "-" + (f"\\{high}" if high in ("[", "^", "&", "~") else high)
+            i += 1 + size
+        items.append(text)
+    raise PatternError(f"unclosed class at {start} in {pattern!r}")
+
+
 def java_pattern(pattern: str) -> str:
     """A rule pattern in Java's dialect, to be used behind FLAGS.
 
-    `$` outside classes and multi-line mode means the very end; POSIX classes are named as Java names them. Look-around
-    and back-references are refused.
+    Classes are read with their set operations (`&&`, `--`, `~~`), word edges become look-arounds, `^` and `$` go by the
+    multi-line flag of the group that they stand in. Look-around and back-references are refused, as are flags that have
+    no like in Java.
     """
-    if re.search(r"\(\?(=|!|<=|<!|>)|\(\?P=", pattern) or re.search(r"(?<!\\)(\\\\)*\\[1-9]", pattern):
+    if re.search(r"\(\?(=|!|<=|<!|>)|\(\?P=", pattern):
         raise PatternError(f"look-around or back-reference in {pattern!r}")
-    names = dict.fromkeys(re.findall(r"\(\?P?<([^>=!]+)>", pattern))
-    for n, name in enumerate(names):
-        pattern = re.sub(rf"\(\?P?<{re.escape(name)}>", f"(?<g{n}>", pattern)
-    multi = bool(re.search(r"\(\?[a-zA-Z]*m[a-zA-Z]*(-[a-zA-Z]*)?[:)]", pattern))
-    out, inside, i = [], 0, 0
+    out, multi, names, i = [], [False], 0, 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if inside and (m := re.match(r"\[:(\^?)(\w+):\]", pattern[i:])) and m[2] in POSIX:
-            name = POSIX[m[2]]
-            out.append(name if not m[1] else name.replace(r"\p", r"\P") if r"\p" in name else name.upper())
-            i += len(m[0])
-            continue
-        if c == "[":
-            inside += 1
-            if pattern[i + 1 : i + 2] == "]" or pattern[i + 1 : i + 3] == "^]":  # a bracket that comes first is meant as such
-                n = 2 if pattern[i + 1] == "]" else 3
-                out.append(pattern[i : i + n - 1] + "\\]")
-                i += n
+            text, size = _escape(pattern, i)
+            if text[1].isdigit() and text[1] != "0":
+                raise PatternError(f"look-around or back-reference in {pattern!r}")
+            if text.startswith(r"\b{") and text not in EDGES:
+                raise PatternError(f"bad escape {text!r} in {pattern!r}")
+            out.append(EDGES.get(text, text))
+            i += size
+        elif c == "[":
+            text, i = _class(pattern, i)
+            out.append(text)
+        elif c == "(" and (m := GROUP.match(pattern, i)):
+            i = m.end()
+            if m[1] is not None:
+                out.append(f"(?<g{names}>")
+                names += 1
+                multi.append(multi[-1])
                 continue
-        elif c == "]" and inside:
-            inside -= 1
-        elif c == "$" and not inside and not multi:
-            c = "\\z"
-        elif inside and pattern[i : i + 3] == "--[":  # difference of classes: Java has it as an intersection
-            out.append("&&[^")
-            inside += 1
-            i += 3
-            continue
-        elif inside and pattern[i : i + 2] == "~~":
-            raise PatternError(f"symmetric difference of classes in {pattern!r}")
-        out.append(c)
-        i += 1
+            on, off = m[2] or "", m[3] or ""
+            if set(on + off) - set("imsxu"):
+                raise PatternError(f"flags {on}-{off} in {pattern!r}")
+            now = (multi[-1] or "m" in on) and "m" not in off
+            if m[4] == ":":
+                multi.append(now)
+            else:
+                multi[-1] = now
+            on, off = on.replace("u", ""), off.replace("u", "U")
+            out.append(f"(?{on}{'-' + off if off else ''}{m[4]}" if on or off else "(?:" if m[4] == ":" else "")
+        elif c == "(":
+            multi.append(multi[-1])
+            out.append(c)
+            i += 1
+        else:
+            if c == ")" and len(multi) > 1:
+                multi.pop()
+            out.append({"$": r"(?=\n|\z)" if multi[-1] else r"\z", "^": r"(?:\A|(?<=\n))" if multi[-1] else r"\A"}.get(c, c))
+            i += 1
     return "".join(out)
 
 
@@ -94,7 +179,7 @@ def required_text(pattern: str) -> tuple[str, bool]:
                 size += 1 + (here == "\\")
             c = ""
         elif c == "\\":
-            c, size = (pattern[i + 1 : i + 2], 2) if pattern[i + 1 : i + 2] in META | set("-/#&~ \"'<>=!:,;@%`") else ("", 2)
+            c, size = (pattern[i + 1 : i + 2], 2) if pattern[i + 1 : i + 2] in META | set("-/#&~ \"'=!:,;@%`") else ("", 2)
             if pattern[i : i + 2] in (r"\p", r"\P", r"\x", r"\u", r"\U") and pattern[i + 2 : i + 3] == "{":
                 size = pattern.find("}", i) + 1 - i
             elif pattern[i : i + 2] in (r"\x", r"\u", r"\U", r"\p", r"\P"):

@@ -267,7 +267,7 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     event at the first line of each file they apply to where they have no match. Rules that depend on others count only
     in files where all of those have matched as well, suppressed or not.
     """
-    check(rules)
+    check(rules, lines.sparkSession)
     deps = closure(rules)
     masks = any(r.ignore_comments or r.ignore_strings for r in rules)
     strings = any(r.ignore_strings and not r.ignore_comments for r in rules)

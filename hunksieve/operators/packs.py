@@ -147,3 +147,13 @@ def find_in_pack(lines: DataFrame, rules: DataFrame, language: str | None = None
     events = events.join(suppressions(lines, language), ["diff_id", "at"], "left")
     suppressed = F.coalesce(F.col("suppress_all") | F.array_contains("suppress_ids", F.col("rule_id")), F.lit(False))
     return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")
+
+
+def self_test_pack(rules: DataFrame) -> DataFrame:
+    """(rule_id, case, should_match, matched, passed) of each test case of rules that are rows: id, patterns, test_cases."""
+    cases = rules.select("id", F.posexplode("test_cases").alias("case", "c"), "patterns")
+    each = cases.select("id", "case", "c.input", "c.should_match", F.explode_outer("patterns").alias("pattern"))
+    told = each.withColumn("java", compiler()(F.coalesce("pattern", F.lit("")))["java"])
+    hit = F.bool_or(F.col("pattern").isNotNull() & F.coalesce(F.rlike(F.col("input"), F.col("java")), F.lit(False)))
+    out = told.groupBy(F.col("id").alias("rule_id"), "case").agg(F.first("should_match").alias("should_match"), hit.alias("matched"))
+    return out.withColumn("passed", F.col("should_match") == F.col("matched"))

@@ -86,6 +86,11 @@ def merge(base: Iterable[Rule], own: Iterable[Rule]) -> list[Rule]:
     return [merged[k] for k in sorted(merged)]
 
 
+def merge_tables(base: DataFrame, own: DataFrame) -> DataFrame:
+    """The same for rules that are rows: those of `base` whose ids `own` lacks, and those of `own`. Ids are unique in each."""
+    return base.join(own.select("id"), "id", "left_anti").select(*base.columns).unionByName(own)
+
+
 def lower(text: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in text)
 
@@ -123,14 +128,16 @@ def closure(rules: list[Rule]) -> dict[str, set[str]]:
     return out
 
 
-def check(rules: list[Rule]) -> None:
-    """Raises for what no run can use: missing patterns, bad patterns or globs, unknown dependencies."""
+def check(rules: list[Rule], spark: SparkSession | None = None) -> None:
+    """Raises for what no run can use: missing patterns, bad patterns or globs, unknown dependencies. With a session patterns are compiled."""
     for r in rules:
         if not r.patterns:
             raise RuleError(f"rule {r.id} has no patterns")
         try:
             for p in (*r.patterns, *r.context_patterns, *r.escalate_patterns):
                 java_pattern(p)
+                if spark is not None and (wrong := check_pattern(spark, p)):
+                    raise PatternError(f"pattern {p!r}: {wrong}")
             for g in (*r.paths, *r.exclude_paths):
                 glob_regex(g)
         except PatternError as e:

@@ -116,7 +116,10 @@ UNION ALL SELECT path, '{GLOB_RULES[1].id}', 'warn' FROM p WHERE (regexp_matches
 UNION ALL SELECT path, '{GLOB_RULES[2].id}', 'error' FROM p WHERE regexp_matches(path, '^src[1-3]/.')""",
     "path_filter": f"WITH {L1} SELECT path, line FROM l1 WHERE path LIKE '%.py' OR path LIKE 'src1/%'",
     "allowed_lines_semi": f"WITH {L1} SELECT path, line, content FROM l1 WHERE line IN (1, 3) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "tag_filter": "SELECT * FROM (VALUES ('pii.ipv4', 'info'), ('secret.token', 'error')) AS v(rule_id, severity)",
+    "tag_filter": """SELECT 'b.' || item_id AS rule_id, (['info', 'warn', 'error'])[item_id % 3 + 1] AS severity FROM benchmark WHERE (length(text) % 5 IN (1, 2) OR item_id % 2 = 1) AND length(text) % 5 <> 3""",
+    "pattern_classes": f"""WITH {L1} SELECT path, line, 'c.minus' AS rule_id FROM l1 WHERE regexp_matches(content, '[b-df-hj-np-tv-z]{{4}}')
+UNION ALL SELECT path, line, 'c.either' FROM l1 WHERE regexp_matches(content, '[0-4a-z]{{3}}')
+UNION ALL SELECT path, line, 'c.edge' FROM l1 WHERE regexp_matches(content, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') OR contains(content, 'zzzz')""",
     "first_pattern_wins": f"WITH {L1}, {events([Rule('first', 'info', '', patterns=('zzzz', 'of [a-z]+', 'the [a-z]+'))])} SELECT path, line, col, match_text FROM events",
     "snippet_240": f"WITH {L1} SELECT path, line, CASE WHEN length(t) > 240 THEN left(t, 240) || '…' ELSE t END AS snippet FROM (SELECT *, regexp_replace(content, {UNICODE_TRIM}, '') AS t FROM l1)",
     "gitlab_fingerprint": f"{RANKED} SELECT diff_id, n, sha256(rule_id || path || line || col || match_text) AS fingerprint FROM found",
@@ -201,11 +204,12 @@ FROM found GROUP BY diff_id, path""",
     "gitlab_issues": f"""{RANKED} SELECT diff_id, n, CASE snippet WHEN '' THEN json_merge_patch(issue, '{{"content": null}}') ELSE issue END::VARCHAR AS issue FROM (SELECT *, json_object('description', message, 'check_name', rule_id, 'fingerprint', sha256(rule_id || path || line || col || match_text),
   'severity', {level('gitlab')}, 'location', json_object('path', path, 'lines', json_object('begin', line)), 'content', json_object('body', snippet)) AS issue FROM found)""",
     "xml_escape": f"SELECT page_id, {xml('html')} AS escaped FROM pages",
-    "rule_suggest": "SELECT id, s AS score FROM (SELECT id, CASE WHEN starts_with(id, 'pii.ipv') OR starts_with('pii.ipv', id) THEN 0 WHEN contains(id, 'pii.ipv') OR contains('pii.ipv', id) THEN 1 WHEN levenshtein(id, 'pii.ipv') <= 3 THEN levenshtein(id, 'pii.ipv') + 2 END AS s FROM (VALUES ('pii.email'), ('pii.ipv4'), ('secret.token'), ('text.licence')) AS v(id)) WHERE s IS NOT NULL",
-    "rule_self_test": r"""SELECT rule_id, n, should_match, matched, should_match = matched AS passed FROM (
-  SELECT rule_id, n, should_match, CASE rule_id WHEN 'pii.email' THEN regexp_matches(t, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+') ELSE regexp_matches(t, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') END AS matched
-  FROM (VALUES ('pii.email', 0, true, 'mail a@b.org now'), ('pii.email', 1, false, 'nothing'), ('pii.email', 2, true, 'none@'), ('pii.ipv4', 0, true, '1.2.3.4'), ('pii.ipv4', 1, false, '1.2.3')) AS v(rule_id, n, should_match, t))""",
-    "config_merge": "SELECT row_number() OVER (ORDER BY id) - 1 AS rule_idx, id, severity FROM (VALUES ('a.new', 'info'), ('pii.email', 'warn'), ('pii.ipv4', 'error'), ('secret.token', 'error'), ('text.licence', 'warn')) AS v(id, severity)",
+    "rule_suggest": """SELECT id, s::BIGINT AS score FROM (SELECT item_id, id, CASE WHEN starts_with(id, 'b.1o') OR starts_with('b.1o', id) THEN 0 WHEN contains(id, 'b.1o') OR contains('b.1o', id) THEN 1
+  WHEN levenshtein(id, 'b.1o') <= 3 THEN levenshtein(id, 'b.1o') + 2 END AS s FROM (SELECT item_id, 'b.' || item_id AS id FROM benchmark)) WHERE s IS NOT NULL ORDER BY s, item_id LIMIT 5""",
+    "rule_self_test": """WITH r AS (SELECT 'b.' || item_id AS rule_id, text, regexp_extract(text, '[a-z]{4,}') || '[a-z]+ [^a-z]' AS p FROM benchmark),
+c AS (SELECT rule_id, 0::BIGINT AS n, true AS should_match, regexp_matches(text, p) AS matched FROM r UNION ALL SELECT rule_id, 1, false, regexp_matches(upper(text), p) FROM r)
+SELECT *, should_match = matched AS passed FROM c""",
+    "config_merge": """SELECT 'b.' || item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'error' ELSE (['info', 'warn', 'error'])[item_id % 3 + 1] END AS severity, item_id AS rule_idx FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 2 = 0""",
     "changed_lines_positional": """WITH new_ AS (SELECT conv_id::VARCHAR AS uri, string_agg(text, chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY 1),
 old_ AS (SELECT conv_id::VARCHAR AS uri, string_agg(text, chr(10) ORDER BY turn, text) AS t FROM conversations WHERE turn % 3 <> 1 GROUP BY 1),
 n AS (SELECT uri, unnest(string_split(t, chr(10))) AS content, unnest(generate_series(1, len(string_split(t, chr(10))))) AS line FROM new_),

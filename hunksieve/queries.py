@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.lang import language_of
 from .operators import evaluate, history, packs, rules, verdict
-from .operators.rules import Rule, TestCase
+from .operators.rules import Rule
 from .plans.check import Plan, run_check
 from .schemas import FP_ENTRY
 from .sinks import encoders
 from .sources import diffs, records
 from .streaming.editor import positional_changes
-from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, special_diffs, table
+from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, pack_of_items, special_diffs, table
 
 KEYS = ("rule_id", "path", "line")
 
@@ -101,8 +101,17 @@ def allowed_lines_semi(spark, sf_dir):
 
 
 def tag_filter(spark, sf_dir):
-    rows = rules.rules_table(spark, RULES)
-    return rows.where(rules.tag_condition(F.col("tags"), only=["PII"], enable=["secret"], disable=["mail"])).select(F.col("id").alias("rule_id"), "severity")
+    """Rules of the benchmark's items by their tags, in any case."""
+    rows = pack_of_items(spark, sf_dir)
+    return rows.where(rules.tag_condition(F.col("tags"), only=["LEN1", "len2"], enable=["odd"], disable=["Len3"])).select(F.col("id").alias("rule_id"), "severity")
+
+
+CLASS_RULES = [Rule("c.minus", "info", "", patterns=("[a-z--aeiou]{4}",)), Rule("c.either", "info", "", patterns=("[0-9~~5-9a-z]{3}",)), Rule("c.edge", "info", "", patterns=(r"\<the\>", "zzzz"))]
+
+
+def pattern_classes(spark, sf_dir):
+    """Differences of character classes and edges of words."""
+    return flat(events(spark, sf_dir, CLASS_RULES)).select("path", "line", "rule_id")
 
 
 def first_pattern_wins(spark, sf_dir):
@@ -379,18 +388,18 @@ def pages_rendered(spark, sf_dir):
 
 
 def rule_suggest(spark, sf_dir):
-    return rules.suggest(rules.rules_table(spark, RULES), "pii.ipv").select("id", F.col("score").cast("long").alias("score"))
+    return rules.suggest(pack_of_items(spark, sf_dir), "B.1O").select("id", F.col("score").cast("long").alias("score"))
 
 
 def rule_self_test(spark, sf_dir):
-    cases = ((TestCase("mail a@b.org now", True), TestCase("nothing", False), TestCase("none@", True)), (TestCase("1.2.3.4", True), TestCase("1.2.3", False)), (), ())
-    pack = [replace(r, test_cases=c) for r, c in zip(RULES, cases, strict=True)]
-    return rules.self_test(spark, pack).select("rule_id", F.col("case").cast("long").alias("n"), "should_match", "matched", "passed")
+    """Each item's rule against the item and against its upper-case form."""
+    return packs.self_test_pack(pack_of_items(spark, sf_dir)).withColumnRenamed("case", "n")
 
 
 def config_merge(spark, sf_dir):
-    own = [replace(RULES[1], severity="error"), Rule("a.new", "info", "", patterns=("x",))]
-    return rules.rules_table(spark, rules.merge(RULES, own)).select(F.col("rule_idx").cast("long").alias("rule_idx"), "id", "severity")
+    """Two thirds of the items' rules, and over them the even ones as errors."""
+    pack = pack_of_items(spark, sf_dir).select("id", "severity", "rule_idx")
+    return rules.merge_tables(pack.where("rule_idx % 3 <> 0"), pack.where("rule_idx % 2 = 0").withColumn("severity", F.lit("error")))
 
 
 def changed_lines_positional(spark, sf_dir):
@@ -418,7 +427,7 @@ def runs_of_files(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
-    + (allowed_lines_semi, tag_filter, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
+    + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)

@@ -99,6 +99,17 @@ def special_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("diff_id", (F.col("doc_id") * LINES_OF_A_TEXT + F.col("at")).alias("pos"), "raw")
 
 
+def pack_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each benchmark item, which looks for its first long word as the beginning of a longer one; the item is its test case."""
+    n, text = F.col("item_id"), F.col("text")
+    tags = F.array(F.concat(F.lit("len"), (F.length(text) % 5).cast("string")), F.when(n % 2 == 1, "Odd").otherwise("even"))
+    severity = F.get(F.array(F.lit("info"), F.lit("warn"), F.lit("error")), (n % 3).cast("int"))
+    pattern = F.concat(F.regexp_extract(text, "[a-z]{4,}", 0), F.lit("[a-z]+ [^a-z]"))
+    cases = F.array(F.struct(text.alias("input"), F.lit(True).alias("should_match")), F.struct(F.upper(text).alias("input"), F.lit(False).alias("should_match")))
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(n.alias("rule_idx"), F.concat(F.lit("b."), n.cast("string")).alias("id"), severity.alias("severity"), tags.alias("tags"), F.array(pattern).alias("patterns"), cases.alias("test_cases"))
+
+
 #: What the queries look for. Patterns mean the same in RE2.
 RULES = [
     Rule("pii.email", "warn", "address in text", patterns=(r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+",), tags=("pii", "Mail"), help="remove it"),
