@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHANGED = T.StructType().add("uri", "string").add("version", "integer").add("kind", "string").add("line", "long").add("content", "string")
 
+#: The kind of an event that says that the rules may have changed. Its uri is that of no document.
+CONFIG = "config"
+
 
 def text_lines(text: str) -> list[str]:
     lines = [x.removesuffix("\r") for x in text.split("\n")]
@@ -117,22 +120,89 @@ def synthetic_lines(changes: DataFrame) -> DataFrame:
     return changes.where("line is not null").select(F.col("uri").alias("diff_id"), F.row_number().over(order).cast("long").alias("idx"), F.col("uri").alias("path"), "line", "content", F.lit("added").alias("kind"))
 
 
-def diagnose_batches(events: DataFrame, rules_of: Callable[[], list], publish: Callable[[DataFrame, int], None]):
-    """Writer whose every micro-batch checks the changed documents and publishes (uri, version, diagnostics).
+def open_documents(spark: SparkSession, checkpoint: str, batch: int) -> DataFrame:
+    """(uri, version, base, text) of the documents that are open after a committed batch, read from the stream's state."""
+    state = spark.read.format("statestore").option("stateVarName", "document").option("batchId", batch).load(checkpoint)
+    return state.select(F.col("key.uri").alias("uri"), "value.version", "value.base", "value.text")
+
+
+def changes_of(documents: DataFrame) -> DataFrame:
+    """CHANGED of documents (uri, version, base, text), as their next event would give it."""
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in source:
+            out = []
+            for r in frame.itertuples():
+                out += [(r.uri, r.version, CONFIG, n, text) for n, text in changed_lines(r.base, r.text)] or [(r.uri, r.version, CONFIG, None, None)]
+            yield pd.DataFrame(out, columns=CHANGED.names).astype({"version": "int32", "line": "Int64"})
+
+    return documents.mapInPandas(run, CHANGED)
+
+
+def diagnose_batches(
+    events: DataFrame,
+    rules_of: Callable[[], list],
+    publish: Callable[[DataFrame, int], None],
+    checkpoint: str | None = None,
+    diff_of: Callable[[], DataFrame] | None = None,
+    say: Callable[[str], None] = print,
+):
+    """Writer whose every micro-batch checks the changed documents and publishes (uri, version, diagnostics), in order of uri.
 
-    `rules_of` is asked for the rules in each batch, so changed rules hold from the next one on. A document's row
-    replaces what was published for it; one without findings has an empty list.
+    `rules_of` is asked for the rules in each batch; if it fails the built-in rules hold, and `say` is told why. An event
+    of kind config has all open documents checked again, those without events as the state of the batch before tells, for
+    which the stream's `checkpoint` folder must be given. A document without changed lines is checked on its lines in
+    `diff_of()` (LINES whose paths are uris), if there is one. A document's row replaces what was published for it; one without
+    findings, or that was closed, has an empty list.
     """
     from ..operators.evaluate import find_events, findings
+    from ..operators.rules import RuleError
     from ..sinks.encoders import diagnostics
+    from ..sources.presets import BUILT_IN
+
+    def current_rules() -> list:
+        try:
+            return rules_of()
+        except (OSError, ValueError, RuleError) as e:
+            say(f"rules could not be loaded, built-in rules hold: {e}")
+            return BUILT_IN
 
     def batch(changes: DataFrame, number: int) -> None:
         changes = changes.persist()
-        rules = rules_of()
-        found = diagnostics(findings(find_events(synthetic_lines(changes), rules), rules))
+        now = changes.where(F.col("kind") != CONFIG)
+        if number and checkpoint and not changes.where(F.col("kind") == CONFIG).isEmpty():
+            others = open_documents(changes.sparkSession, checkpoint, number - 1).join(now.select("uri").distinct(), "uri", "left_anti")
+            now = now.unionByName(changes_of(others))
+        now = now.persist()
+        rules = current_rules()
+        lines = synthetic_lines(now)
+        if diff_of is not None:
+            silent = now.where("line is null and kind <> 'close'").select("uri").distinct()
+            lines = lines.unionByName(diff_of().join(silent, F.col("path") == F.col("uri"), "left_semi").withColumn("diff_id", F.col("path")).select(*lines.columns))
+        found = diagnostics(findings(find_events(lines, rules), rules))
         listed = F.array_sort(F.collect_list(F.struct("line", "start_char", "message", "end_char", "severity", "code"))).alias("diagnostics")
-        rows = changes.groupBy("uri").agg(F.max("version").alias("version")).join(found.groupBy(F.col("path").alias("uri")).agg(listed), "uri", "left")
-        publish(rows, number)
+        rows = now.groupBy("uri").agg(F.max("version").alias("version")).join(found.groupBy(F.col("path").alias("uri")).agg(listed), "uri", "left")
+        publish(rows.withColumn("diagnostics", F.coalesce("diagnostics", F.array().cast(rows.schema["diagnostics"].dataType))).orderBy("uri"), number)
+        now.unpersist()
         changes.unpersist()
 
-    return document_changes(events).writeStream.outputMode("update").foreachBatch(batch)
+    writer = document_changes(events).writeStream.outputMode("update").foreachBatch(batch)
+    return writer.option("checkpointLocation", checkpoint) if checkpoint else writer
+
+
+def publish_into(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for `diagnose_batches`: each batch has a folder of its own, so that one that is played again changes nothing."""
+
+    def publish(rows: DataFrame, number: int) -> None:
+        spark, folder = rows.sparkSession, f"{path}/batch={number}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+            rows.write.mode("overwrite").parquet(folder)  # what a broken try has left goes
+
+    return publish
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, version, diagnostics) of each document as it was published last."""
+    last = F.max_by(F.struct("version", "diagnostics"), "batch").alias("last")
+    return spark.read.parquet(path).groupBy("uri").agg(last).select("uri", "last.*")

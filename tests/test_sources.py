@@ -260,3 +260,43 @@ def test_editor_stream(spark, tmp_path):
     assert published["a.py"] == (2, [(1, "r"), (2, "r")])
     feed("3", [("a.py", None, "save", None, None, 3), ("b.py", None, "close", None, None, 2)])
     assert published == {"a.py": (2, []), "b.py": (0, [])}
+
+
+def test_editor_reload_and_replay(spark, tmp_path):
+    """Changed rules reach every open document, a bad file brings the built-in ones, the diff stands in, and a batch counts once."""
+    schema = "uri string, version int, kind string, text string, edits array<struct<sl: int, sc: int, el: int, ec: int, text: string>>, seq long"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out, state, said, word = str(tmp_path / "out"), str(tmp_path / "state"), [], ["bad"]
+    diff = spark.createDataFrame([("w", 1, "c.py", 7, "worse in the diff", "added"), ("w", 2, "z.py", 1, "worse", "added")], "diff_id string, idx long, path string, line long, content string, kind string")
+    batches = []
+
+    def rules_of():
+        if word[0] is None:
+            raise ValueError("line 3: no value")
+        return [Rule("r", "warn", "m", patterns=(word[0],))]
+
+    def publish(rows, number):
+        batches.append((number, [r.uri for r in rows.collect()]))
+        editor.publish_into(out)(rows, number)
+
+    def feed(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        editor.diagnose_batches(stream, rules_of, publish, state, lambda: diff, said.append).trigger(availableNow=True).start().awaitTermination()
+        return {r.uri: (r.version, [(d.line + 1, d.code) for d in r.diagnostics]) for r in editor.published(spark, out).collect()}
+
+    feed("1", [("b.py", 1, "open", "x", None, 1), ("a.py", 1, "open", "x", None, 1), ("c.py", 1, "open", "x", None, 1), ("d.py", 1, "open", "x", None, 1)])
+    got = feed("2", [("b.py", 2, "change", "worse", None, 2), ("a.py", 2, "change", "bad", None, 2), ("d.py", None, "close", None, None, 2)])
+    assert got == {"a.py": (2, [(1, "r")]), "b.py": (2, []), "c.py": (1, []), "d.py": (0, [])}
+    word[0] = "worse"
+    got = feed("3", [("config:", None, "config", None, None, 1), ("a.py", 3, "change", "worse", None, 3)])
+    assert batches[-1] == (2, ["a.py", "b.py", "c.py"])
+    assert got == {"a.py": (3, [(1, "r")]), "b.py": (2, [(1, "r")]), "c.py": (1, [(7, "r")]), "d.py": (0, [])}
+    word[0] = None
+    got = feed("4", [("config:", None, "config", None, None, 2)])
+    assert got == {"a.py": (3, []), "b.py": (2, []), "c.py": (1, []), "d.py": (0, [])} and "line 3" in said[-1]
+    rows = spark.createDataFrame([("a.py", 9, [])], editor.published(spark, out).schema)
+    editor.publish_into(out)(rows, 3)
+    assert {r.uri: r.version for r in editor.published(spark, out).collect()} == {u: v for u, (v, _) in got.items()}
+    editor.publish_into(out)(rows, 4)
+    assert {r.uri: r.version for r in editor.published(spark, out).collect()}["a.py"] == 9
