@@ -234,6 +234,8 @@ ORACLES |= {
     "diff_deleted": f"{MARKED} SELECT path, old_line AS line, content, 'deleted' AS kind FROM c WHERE k = 1",
 }
 
+ORACLES["diff_in_sql"] = ORACLES["diff_added"]
+
 DEPENDENT = f"WITH {L1}, {events([Rule(i, 'info', '', patterns=(p,)) for i, p in (('d.a', 'with the'), ('d.b', 'of the'), ('d.c', 'to the'))])}, has AS (SELECT path, list(DISTINCT rule_id) AS ids FROM events GROUP BY path)"
 for name, needs in {"gate": "rule_id <> 'd.b' OR list_contains(ids, 'd.a')", "chain": "rule_id = 'd.a' OR (list_contains(ids, 'd.a') AND (rule_id = 'd.b' OR list_contains(ids, 'd.b')))", "cycle": "len(ids) = 3"}.items():
     ORACLES[f"dependency_{name}"] = f"{DEPENDENT} SELECT path, line, rule_id FROM events JOIN has USING (path) WHERE {needs}"

@@ -63,6 +63,13 @@ def diff_special_headers(spark, sf_dir):
     return diffs.parse_unified_diffs(special_diffs(spark, sf_dir)).select("diff_id", "path", "line", "content", "kind")
 
 
+def diff_in_sql(spark, sf_dir):
+    """diff_added by the table function, in SQL."""
+    spark.udtf.register("parse_diff", diffs.sql_parser())
+    diff_text(spark, sf_dir).createOrReplaceTempView("hunksieve_raw_diff")
+    return spark.sql("SELECT path, line, content, kind FROM parse_diff(TABLE(hunksieve_raw_diff) PARTITION BY diff_id ORDER BY pos)")
+
+
 def multibase_union_dedupe(spark, sf_dir):
     """The same diff against two bases, with other line numbers in the second; of lines that are the same in both the first counts."""
     lines = doc_lines(spark, sf_dir).withColumnRenamed("idx", "pos")
@@ -426,7 +433,7 @@ def runs_of_files(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
+    for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, diff_in_sql, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)

@@ -57,8 +57,14 @@ def default_path(kind: str, beside_sensor: bool = False) -> Path:
 
 
 def write_page(pages: DataFrame, path: str | Path) -> None:
-    """One page to a file, in the file system that Spark reads the path from; folders are made, an older file is replaced."""
-    spark, text = pages.sparkSession, pages.select("page").first()[0]
+    """The one page of `pages` to a file, in the file system that Spark reads the path from; folders are made, an older file is replaced.
+
+    An error if there are more pages or none: `write_pages` is for many.
+    """
+    spark, rows = pages.sparkSession, pages.select("page").take(2)
+    if len(rows) != 1:
+        raise ValueError(f"one page was expected for {path}, not {'more' if rows else 'none'}")
+    text = rows[0][0]
     where = spark._jvm.org.apache.hadoop.fs.Path(str(path))
     files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if files.getScheme() == "file":  # without the checksum file that Hadoop puts beside
@@ -73,6 +79,15 @@ def write_page(pages: DataFrame, path: str | Path) -> None:
         out.close()
 
 
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """The pages (diff_id, page) of any number of diffs, written by the tasks that hold them: a file in a folder diff_id=... for each.
+
+    Files show only once all tasks are done; a task that fails leaves none. What the folder held before goes. Pages end in one
+    line feed.
+    """
+    pages.select("diff_id", F.regexp_replace("page", r"\n\z", "").alias("page")).write.mode("overwrite").partitionBy("diff_id").text(folder)
+
+
 def _listed(rows: DataFrame, name: str, schema: str, element: str, *order: str) -> DataFrame:
     """(page): one document of all rows in order, as the readers of records take it."""
     fields_ = T._parse_datatype_string(element).names

@@ -55,6 +55,8 @@ def union_bases(diffs: list[DataFrame], label: str) -> DataFrame:
     return out
 
 
+#: Lines that the table function parses at a time.
+BATCH = 1 << 14
 #: A block, which is parsed in one task, is 2 to this power places of a diff.
 BLOCK_BITS = 17
 
@@ -83,6 +85,40 @@ def parse_unified_diffs(raw: DataFrame, scope: str = "added", bits: int = BLOCK_
     return rows.mapInArrow(parser.emit(scope), f"diff_id {kinds['diff_id']}, idx {kinds['pos']}, path string, line long, content string, kind string")
 
 
+def sql_parser(scope: str = "added"):
+    """The parser as a table function for SQL, to be registered: `parse_diff(TABLE(raw) PARTITION BY diff_id ORDER BY pos)`.
+
+    Its rows are those of `parse_unified_diffs`; what SQL puts into one partition goes through one task, a batch of lines at
+    a time.
+    """
+    if scope not in SCOPES:
+        raise ValueError(f"no such scope: {scope}")
+
+    class Parser:
+        def __init__(self):
+            self.state, self.lines, self.places, self.diff = parser.START, [], [], None
+
+        def eval(self, row):
+            if row["diff_id"] != self.diff:
+                yield from self.parsed()
+                self.state, self.diff = parser.START, row["diff_id"]
+            self.lines.append(row["raw"] or "")
+            self.places.append(row["pos"])
+            if len(self.lines) >= BATCH:
+                yield from self.parsed()
+
+        def parsed(self):
+            found, self.state = parser.parse_lines(self.lines, scope, self.state)
+            for i, *rest in found:
+                yield (self.diff, self.places[i], *rest)
+            self.lines, self.places = [], []
+
+        def terminate(self):
+            yield from self.parsed()
+
+    return F.udtf(Parser, returnType=LINES)
+
+
 def empty_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LINES)
 
@@ -92,4 +128,4 @@ def stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("diff_id").agg(F.count_distinct("path").alias("files"), F.count("*").alias("lines"))
 
 
-__all__ = ["RAW_DIFF", "empty_lines", "git_diff", "parse_unified_diffs", "raw_diff", "read_diff_files", "split_lines", "stats", "union_bases"]
+__all__ = ["RAW_DIFF", "empty_lines", "git_diff", "parse_unified_diffs", "raw_diff", "read_diff_files", "split_lines", "sql_parser", "stats", "union_bases"]

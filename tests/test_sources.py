@@ -173,6 +173,16 @@ def test_outcomes(spark, tmp_path):
     assert str(outcomes.default_path("sarif", True)) == "artifacts/hunksieve/extras/report.sarif.json"
     assert str(outcomes.default_path("gitlab", True)) == "artifacts/hunksieve/gl-code-quality-report.json"
     outcomes.write_page(failed.withColumn("page", F.lit("x")), tmp_path / "a/b.txt")
+    many = spark.createDataFrame([(f"d{i}", f"page {i}\nend\n") for i in range(9)], "diff_id string, page string")
+    for wrong in (many, many.limit(0)):
+        with pytest.raises(ValueError, match="one page"):
+            outcomes.write_page(wrong, tmp_path / "c.txt")
+    for some in (many, many.where("diff_id < 'd5'")):  # the second takes the place of the first
+        outcomes.write_pages(some.repartition(3), str(tmp_path / "pages"))
+    assert {p.parent.name: p.read_text() for p in (tmp_path / "pages").glob("*/part-*")} == {f"diff_id=d{i}": f"page {i}\nend\n" for i in range(5)}
+    with pytest.raises(Exception, match="broken"):
+        outcomes.write_pages(many.withColumn("page", F.when(F.col("diff_id") == "d7", F.raise_error(F.lit("broken"))).otherwise(F.col("page"))), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*/part-*"))
     assert (tmp_path / "a/b.txt").read_text() == "x"
     schemas_ = outcomes.json_schemas()
     assert set(schemas_) == {"check", "config", "false-positive-baseline", "trend-history", "sensor"} and schemas_["check"]["properties"]["verdict"]["properties"]["reasons"]["type"] == "array"
