@@ -9,6 +9,7 @@ neighbours, a join by path for rules with path or language conditions, directive
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,17 @@ FILE = ("diff_id", "path")
 EVENT = "struct<rule_idx: int, severity: string, at: bigint, line: bigint, content: string, start: int, match_text: string>"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """`df`, computed once, in the checkpoint folder that all executors share. A cluster must name one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def filter_paths(lines: DataFrame, globs: list[str]) -> DataFrame:
     """Lines of paths that some glob matches; all, without globs."""
     return lines.where(matches_any(F.col("path"), globs)) if globs else lines

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import FLAGS, java_pattern, required_text
-from .evaluate import suppressions
+from .evaluate import held, suppressions
+from .rules import RuleError
 
 TRIGRAMS = 1 << 24
 #: Bytes of patterns that are sent to all tasks at a time.
@@ -149,6 +150,35 @@ def find_in_pack(lines: DataFrame, rules: DataFrame, language: str | None = None
     return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")
 
 
+def closure_table(rules: DataFrame) -> DataFrame:
+    """(rule_id, needs): all rules that a rule depends on, in turn, without itself. rules: id, depends_on (null: none).
+
+    Each round joins what is known with itself, so chains double their length; it ends when nothing is new, cycles or not.
+    A dependency that isn't there is an error.
+    """
+    direct = rules.select(F.col("id").alias("rule_id"), F.explode("depends_on").alias("needs")).distinct()
+    lost = direct.join(rules.select(F.col("id").alias("needs")), "needs", "left_anti").first()
+    if lost is not None:
+        raise RuleError(f"rule {lost.rule_id} depends on {lost.needs}, which isn't there")
+    known = held(direct)
+    n = known.count()
+    while True:
+        step = known.select("rule_id", F.col("needs").alias("over")).join(known.select(F.col("rule_id").alias("over"), "needs"), "over").select("rule_id", "needs")
+        known = held(known.unionByName(step).distinct())
+        more = known.count()
+        if more == n:
+            return known.where("rule_id <> needs")
+        n = more
+
+
+def gate(events: DataFrame, needs: DataFrame) -> DataFrame:
+    """The events of rules whose needs (rule_id, needs) have all matched in the same file of the same diff, suppressed or not."""
+    met = events.select("diff_id", "path", "rule_id").distinct()
+    wanted = met.join(needs, "rule_id")
+    missing = wanted.join(met.withColumnRenamed("rule_id", "needs"), ["diff_id", "path", "needs"], "left_anti").select("diff_id", "path", "rule_id").distinct()
+    return events.join(missing, ["diff_id", "path", "rule_id"], "left_anti")
+
+
 def self_test_pack(rules: DataFrame) -> DataFrame:
     """(rule_id, case, should_match, matched, passed) of each test case of rules that are rows: id, patterns, test_cases."""
     cases = rules.select("id", F.posexplode("test_cases").alias("case", "c"), "patterns")

@@ -217,6 +217,10 @@ o AS (SELECT uri, unnest(string_split(t, chr(10))) AS content, unnest(generate_s
 SELECT n.uri, n.line, n.content FROM n LEFT JOIN o USING (uri, line) WHERE n.content IS DISTINCT FROM o.content""",
     "benchmark_fanout_rules": f"""WITH {L1}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS w FROM benchmark)
 SELECT 'w.' || w AS rule_id, count(*) AS total FROM w, l1 WHERE contains(content, w) AND regexp_matches(content, w || '[a-z]{{2}}') GROUP BY w""",
+    "dependency_table": f"""WITH RECURSIVE {L1}, d AS (SELECT item_id AS a, item_id - 1 AS b FROM benchmark WHERE item_id % 4 <> 0 UNION ALL SELECT item_id, item_id + 1 FROM benchmark WHERE item_id % 8 = 4),
+c AS (SELECT a, b FROM d UNION SELECT c.a, d.b FROM c JOIN d ON c.b = d.a), e AS (SELECT item_id, path, line FROM l1, (SELECT item_id, regexp_extract(text, '[a-z]{{3}}') AS w FROM benchmark) WHERE contains(content, w)),
+f AS (SELECT DISTINCT item_id, path FROM e), g AS (SELECT f.item_id, f.path FROM f JOIN c ON c.a = f.item_id AND c.a <> c.b ANTI JOIN f AS h ON h.item_id = c.b AND h.path = f.path)
+SELECT path, line, 'b.' || item_id AS rule_id FROM e ANTI JOIN g USING (item_id, path)""",
     "runs_of_files": f"""WITH {L1}, p AS (SELECT diff_id, path IS DISTINCT FROM lag(path) OVER (PARTITION BY diff_id ORDER BY line % 2 = 0, idx) AS new_ FROM l1) SELECT diff_id, count(*) FILTER (new_) AS runs FROM p GROUP BY diff_id""",
 }
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -31,17 +30,6 @@ class Plan:
     language: str | None = None
 
 
-def held(df: DataFrame) -> DataFrame:
-    """`df`, computed once: in the checkpoint folder that all executors share, or in executors' storage where a cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
-            return df.persist()
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Run:
     """The tables of a run, all from events that are computed once. summary has a row for each diff with a line in scope."""
@@ -71,7 +59,7 @@ def run_check(lines: DataFrame, rules: list[Rule], plan: Plan | None = None, all
     lines = evaluate.keep_allowed(lines, allowed) if allowed is not None else lines
     lines = evaluate.first_of_each(lines)
     rules = select_by_tags(rules, plan.only_tags, plan.enable_tags, plan.disable_tags)
-    events = held(evaluate.find_events(lines, rules, plan.language, overrides))
+    events = evaluate.held(evaluate.find_events(lines, rules, plan.language, overrides))
     found = evaluate.findings(events, rules, plan.max_findings)
     counts = verdict.verdict_counts(events, plan.max_findings)
     hits = verdict.rule_hits(events)

@@ -425,6 +425,15 @@ def benchmark_fanout_rules(spark, sf_dir):
     return packs.find_in_pack(doc_lines(spark, sf_dir), pack).groupBy("rule_id").agg(F.count("*").alias("total"))
 
 
+def dependency_table(spark, sf_dir):
+    """Rules in a table that look for a piece of each benchmark item, three in four of them with dependencies, some in circles."""
+    n = F.col("item_id")
+    name = lambda x: F.concat(F.lit("b."), x.cast("string"))
+    needs = F.when(n % 4 != 0, F.array(name(n - 1))).when(n % 8 == 4, F.array(name(n + 1)))
+    pack = table(spark, sf_dir, "benchmark").select(name(n).alias("id"), F.lit("info").alias("severity"), F.array(F.regexp_extract("text", "[a-z]{3}", 0)).alias("patterns"), needs.alias("depends_on"))
+    return packs.gate(packs.find_in_pack(doc_lines(spark, sf_dir), pack), packs.closure_table(pack)).select("path", "line", "rule_id")
+
+
 def runs_of_files(spark, sf_dir):
     """Number of stretches of one path in each diff, where every other line of a diff is put behind all others."""
     lines = doc_lines(spark, sf_dir).withColumn("idx", F.col("idx") + F.when(F.col("line") % 2 == 0, F.lit(1 << 60)).otherwise(F.lit(0)))
@@ -439,7 +448,7 @@ QUERIES = {
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
-    + (benchmark_fanout_rules, runs_of_files)
+    + (benchmark_fanout_rules, dependency_table, runs_of_files)
 }
 QUERIES |= {f"diff_{s}": _diff(s) for s in diffs.SCOPES}
 QUERIES |= {"mask_line_comments": _masks("no_comments"), "mask_strings": _masks("no_strings"), "mask_both": _masks("no_both")}

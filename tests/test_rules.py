@@ -264,3 +264,21 @@ def test_packs_in_tables(spark):
     assert packs.find_in_pack(lines, rules.rules_table(spark, [])).count() == 0
     nothing = spark.createDataFrame([("d", 1, "f", 1, None, "added")], lines.schema)
     assert packs.find_in_pack(nothing, rules.rules_table(spark, pack)).count() == 0
+
+
+def test_dependencies_in_tables(spark):
+    rng = random.Random(13)
+    for n, edges in ((1, 0), (6, 6), (12, 20), (20, 12)):
+        needs = {f"r{i}": set() for i in range(n)}
+        for _ in range(edges):
+            needs[f"r{rng.randrange(n)}"].add(f"r{rng.randrange(n)}")
+        frame = spark.createDataFrame([(i, sorted(d) or None) for i, d in needs.items()], "id string, depends_on array<string>")
+        want = rules.closure([Rule(i, depends_on=tuple(d)) for i, d in needs.items()])
+        got = packs.closure_table(frame)
+        assert Counter(map(tuple, got.collect())) == Counter((i, d) for i, ds in want.items() for d in ds)
+        rows = [(rng.choice("de"), f"f{rng.randrange(4)}", f"r{rng.randrange(n)}", k) for k in range(60)]
+        met = {r[:3] for r in rows}
+        kept = packs.gate(spark.createDataFrame(rows, "diff_id string, path string, rule_id string, at long"), got)
+        assert {r["at"] for r in kept.collect()} == {k for d, f, r, k in rows if all((d, f, x) in met for x in want[r])}
+    with pytest.raises(RuleError, match="isn't there"):
+        packs.closure_table(spark.createDataFrame([("a", ["b"])], "id string, depends_on array<string>"))
