@@ -114,8 +114,8 @@ def find_in_pack(lines: DataFrame, rules: DataFrame, language: str | None = None
     don't count here. Ids are unique. Null lines match nothing but are no error; a rule without patterns has no events. A
     pattern that can't be used stops the job.
     """
-    patterns = rules.select(F.col("id").alias("rule_id"), "severity", F.posexplode("patterns").alias("n", "pattern"))
-    patterns = patterns.select("rule_id", "severity", "n", compiler()("pattern").alias("c")).select("rule_id", "severity", "n", "c.*")
+    patterns = rules.select(F.col("id").alias("rule_id"), "severity", (F.size("patterns") > 1).alias("several"), F.posexplode("patterns").alias("n", "pattern"))
+    patterns = patterns.select("rule_id", "severity", "several", "n", compiler()("pattern").alias("c")).select("rule_id", "severity", "several", "n", "c.*")
     rows = lines.where("content is not null").select("diff_id", "path", F.col("idx").alias("at"), "line", "content")
 
     # The rarest of each pattern's trigrams, by the lines that hold it.
@@ -126,21 +126,22 @@ def find_in_pack(lines: DataFrame, rules: DataFrame, language: str | None = None
     small = size_of(index) <= SENT
     probed = rows.withColumn("code", F.explode(held_by(bit_set(index.select("code")))("content")))
     met = probed.join(F.broadcast(index) if small else index, "code")
-    found = [met.where(F.contains("content", F.col("needed")) & F.rlike(F.col("content"), F.col("java"))).select(*LINE, "rule_id", "severity", "n", "java")]
+    found = [met.where(F.contains("content", F.col("needed")) & F.rlike(F.col("content"), F.col("java"))).select(*LINE, "rule_id", "severity", "several", "n", "java")]
 
     broad = patterns.where(F.size("codes") == 0)
     size = size_of(broad)
     blocks = size // SENT + 1 if size else 0
     for b in range(blocks):
         own = broad.where(F.pmod(F.xxhash64("rule_id", "n"), F.lit(blocks)) == b)
-        pack = own.agg(F.collect_list(F.struct("rule_id", "severity", "n", "java", "needed")).alias("p")).scalar()
+        pack = own.agg(F.collect_list(F.struct("rule_id", "severity", "several", "n", "java", "needed")).alias("p")).scalar()
         hit = F.inline(F.filter("pack", lambda p: matches(F.col("content"), p)))
         found.append(rows.select(*LINE, pack.alias("pack")).select(*LINE, hit).drop("needed"))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    first = hits.groupBy("diff_id", "at", "rule_id").agg(F.min_by(F.struct("path", "line", "content", "severity", "java"), "n").alias("e"))
-    first = first.select("diff_id", "at", "rule_id", "e.*")
+    # Of several patterns of one rule the first that matches; a sole one matches a line once, and goes into no shuffle.
+    first = hits.where("several").groupBy("diff_id", "at", "rule_id").agg(F.min_by(F.struct("path", "line", "content", "severity", "java"), "n").alias("e"))
+    first = hits.where("not several").select("diff_id", "at", "rule_id", "path", "line", "content", "severity", "java").unionByName(first.select("diff_id", "at", "rule_id", "e.*"))
     part = lambda shape: F.call_function("regexp_extract", F.col("content"), shape, F.lit(1))
     before = part(F.concat(F.lit(r"\A((?s:.*?))(?:"), "java", F.lit(")")))
     text = part(F.concat(F.lit(r"\A(?s:.*?)("), "java", F.lit(")")))

@@ -178,7 +178,10 @@ def walk(sign: np.ndarray, events: list[tuple[int, Event]], state: State, keep_d
     begin, counts, paths, hunk = [0], [state.inside and not state.skip and state.path is not None], [state.path], [(0, state.old, state.new, state.changed)]
     path, name, skip, inside, own = state.path, state.name, state.skip, state.inside, hunk[0]
     for i, (kind, told) in events:
-        if kind == "git":
+        if kind == "start":  # another diff or block
+            path, name, skip, inside = told.path, told.name, told.skip, told.inside
+            own = (i, told.old, told.new, told.changed)
+        elif kind == "git":
             name, skip, inside = None, False, False
             path = f"={told}" if told is not None else path
         elif kind == "skip":
@@ -298,22 +301,16 @@ def emit(scope: str):
         key, state = None, START
         for batch in source:
             diff, block, pos, raw, maps = batch.columns
-            lines, cuts, found = Lines(raw), stretches_of(diff, block), []
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            lines, begins = Lines(raw), []
+            for a in stretches_of(diff, block)[:-1]:
                 own = diff[a].as_py(), block[a].as_py()
                 if own != key:
                     text = maps[a].as_py()
                     key, state = own, unpacked(text)[START.kind()] if text else START
-                state, at, paths, which, line, changed = rows_of(*lines.split(a, b), state, scope)
-                found.append((at + a, paths, which, line, changed))
-            if not found:
-                continue
-            at, line, changed = (np.concatenate([f[i] for f in found]) for i in (0, 3, 4))
-            paths, shift = [], []
-            for f in found:
-                shift.append(f[2] + len(paths))
-                paths += f[1]
-            path = pa.array(paths, pa.string()).take(pa.array(np.concatenate(shift)))
+                    begins.append((a, ("start", state)))
+            events = sorted([*begins, *lines.events], key=lambda e: e[0])  # a start comes before what its line says
+            state, at, paths, which, line, changed = rows_of(lines.sign, events, state, scope)
+            path = pa.array([p or "" for p in paths], pa.string()).take(pa.array(which))
             kind = pa.array(["added", "changed", "deleted"]).take(pa.array(np.full(len(at), 2) if scope == "deleted" else changed.astype(np.int64)))
             rows = pa.array(at)
             content = pc.utf8_slice_codeunits(raw.take(rows), 1)
