@@ -284,3 +284,63 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     for g in globs:
         out = out | path.rlike(glob_regex(g))
     return out
+
+
+#: Stands for what a glob leaves open.
+HOLE = "\0"
+
+
+def glob_pieces(glob: str) -> list[str]:
+    """The text of a glob between its slashes, with a HOLE for each wildcard, class and group of alternatives."""
+    out, depth, i = [], 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "[":
+            i = glob.find("]", i + 2 + (glob[i + 1 : i + 2] in ("!", "^")))
+        elif c == "\\":
+            i += 1
+        depth += (c == "{") - (c == "}")
+        if c in "*?[" or (c == "{" and depth == 1):
+            out += [HOLE] if not depth or c == "{" else []
+        elif not depth and c != "}":
+            out.append(glob[i])
+        i += 1
+    return "".join(out).split("/")
+
+
+def glob_keys(glob: str) -> list[str]:
+    """Keys that every path has which the glob matches, as `path_keys` gives them; none if it leaves too much open.
+
+    Folders that it begins with (d), whole names in it (s), beginnings (h) and ends (x) of names up to and from a dot;
+    without any of those all trigrams (t) of its text.
+    """
+    if glob in ("**", "**/"):
+        return []
+    pieces = glob_pieces(glob)
+    keys = {f"s{p}" for p in pieces if HOLE not in p}
+    n = next((i for i, p in enumerate(pieces) if HOLE in p), len(pieces) - 1)
+    if folder := "/".join(pieces[:n]):
+        keys.add(f"d{folder}")
+    for p in pieces:
+        head = p.split(HOLE)[0]
+        if HOLE in p and "." in head:
+            keys.add(f"h{head[: head.rindex('.') + 1]}")
+    tail = pieces[-1].split(HOLE)[-1]
+    if HOLE in pieces[-1] and "." in tail:
+        keys.add(f"x{tail[tail.index('.') :]}")
+    runs = [] if keys else [r for p in pieces for r in p.split(HOLE)]
+    return sorted(keys or {f"t{r[i : i + 3]}" for r in runs for i in range(len(r) - 2)})
+
+
+def path_keys(path: Column) -> Column:
+    """All keys of a path, each once."""
+    parts = F.split(path, "/")
+    ups = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda n: n > 0)
+    dotted = lambda name: F.split(name, r"\.")
+    dirs = F.transform(ups(parts), lambda n: F.concat(F.lit("d"), F.array_join(F.slice(parts, 1, n), "/")))
+    names = F.transform(parts, lambda p: F.concat(F.lit("s"), p))
+    heads = F.flatten(F.transform(parts, lambda p: F.transform(ups(dotted(p)), lambda n: F.concat(F.lit("h"), F.array_join(F.slice(dotted(p), 1, n), "."), F.lit(".")))))
+    last = dotted(F.element_at(parts, -1))
+    tails = F.transform(ups(last), lambda n: F.concat(F.lit("x."), F.array_join(F.slice(last, n + 1, F.size(last)), ".")))
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(path) - 2, F.lit(1))), lambda n: F.concat(F.lit("t"), F.substr(path, n, F.lit(3))))
+    return F.array_distinct(F.concat(dirs, names, heads, tails, threes))

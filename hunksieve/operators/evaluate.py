@@ -19,7 +19,7 @@ from ..functions.lang import language_of, parse_language
 from ..functions.masking import MASKED, mask_begins, mask_maps, mask_stream
 from ..functions.patterns import FLAGS, finds, first_match, java_pattern, matches_any, required_text
 from ..functions.sets import may_be_in
-from ..functions.text import depth, higher, normal_path, snippet
+from ..functions.text import higher, normal_path, snippet
 from .rules import Rule, check, closure
 
 FILE = ("diff_id", "path")
@@ -183,22 +183,6 @@ def resolve_overrides(path: Column, rule_id: str, specs: list[dict]) -> tuple[Co
     return enabled, severity
 
 
-def resolve_overrides_table(paths: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(path, rule_id, enabled, severity) for all paths and overridden rules, where the overrides are a table too.
-
-    overrides: OVERRIDE without exclude globs. Each path meets its own directories by equality.
-    """
-    folder = F.regexp_replace(normal_path(F.col("directory")), r"/+\z", "")
-    specs = overrides.select("seq", F.when(folder == ".", "").otherwise(folder).alias("directory"), "rule_id", "enabled", "severity").withColumn("depth", depth(F.col("directory")))
-    parts = F.split(normal_path(F.col("path")), "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    met = paths.select("path", F.explode(above).alias("directory")).join(specs, "directory")
-    steps = F.array_sort(F.collect_list(F.struct("depth", "directory", "seq", "enabled", "severity")))
-    met = met.groupBy("path", "rule_id").agg(steps.alias("steps"))
-    last = lambda name: F.try_element_at(F.filter(F.transform("steps", lambda s: s[name]), lambda x: x.isNotNull()), F.lit(-1))
-    return met.select("path", "rule_id", F.coalesce(last("enabled"), F.lit(True)).alias("enabled"), last("severity").alias("severity"))
-
-
 def candidate(rule: Rule) -> Column:
     """The line as a rule sees it."""
     mask = {(True, True): "no_both", (True, False): "no_comments", (False, True): "no_strings"}.get((rule.ignore_comments, rule.ignore_strings))

@@ -147,6 +147,18 @@ SELECT path, line, CASE WHEN near THEN 'warn' ELSE 'info' END AS severity FROM c
     "override_table": f"""WITH {L1}, p AS (SELECT DISTINCT path FROM l1)
 SELECT path, 'o.of' AS rule_id, path NOT LIKE 'src1/en/%' AS enabled, CASE WHEN path LIKE 'src1/%' THEN 'error' ELSE 'info' END AS severity FROM p
 UNION ALL SELECT path, 'o.to', true, NULL FROM p WHERE path LIKE 'src2/%'""",
+    "glob_table": f"""WITH {L1}, p AS (SELECT DISTINCT path, diff_id, doc_id FROM l1 WHERE path IS NOT NULL)
+SELECT path, diff_id || '/**/doc_' || doc_id || '.*' AS glob FROM p
+UNION ALL SELECT path, '**/en/doc_' || doc_id || '.{{py,rs}}' FROM p WHERE doc_id IN (SELECT doc_id FROM labels) AND path LIKE '%/en/%' AND doc_id % 8 < 2
+UNION ALL SELECT path, '**/doc_' || item_id || '?.*' FROM p JOIN (SELECT DISTINCT item_id FROM benchmark) ON item_id = doc_id // 10 WHERE doc_id >= 10
+UNION ALL SELECT path, '{{src1,src2}}/[a-e]?/*.?s' FROM p WHERE regexp_matches(path, '^src[12]/[a-e]./') AND doc_id % 8 IN (0, 2)""",
+    "override_excludes": f"""WITH {L1}, p AS (SELECT DISTINCT path, split_part(path, '/doc_', 1) AS folder, doc_id FROM l1 WHERE path IS NOT NULL),
+t AS (SELECT source || '/' || lang AS folder, doc_id, quality FROM labels JOIN documents USING (doc_id) WHERE toxic = 1)
+SELECT path, 'q.0' AS rule_id, path LIKE '%/en/%' AND doc_id NOT IN (SELECT doc_id FROM t WHERE quality = 0) AS enabled, 'error' AS severity FROM p
+UNION ALL SELECT path, 'q.1', doc_id NOT IN (SELECT doc_id FROM t WHERE quality = 1), NULL FROM p WHERE folder IN (SELECT folder FROM t WHERE quality = 1)""",
+    "pack_in_scope": f"""WITH {L1}, r AS (SELECT item_id AS i, regexp_extract(text, '[a-z]{{4,}}') AS w FROM benchmark)
+SELECT path, line, 'b.' || i AS rule_id FROM l1, r WHERE contains(content, w) AND regexp_matches(content, w || '[a-z]+ [^a-z]') AND path NOT LIKE '%/fr/%'
+  AND (starts_with(path, 'src' || (i % 4 + 1) || '/') OR path LIKE '%.sql') AND (i % 2 = 0 OR path LIKE '%.py' OR path LIKE '%.sql')""",
     "suppressions": f"""WITH {L2}, s AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY diff_id, path ORDER BY idx) = 4, false) AS next_ FROM masks),
 {events([WORD_RULE, Rule('word.of', 'warn', '', patterns=('of',))], 's', 'no_both')}
 SELECT e.path, e.line, rule_id, (next_ AND e.path NOT LIKE '%.html') OR (n = 3 AND rule_id = 'word.the') AS suppressed FROM events e JOIN s USING (diff_id, idx)""",

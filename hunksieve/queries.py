@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.lang import language_of
-from .operators import evaluate, history, packs, rules, verdict
+from .operators import evaluate, history, packs, rules, scopes, verdict
 from .operators.rules import Rule
 from .plans.check import Plan, run_check
 from .schemas import FP_ENTRY
@@ -213,7 +213,38 @@ DIRECTORY_RULES = [
 def override_table(spark, sf_dir):
     specs = [(i, o["directory"], o["rule_id"], o.get("enabled"), o.get("severity")) for i, o in enumerate(DIRECTORY_RULES)]
     frame = spark.createDataFrame(specs, "seq int, directory string, rule_id string, enabled boolean, severity string")
-    return evaluate.resolve_overrides_table(doc_lines(spark, sf_dir).select("path").distinct(), frame)
+    return scopes.resolve_overrides_table(doc_lines(spark, sf_dir).select("path").distinct(), frame)
+
+
+def glob_table(spark, sf_dir):
+    """Globs made from all documents, labels and benchmark items, and one that leaves all open, against all paths."""
+    name = lambda before, n, after: F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after)).alias("glob")
+    globs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), name("**/doc_", "doc_id", ".*")).alias("glob"))
+    globs = globs.unionByName(table(spark, sf_dir, "labels").select(name("**/en/doc_", "doc_id", ".{py,rs}")))
+    globs = globs.unionByName(table(spark, sf_dir, "benchmark").select(name("**/doc_", "item_id", "?.*")))
+    globs = globs.unionByName(spark.createDataFrame([("{src1,src2}/[a-e]?/*.?s",)], "glob string"))
+    return scopes.glob_matches(doc_lines(spark, sf_dir), globs)
+
+
+def override_excludes(spark, sf_dir):
+    """Overrides made from labels: toxic documents are left out of a rule by globs, over and under what their folders say."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("source", F.lit("/"), "lang").alias("folder"), "lang")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").join(docs, "doc_id")
+    null = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, seq, folder, rule, enabled, severity, globs: df.select(seq.cast("long").alias("seq"), F.col(folder).alias("directory"), rule.alias("rule_id"), enabled.alias("enabled"), severity.alias("severity"), globs.alias("exclude_paths"))
+    own = F.array(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".*")))
+    specs = row(toxic, F.col("doc_id"), "folder", F.concat(F.lit("q."), F.col("quality").cast("string")), null("boolean"), null("string"), own)
+    specs = specs.unionByName(row(docs.select("source").distinct(), F.lit(0), "source", F.lit("q.0"), F.lit(False), F.lit("error"), null("array<string>")))
+    specs = specs.unionByName(row(docs.where("lang = 'en'").select("folder").distinct(), F.lit(-1), "folder", F.lit("q.0"), F.lit(True), null("string"), null("array<string>")))
+    return scopes.resolve_overrides_table(doc_lines(spark, sf_dir), specs)
+
+
+def pack_in_scope(spark, sf_dir):
+    """The items' rules where their paths, exclude paths and languages hold."""
+    n = F.col("rule_idx")
+    paths = F.array(F.concat(F.lit("src"), (n % 4 + 1).cast("string"), F.lit("/**")), F.lit("*.sql"))
+    pack = pack_of_items(spark, sf_dir).withColumns({"paths": paths, "exclude_paths": F.array(F.lit("**/fr/**")), "languages": F.when(n % 2 == 1, F.array(F.lit("Python"), F.lit("sql")))})
+    return scopes.in_scope(packs.find_in_pack(doc_lines(spark, sf_dir), pack), pack).select("path", "line", "rule_id")
 
 
 def suppressions(spark, sf_dir):
@@ -444,7 +475,7 @@ QUERIES = {
     f.__name__: f
     for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, diff_in_sql, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
-    + (context_required, escalate_severity, override_table, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
+    + (context_required, escalate_severity, override_table, override_excludes, glob_table, pack_in_scope, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
