@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DIRECTIVE
@@ -26,14 +26,20 @@ FILE = ("diff_id", "path")
 EVENT = "struct<rule_idx: int, severity: string, at: bigint, line: bigint, content: string, start: int, match_text: string>"
 
 
-def held(df: DataFrame) -> DataFrame:
-    """`df`, computed once, in the checkpoint folder that all executors share. A cluster must name one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share. A cluster must name one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """`df`, computed once, in the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -196,6 +196,8 @@ SELECT 'p' || (k % 97) AS path, k * 10 + i AS line, 'S' || s AS author, '<' || s
 d AS (SELECT seq, v - lag(v) OVER w AS info, c - lag(c) OVER w AS warn, e - lag(e) OVER w AS error, p - lag(p) OVER w AS suppressed, n - lag(n) OVER w AS findings FROM r WINDOW w AS (ORDER BY seq))
 SELECT * FROM d WHERE findings IS NOT NULL ORDER BY seq DESC LIMIT 1""",
     "trend_retention": "SELECT datediff('day', DATE '1970-01-01', ts::DATE) AS seq, count(*) AS findings FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 3",
+    "run_histories": """SELECT user_id::VARCHAR AS history, seq, event_id, (event_type = 'view')::BIGINT AS info, (event_type = 'click')::BIGINT AS warn, (event_type = 'error')::BIGINT AS error, (event_type = 'purchase')::BIGINT AS suppressed
+FROM (SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE seq >= n - 5""",
     "sensor_findings": f"""{RANKED} SELECT diff_id, n, rule_id AS code, severity, message, path, line, col AS "column", {MARK} AS fingerprint,
   CASE rule_id WHEN 'pii.email' THEN 'remove it' END AS help, CASE rule_id WHEN 'pii.ipv4' THEN 'https://example.org/ip' END AS url FROM found""",
     "rules_matched": f"{RANKED} SELECT diff_id, count(DISTINCT rule_id) AS rules_matched FROM found GROUP BY diff_id",

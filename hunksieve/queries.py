@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from .schemas import FP_ENTRY
 from .sinks import encoders
 from .sources import diffs, records
 from .streaming.editor import positional_changes
+from .streaming.runs import runs_kept, trends_of_runs
 from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, pack_of_items, special_diffs, table
 
 KEYS = ("rule_id", "path", "line")
@@ -359,6 +361,25 @@ def trend_retention(spark, sf_dir):
     return history.latest_runs(_runs(spark, sf_dir), 3).select("seq", "findings")
 
 
+def run_histories(spark, sf_dir):
+    """Each event a run in its user's history, read as a stream: the newest five runs of each that its state keeps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kinds).parquet(f"{sf_dir}/event[s].parquet")
+    padded = lambda c: F.lpad(c.cast("string"), 20, "0")
+    is_ = lambda k: (F.col("event_type") == k).cast("long")
+    counts = F.struct(is_("view").alias("info"), is_("click").alias("warn"), is_("error").alias("error"), is_("purchase").alias("suppressed"))
+    null = lambda kind: F.lit(None).cast(kind)
+    told = stream.select(
+        F.col("user_id").cast("string").alias("history"), padded(F.unix_micros(F.col("ts").cast("timestamp"))).alias("started_at"), padded(F.col("event_id")).alias("ended_at"), null("long").alias("duration_ms"),
+        null("string").alias("base"), null("string").alias("head"), F.lit("added").alias("scope"), F.lit("pass").alias("status"), counts.alias("counts"), null("long").alias("files_scanned"), null("long").alias("lines_scanned"), F.lit(1).cast("long").alias("findings"),
+    )
+    state = f"{evaluate.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    writer = trends_of_runs(told, 5).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.format("noop").mode("overwrite").save())
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return runs_kept(spark, state).select("history", "seq", F.col("ended_at").cast("long").alias("event_id"), "counts.info", "counts.warn", "counts.error", "counts.suppressed")
+
+
 def sensor_findings(spark, sf_dir):
     return encoders.sensor_findings(all_findings(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
 
@@ -477,7 +498,7 @@ QUERIES = {
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, override_excludes, glob_table, pack_in_scope, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
-    + (trend_delta, trend_retention, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
+    + (trend_delta, trend_retention, run_histories, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
     + (benchmark_fanout_rules, dependency_table, runs_of_files)
 }
