@@ -198,6 +198,9 @@ SELECT * FROM d WHERE findings IS NOT NULL ORDER BY seq DESC LIMIT 1""",
     "trend_retention": "SELECT datediff('day', DATE '1970-01-01', ts::DATE) AS seq, count(*) AS findings FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 3",
     "run_histories": """SELECT user_id::VARCHAR AS history, seq, event_id, (event_type = 'view')::BIGINT AS info, (event_type = 'click')::BIGINT AS warn, (event_type = 'error')::BIGINT AS error, (event_type = 'purchase')::BIGINT AS suppressed
 FROM (SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE seq >= n - 5""",
+    "record_errors": """WITH e AS (SELECT *, '$.runs[' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) || ']' AS r FROM events)
+SELECT user_id, r || '.status' AS at, 'is none of pass, warn, fail, skip' AS error FROM e WHERE event_type = 'purchase' UNION ALL SELECT user_id, r || '.ended_at', 'is missing' FROM e WHERE event_type = 'click'
+UNION ALL SELECT user_id, r || '.counts.info', 'is no integer' FROM e WHERE event_type = 'error' UNION ALL SELECT user_id, r || '.duration_ms', 'is less than 0' FROM e WHERE event_id < 50""",
     "sensor_findings": f"""{RANKED} SELECT diff_id, n, rule_id AS code, severity, message, path, line, col AS "column", {MARK} AS fingerprint,
   CASE rule_id WHEN 'pii.email' THEN 'remove it' END AS help, CASE rule_id WHEN 'pii.ipv4' THEN 'https://example.org/ip' END AS url FROM found""",
     "rules_matched": f"{RANKED} SELECT diff_id, count(DISTINCT rule_id) AS rules_matched FROM found GROUP BY diff_id",

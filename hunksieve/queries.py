@@ -8,14 +8,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .constants import TREND_SCHEMA
 from .functions import text as tx
 from .functions.lang import language_of
 from .operators import evaluate, history, packs, rules, scopes, verdict
 from .operators.rules import Rule
 from .plans.check import Plan, run_check
 from .schemas import FP_ENTRY
-from .sinks import encoders
-from .sources import diffs, records
+from .sinks import encoders, outcomes
+from .sources import diffs, records, validation
 from .streaming.editor import positional_changes
 from .streaming.runs import runs_kept, trends_of_runs
 from .tables import RULES, WORD_RULE, block_lines, code_lines, diff_text, doc_lines, pack_of_items, special_diffs, table
@@ -380,6 +381,19 @@ def run_histories(spark, sf_dir):
     return runs_kept(spark, state).select("history", "seq", F.col("ended_at").cast("long").alias("event_id"), "counts.info", "counts.warn", "counts.error", "counts.suppressed")
 
 
+def record_errors(spark, sf_dir):
+    """A history file's text for each user, whose events are its runs, and what is wrong with it: words, numbers, gaps and types."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    counts = F.struct(F.when(kind == "error", "none").otherwise("0").alias("info"), F.lit(0).alias("warn"), F.lit(0).alias("error"))
+    status = F.when(kind == "purchase", kind).otherwise("pass")
+    one = F.struct(n, F.lit("s").alias("started_at"), F.when(kind != "click", "e").alias("ended_at"), (n - 50).alias("duration_ms"), F.lit("b").alias("base"), F.lit("h").alias("head"), F.lit("added").alias("scope"), status.alias("status"), counts.alias("counts"), F.lit(1).alias("files_scanned"), F.lit(1).alias("lines_scanned"), F.lit(0).alias("findings"))
+    runs = F.array_sort(F.collect_list(one)).alias("runs")
+    text = F.to_json(F.struct(F.lit(TREND_SCHEMA).alias("schema"), "runs"))
+    # Numbers of `info` are quoted so that one column holds both; the quotes of the good ones go again.
+    texts = table(spark, sf_dir, "events").groupBy("user_id").agg(runs).select("user_id", F.replace(text, F.lit('"info":"0"'), F.lit('"info":0')).alias("text"))
+    return validation.record_errors(texts, outcomes.json_schemas()["trend-history"])
+
+
 def sensor_findings(spark, sf_dir):
     return encoders.sensor_findings(all_findings(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
 
@@ -498,7 +512,7 @@ QUERIES = {
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, override_excludes, glob_table, pack_in_scope, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
-    + (trend_delta, trend_retention, run_histories, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
+    + (trend_delta, trend_retention, run_histories, record_errors, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
     + (benchmark_fanout_rules, dependency_table, runs_of_files)
 }

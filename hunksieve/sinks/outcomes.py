@@ -111,20 +111,31 @@ def append_history(run: DataFrame, path: str, most: int | None = None) -> None:
     write_page(_listed(runs, "runs", TREND_SCHEMA, TREND_RUN, "seq"), path)
 
 
-def _schema(kind: T.DataType) -> dict:
+#: The words of some fields of the records, those that may be missing, and those of these that may be null.
+WORDS = {"scope": ["added", "changed", "modified", "deleted"], "severity": ["info", "warn", "error"], "status": ["pass", "warn", "fail", "skip"]}
+OPTIONAL, NULLABLE = {"seq", "column", "note", "suppressed", "timing"}, {"column", "note", "timing"}
+
+
+def _schema(kind: T.DataType, name: str = "") -> dict:
     if isinstance(kind, T.StructType):
-        return {"type": "object", "properties": {f.name: _schema(f.dataType) for f in kind}}
-    if isinstance(kind, T.ArrayType):
-        return {"type": "array", "items": _schema(kind.elementType)}
-    return {"type": {"string": "string", "boolean": "boolean"}.get(kind.simpleString(), "integer")}
+        out = {"type": "object", "required": [f.name for f in kind if f.name not in OPTIONAL], "properties": {f.name: _schema(f.dataType, f.name) for f in kind}}
+    elif isinstance(kind, T.ArrayType):
+        out = {"type": "array", "items": _schema(kind.elementType)}
+    elif isinstance(kind, T.StringType):
+        out = {"type": "string"} | ({"enum": WORDS[name]} if name in WORDS else {})
+    else:
+        out = {"type": "boolean"} if isinstance(kind, T.BooleanType) else {"type": "integer", "minimum": 0}
+    return out | ({"type": [out["type"], "null"]} if name in NULLABLE else {})
 
 
 def json_schemas() -> dict[str, dict]:
     """JSON Schemas of the five records."""
     table = lambda ddl: _schema(T._parse_datatype_string(ddl))
-    listed = lambda name, ddl, schema: {"type": "object", "required": ["schema", name], "properties": {"schema": {"const": schema}, name: {"type": "array", "items": table(ddl)}}}
+    listed = lambda name, ddl, schema: {"type": "object", "required": ["schema"], "properties": {"schema": {"type": "string", "const": schema}, name: {"type": "array", "items": table(ddl)}}}
     kinds = {"str": "string", "bool": "boolean", "int | None": "integer", "str | None": "string"}
     rule = {f.name: {"type": kinds[f.type]} if f.type in kinds else {"type": "array"} for f in fields(Rule)}
     config = {"type": "object", "properties": {"includes": {"type": "array", "items": {"type": "string"}}, "defaults": {"type": "object"}, "rule": {"type": "array", "items": {"type": "object", "required": ["id"], "properties": rule}}}}
     sensor = {"type": "object", "required": ["schema", "tool", "run", "verdict", "findings"], "properties": {"schema": {"const": SENSOR_SCHEMA}, "tool": {"type": "object"}, "run": {"type": "object"}, "verdict": table(RECEIPT)["properties"]["verdict"], "findings": {"type": "array"}, "artifacts": {"type": "array"}, "data": {"type": "object"}}}
-    return {"check": table(RECEIPT), "config": config, "false-positive-baseline": listed("entries", FP_ENTRY, BASELINE_SCHEMA), "trend-history": listed("runs", TREND_RUN, TREND_SCHEMA), "sensor": sensor}
+    receipt = table(RECEIPT)
+    receipt["properties"]["schema"]["const"] = CHECK_SCHEMA
+    return {"check": receipt, "config": config, "false-positive-baseline": listed("entries", FP_ENTRY, BASELINE_SCHEMA), "trend-history": listed("runs", TREND_RUN, TREND_SCHEMA), "sensor": sensor}
