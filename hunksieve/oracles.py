@@ -188,6 +188,7 @@ SELECT fingerprint, rule_id, path, line, note FROM (SELECT *, row_number() OVER
     "baseline_exit": f"{EVENTS}, c AS (SELECT {counts('line % 2 = 1')} FROM events) SELECT *, CASE WHEN error > 0 THEN 2 ELSE 0 END AS code FROM c",
     "blame_author_age": """WITH b AS (SELECT 'f' || user_id AS path, event_id AS line, lower('User ' || user_id || ' <U' || user_id || '@x.org>') AS who, epoch(ts)::BIGINT AS t FROM events)
 SELECT DISTINCT path, line FROM b WHERE (contains(who, 'user 1') OR contains(who, 'u7@')) AND t > 0 AND ((SELECT max(t) FROM b) - t) // 86400 <= 20""",
+    "lines_of_blame": f"""WITH {L1}, b AS (SELECT *, lower(split_part(path, '/', 2) || ' <' || diff_id || '@x.org>') AS who FROM l1) SELECT path, line, content FROM b WHERE (contains(who, 'en') OR contains(who, 'src2@')) AND 30 - line <= 20""",
     "blame_porcelain": """WITH o AS (SELECT l_orderkey AS k, count(*) AS n, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
 SELECT 'p' || (k % 97) AS path, k * 10 + i AS line, 'S' || s AS author, '<' || s || '>' AS author_mail, s * 1000 AS author_time FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM o)""",
     "trend_totals": """SELECT count(*) AS run_count, sum(v)::BIGINT AS info, sum(c)::BIGINT AS warn, sum(e)::BIGINT AS error, sum(p)::BIGINT AS suppressed, sum(n)::BIGINT AS findings FROM (

@@ -333,6 +333,14 @@ def blame_author_age(spark, sf_dir):
     return history.blame_allowed(blame, newest, ["USER 1", "u7@"], 20)
 
 
+def lines_of_blame(spark, sf_dir):
+    """Lines of all documents whose blame names some author and isn't too old; a line's number is the day it was written."""
+    lines = doc_lines(spark, sf_dir)
+    parts = F.split("path", "/")
+    blame = lines.select("path", "line", F.get(parts, F.lit(1)).alias("author"), F.concat(F.lit("<"), F.get(parts, F.lit(0)), F.lit("@x.org>")).alias("author_mail"), (F.col("line") * 86400).alias("author_time"))
+    return evaluate.keep_allowed(lines, history.blame_allowed(blame, 30 * 86400 + 5, ["EN", "src2@"], 20)).select("path", "line", "content")
+
+
 def blame_porcelain(spark, sf_dir):
     """Porcelain text of all orders' lines: the first of an order tells its author, and stands for as many lines as the order has."""
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("s"))
@@ -511,7 +519,7 @@ QUERIES = {
     for f in (findings_basic, scoped_lines, files_lines_scanned, diff_special_headers, diff_in_sql, multibase_union_dedupe, language_detect, glob_applicability, path_filter)
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, override_excludes, glob_table, pack_in_scope, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
-    + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, blame_porcelain, trend_totals)
+    + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, lines_of_blame, blame_porcelain, trend_totals)
     + (trend_delta, trend_retention, run_histories, record_errors, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
     + (benchmark_fanout_rules, dependency_table, runs_of_files)
