@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, history, verdict
 from ..operators.rules import Rule, rules_table, select_by_tags
 from ..sinks import encoders
+from ..sources.diffs import base_label
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What to check, and how strictly."""
+    """What to check, and how strictly. Without a base the diffs are files, or a text, and name themselves."""
 
-    base: str = "origin/main"
+    base: str | None = "origin/main"
     head: str = "HEAD"
     scope: str = "added"
     diff_context: int = 0
@@ -71,7 +72,7 @@ def run_check(lines: DataFrame, rules: list[Rule], plan: Plan | None = None, all
         counts = counts.join(off, "diff_id", "left")
         counts = counts.withColumns({s: F.greatest(F.col(s) - F.coalesce(f"off_{s}", F.lit(0)), F.lit(0)) for s in verdict.LEVELS}).drop(*(f"off_{s}" for s in verdict.LEVELS))
     summary = verdict.scanned(lines).join(counts, "diff_id", "left").fillna(0, ["info", "warn", "error", "suppressed", "truncated"])
-    told = {"base": F.lit(plan.base), "head": F.lit(plan.head), "scope": F.lit(plan.scope), "context_lines": F.lit(plan.diff_context).cast("long")}
+    told = {"base": base_label(F.col("diff_id")) if plan.base is None else F.lit(plan.base), "head": F.lit(plan.head), "scope": F.lit(plan.scope), "context_lines": F.lit(plan.diff_context).cast("long")}
     summary = summary.withColumns({**told, "status": verdict.status(), "reasons": verdict.reasons(), "exit_code": verdict.exit_code(plan.fail_on)})
     return Run(lines, events, found, known, hits, summary)
 

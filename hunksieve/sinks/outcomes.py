@@ -38,11 +38,12 @@ def tool_error_receipt(spark: SparkSession, detail: str, base: str = "origin/mai
     return _receipt(spark, base, head, scope, context, [(INTERNAL, "error", detail, "", 0, None, "", "")], "fail", 1, "tool_error")
 
 
-def tool_error_report(spark: SparkSession, detail: str, started_at: str, ended_at: str, base: str = "origin/main", head: str = "HEAD") -> DataFrame:
-    """(page): the same as a sensor report."""
+def tool_error_report(spark: SparkSession, detail: str, started_at: str, ended_at: str, base: str = "origin/main", head: str = "HEAD", duration_ms: int = 0) -> DataFrame:
+    """(page): the same as a sensor report. What the tool would have told of git is not to be had."""
     mark = hashlib.sha256(f"{INTERNAL}:{RUNTIME_ERROR}:{detail}".encode()).hexdigest()
     finding = {"check_id": INTERNAL, "code": RUNTIME_ERROR, "severity": "error", "message": detail, "location": {"path": "", "line": 0}, "fingerprint": mark, "data": {"error": detail}}
-    doc = {"schema": SENSOR_SCHEMA, "tool": {"name": TOOL, "version": VERSION}, "run": {"started_at": started_at, "ended_at": ended_at}, "verdict": {"status": "fail", "counts": {"info": 0, "warn": 0, "error": 1}, "reasons": ["tool_error"]}, "findings": [finding], "data": {"diff": {"base": base, "head": head}}}
+    able = {"status": "unavailable", "reason": "tool_error", "detail": detail}
+    doc = {"schema": SENSOR_SCHEMA, "tool": {"name": TOOL, "version": VERSION}, "run": {"started_at": started_at, "ended_at": ended_at, "duration_ms": duration_ms, "capabilities": {"git": able}}, "verdict": {"status": "fail", "counts": {"info": 0, "warn": 0, "error": 1}, "reasons": ["tool_error"]}, "findings": [finding], "data": {"diff": {"base": base, "head": head}}}
     return spark.createDataFrame([(json.dumps(doc),)], "page string")
 
 
@@ -135,7 +136,8 @@ def json_schemas() -> dict[str, dict]:
     kinds = {"str": "string", "bool": "boolean", "int | None": "integer", "str | None": "string"}
     rule = {f.name: {"type": kinds[f.type]} if f.type in kinds else {"type": "array"} for f in fields(Rule)}
     config = {"type": "object", "properties": {"includes": {"type": "array", "items": {"type": "string"}}, "defaults": {"type": "object"}, "rule": {"type": "array", "items": {"type": "object", "required": ["id"], "properties": rule}}}}
-    sensor = {"type": "object", "required": ["schema", "tool", "run", "verdict", "findings"], "properties": {"schema": {"const": SENSOR_SCHEMA}, "tool": {"type": "object"}, "run": {"type": "object"}, "verdict": table(RECEIPT)["properties"]["verdict"], "findings": {"type": "array"}, "artifacts": {"type": "array"}, "data": {"type": "object"}}}
+    run = {"type": "object", "required": ["started_at", "ended_at", "duration_ms"], "properties": {"started_at": {"type": "string"}, "ended_at": {"type": "string"}, "duration_ms": {"type": "integer", "minimum": 0}, "capabilities": {"type": "object"}}}
+    sensor = {"type": "object", "required": ["schema", "tool", "run", "verdict", "findings"], "properties": {"schema": {"const": SENSOR_SCHEMA}, "tool": {"type": "object"}, "run": run, "verdict": table(RECEIPT)["properties"]["verdict"], "findings": {"type": "array"}, "artifacts": {"type": "array"}, "data": {"type": "object"}}}
     receipt = table(RECEIPT)
     receipt["properties"]["schema"]["const"] = CHECK_SCHEMA
     return {"check": receipt, "config": config, "false-positive-baseline": listed("entries", FP_ENTRY, BASELINE_SCHEMA), "trend-history": listed("runs", TREND_RUN, TREND_SCHEMA), "sensor": sensor}

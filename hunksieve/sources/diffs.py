@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sets import may_be_in
@@ -31,6 +31,13 @@ def raw_diff(spark: SparkSession, text: str, diff_id: str = "(stdin)") -> DataFr
     return split_lines(spark.createDataFrame([(diff_id, text)], "diff_id string, text string"), "diff_id", "text")
 
 
+def base_label(diff_id: Column) -> Column:
+    """What stands for the base of a diff that isn't from git: `(file:...)` with the path of a file that was read, a label in brackets as it is."""
+    decoded = F.url_decode(F.replace(diff_id, F.lit("+"), F.lit("%2B")))
+    path = F.when(F.startswith(diff_id, F.lit("file:")), F.regexp_replace(decoded, r"\Afile:/*(?=/)", "")).otherwise(diff_id)
+    return F.when(F.startswith(diff_id, F.lit("(")), diff_id).otherwise(F.concat(F.lit("(file:"), path, F.lit(")")))
+
+
 def git_diff(repo: str, base: str | None = None, head: str | None = None, context: int = 0, staged: bool = False, path: str | None = None, timeout: float | None = None) -> str:
     """Output of `git diff` for base...head, the index, or the working tree; an error if git fails."""
     what = ["--cached"] if staged else [f"{base}...{head}"] if base else []

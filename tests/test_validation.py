@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hunksieve.constants import BASELINE_SCHEMA, CHECK_SCHEMA
+from hunksieve.operators.rules import Rule
+from hunksieve.plans.check import Plan, run_sensor
 from hunksieve.sinks import encoders, outcomes
-from hunksieve.sources import validation
+from hunksieve.sources import diffs, validation
 
 RUN = {"started_at": "s", "ended_at": "e", "duration_ms": 1, "base": "b", "head": "h", "scope": "added", "status": "pass", "counts": {"info": 0, "warn": 0, "error": 0}, "files_scanned": 1, "lines_scanned": 1, "findings": 0}
 ENTRY = {"fingerprint": "f", "rule_id": "r", "path": "p", "line": 3}
@@ -53,6 +55,21 @@ def test_receipts_and_histories(spark, tmp_path):
     assert json.loads(pages[0])["schema"] == CHECK_SCHEMA
 
 
+def test_reports_and_labels(spark, tmp_path):
+    """Reports keep to their schema; diffs that are files name themselves."""
+    page = outcomes.tool_error_report(spark, "boom", "t0", "t1", duration_ms=7).first().page
+    assert json.loads(page)["run"] == {"started_at": "t0", "ended_at": "t1", "duration_ms": 7, "capabilities": {"git": {"status": "unavailable", "reason": "tool_error", "detail": "boom"}}}
+    (tmp_path / "a b+c.diff").write_text("diff --git a/f b/f\n+++ b/f\n@@ -0,0 +1 @@\n+x\n")
+    lines = diffs.parse_unified_diffs(diffs.read_diff_files(spark, str(tmp_path)).unionByName(diffs.raw_diff(spark, "diff --git a/g b/g\n+++ b/g\n@@ -0,0 +1 @@\n+x\n")))
+    done, reports = run_sensor(lines, [Rule("r", "warn", "m", patterns=("x",))], Plan(base=None))
+    pages = [r.page for r in reports.collect()]
+    assert sorted(json.loads(p)["data"]["diff"]["base"] for p in pages) == ["(file:" + str(tmp_path / "a b+c.diff") + ")", "(stdin)"]
+    assert found(spark, "sensor", page, *pages) == Counter()
+    worse = json.loads(page)
+    del worse["run"]["duration_ms"]
+    assert found(spark, "sensor", worse) == Counter([(0, "$.run.duration_ms", "is missing")])
+
+
 @pytest.mark.parametrize("schema", ["check", "config", "false-positive-baseline", "trend-history", "sensor"])
 def test_all_schemas(spark, schema):
     assert found(spark, schema, "3") == Counter([(0, "$", "is no object")])
