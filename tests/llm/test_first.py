@@ -23,11 +23,12 @@ def rows(n: int, seed: int = 1) -> list[tuple]:
     return out + out[:3]
 
 
-def test_shards(spark, tmp_path):
+@pytest.mark.parametrize("fan_out", [1 << 15, 10])
+def test_shards(spark, tmp_path, fan_out):
     data = rows(300)
     spark.createDataFrame(data, DOCS).repartition(5).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    out = sharding.shuffle_into_shards(docs, shards=7).collect()
+    out = sharding.shuffle_into_shards(docs, shards=7, fan_out=fan_out).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter(x[:2] for x in data)
     slots = defaultdict(list)
     for r in out:
@@ -37,8 +38,8 @@ def test_shards(spark, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     order = [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
     assert order != sorted(order)
-    assert sharding.shuffle_into_shards(docs, shards=7).collect() == out
-    assert sharding.shuffle_into_shards(docs.limit(0)).count() == 0
+    assert sharding.shuffle_into_shards(docs, shards=7, fan_out=fan_out).collect() == out
+    assert sharding.shuffle_into_shards(docs.limit(0), fan_out=fan_out).count() == 0
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
