@@ -204,6 +204,11 @@ SELECT user_id, r || '.status' AS at, 'is none of pass, warn, fail, skip' AS err
 UNION ALL SELECT user_id, r || '.counts.info', 'is no integer' FROM e WHERE event_type = 'error' UNION ALL SELECT user_id, r || '.duration_ms', 'is less than 0' FROM e WHERE event_id < 50""",
     "sensor_findings": f"""{RANKED} SELECT diff_id, n, rule_id AS code, severity, message, path, line, col AS "column", {MARK} AS fingerprint,
   CASE rule_id WHEN 'pii.email' THEN 'remove it' END AS help, CASE rule_id WHEN 'pii.ipv4' THEN 'https://example.org/ip' END AS url FROM found""",
+    "code_actions": f"""{EVENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY diff_id, path ORDER BY line, col, message, rule_id) AS k FROM events),
+first AS (SELECT diff_id, path, rule_id, min(k) AS k, CASE WHEN starts_with(rule_id, 'pii.') THEN 'https://example.org/pii' WHEN rule_id = 'secret.token' THEN 'https://example.org/secret' END AS page FROM k GROUP BY ALL),
+acts AS (SELECT diff_id, path, k, 0 AS kind, 'hunksieve: Explain ' || rule_id AS title, 'hunksieve.explainRule' AS command, rule_id AS arguments, rule_id, NULL AS url FROM first
+  UNION ALL SELECT diff_id, path, min(k), 1, 'hunksieve: Open docs for ' || arg_min(rule_id, k), 'hunksieve.showRuleUrl', page || ' ' || arg_min(rule_id, k), arg_min(rule_id, k), page FROM first WHERE page IS NOT NULL GROUP BY diff_id, path, page)
+SELECT diff_id, path, row_number() OVER (PARTITION BY diff_id, path ORDER BY k, kind) - 1 AS at, title, command, arguments, rule_id, url FROM acts""",
     "rules_matched": f"{RANKED} SELECT diff_id, count(DISTINCT rule_id) AS rules_matched FROM found GROUP BY diff_id",
     "tags_matched": f"""{RANKED} SELECT diff_id, tag, count(*) AS findings FROM found JOIN (VALUES ('pii.email', 'pii'), ('pii.email', 'Mail'), ('pii.ipv4', 'pii'), ('secret.token', 'secret')) AS t(rule_id, tag) USING (rule_id) GROUP BY ALL""",
     "sarif_rules": f"{RANKED} SELECT diff_id, rule_id, {xml('arg_min(message, n)')} AS text, arg_min({level('sarif')}, n) AS level FROM found GROUP BY diff_id, rule_id",

@@ -15,7 +15,7 @@ from .operators import evaluate, history, packs, rules, scopes, verdict
 from .operators.rules import Rule
 from .plans.check import Plan, run_check
 from .schemas import FP_ENTRY
-from .sinks import encoders, outcomes
+from .sinks import actions, encoders, outcomes
 from .sources import diffs, records, validation
 from .streaming.editor import positional_changes
 from .streaming.runs import runs_kept, trends_of_runs
@@ -406,6 +406,15 @@ def sensor_findings(spark, sf_dir):
     return encoders.sensor_findings(all_findings(spark, sf_dir), rules.rules_table(spark, RULES)).drop("check_id", "match_text", "snippet")
 
 
+def code_actions(spark, sf_dir):
+    """What an editor offers beside the events of each path; two rules share a page, one has none."""
+    pages = {"pii.email": "https://example.org/pii", "pii.ipv4": "https://example.org/pii", "secret.token": "https://example.org/secret"}
+    pack = rules.rules_table(spark, [replace(r, url=pages.get(r.id)) for r in RULES])
+    marks = events(spark, sf_dir).where("not suppressed").join(pack.select(F.col("id").alias("rule_id"), "message"), "rule_id")
+    out = actions.code_actions(marks.select("diff_id", "path", "line", F.col("start").alias("start_char"), "message", F.col("rule_id").alias("code")), pack)
+    return out.withColumn("arguments", F.array_join("arguments", " "))
+
+
 def rules_matched(spark, sf_dir):
     return verdict.rules_matched(all_findings(spark, sf_dir))
 
@@ -520,7 +529,7 @@ QUERIES = {
     + (allowed_lines_semi, tag_filter, pattern_classes, first_pattern_wins, snippet_240, gitlab_fingerprint, mask_true_texts, mask_html_blocks, mask_multiline_block, forced_language, multiline_match, absent_mode)
     + (context_required, escalate_severity, override_table, override_excludes, glob_table, pack_in_scope, suppressions, event_order_cap, verdict_counts, exit_code_matrix, check_summary, rule_hits)
     + (rule_hits_with_fp, fp_anti_join, fp_baseline_merge, fp_normalise, baseline_classes, baseline_exit, blame_author_age, lines_of_blame, blame_porcelain, trend_totals)
-    + (trend_delta, trend_retention, run_histories, record_errors, sensor_findings, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
+    + (trend_delta, trend_retention, run_histories, record_errors, sensor_findings, code_actions, rules_matched, tags_matched, sarif_rules, sarif_results, junit_suites, junit_cases, gitlab_issues, checkstyle_files, csv_rows)
     + (tsv_rows, annotations, markdown_rows, xml_escape, pages_rendered, rule_suggest, rule_self_test, config_merge, changed_lines_positional)
     + (benchmark_fanout_rules, dependency_table, runs_of_files)
 }
