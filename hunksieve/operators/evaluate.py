@@ -350,14 +350,39 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")
 
 
-def findings(events: DataFrame, rules: list[Rule], most: int = 200) -> DataFrame:
-    """diff_id, n (from 1) and the finding's fields: the first `most` unsuppressed events of each diff in order.
+def numbered(events: DataFrame) -> DataFrame:
+    """`events` with n, their number in their diff from 1, by place, rule, start and text of the match.
+
+    No task puts a whole diff in order: events are ranked in their block of places, what lies before a block is summed
+    over the blocks of its range, and what lies before a range over the ranges. `events` is computed twice.
+    """
+    key = F.struct("diff_id", F.shiftright("at", BLOCK_BITS).alias("block")).alias("_key")  # null diffs are equal in it
+    keyed = events.select("*", key)
+    order = Window.partitionBy("_key").orderBy("at", "rule_idx", F.col("start").asc_nulls_last(), "match_text")
+    before = lambda *per: F.coalesce(F.sum("n").over(Window.partitionBy(*per[:-1]).orderBy(per[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_range = F.struct("_key.diff_id", F.shiftright("_key.block", RANGE_BITS - BLOCK_BITS).alias("range")).alias("_range")
+    blocks = keyed.groupBy("_key").agg(F.count("*").alias("n")).select("_key", "n", of_range)
+    ranges = blocks.groupBy("_range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("_range", before("_range.diff_id", "_range.range").alias("_far"))
+    blocks = blocks.select("_key", "_range", before("_range", "_key.block").alias("_near")).join(ranges, "_range").select("_key", (F.col("_near") + F.col("_far")).alias("_before"))
+    ranked = keyed.withColumn("n", F.row_number().over(order)).join(blocks, "_key")
+    return ranked.withColumn("n", F.col("n") + F.col("_before")).drop("_key", "_before")
+
+
+#: Beyond so many findings a diff's events are numbered in blocks; below, Spark keeps only the first ones of each task.
+CAP = 1000
+
+
+def findings(events: DataFrame, rules: list[Rule], most: int | None = 200) -> DataFrame:
+    """diff_id, n (from 1) and the finding's fields: the first `most` (all, if None) unsuppressed events of each diff in order.
 
     The order is that of the lines in the diff, then of the rules, then of the match in the line.
     """
     messages = literal([r.message for r in rules], "array<string>")
     order = Window.partitionBy("diff_id").orderBy("at", "rule_idx", F.col("start").asc_nulls_last(), "match_text")
-    kept = events.where("not suppressed").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    kept = events.where("not suppressed")
+    kept = kept.withColumn("n", F.row_number().over(order)) if most is not None and most < CAP else numbered(kept)
+    kept = kept.where(F.col("n") <= most) if most is not None else kept
     column = (F.col("start") + 1).cast("long")
     return kept.select("diff_id", "n", "rule_id", "severity", F.get(messages, F.col("rule_idx")).alias("message"), "path", "line", column.alias("column"), "match_text", snippet(F.col("content")).alias("snippet"))
 

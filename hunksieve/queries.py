@@ -33,7 +33,7 @@ def found(spark, sf_dir, most=200) -> DataFrame:
 
 
 def all_findings(spark, sf_dir) -> DataFrame:
-    return found(spark, sf_dir, 1 << 40)
+    return evaluate.findings(evaluate.held(events(spark, sf_dir)), RULES, None)
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -282,3 +282,22 @@ def test_dependencies_in_tables(spark):
         assert {r["at"] for r in kept.collect()} == {k for d, f, r, k in rows if all((d, f, x) in met for x in want[r])}
     with pytest.raises(RuleError, match="isn't there"):
         packs.closure_table(spark.createDataFrame([("a", ["b"])], "id string, depends_on array<string>"))
+
+
+@pytest.mark.parametrize("bits", [(17, 30), (2, 4)])
+def test_order_without_a_cap(spark, monkeypatch, bits):
+    """Numbers given in blocks are those of one sort, for several diffs, null ones, rules and matches on one line."""
+    monkeypatch.setattr(evaluate, "BLOCK_BITS", bits[0])
+    monkeypatch.setattr(evaluate, "RANGE_BITS", bits[1])
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, "p.txt", i, rng.choice(["x", "y", "x y", "z", "yxx"]), "added") for i in rng.sample(range(400), 150)]
+    pack = [Rule("r.y", "warn", "m", patterns=("y",)), Rule("r.x", "info", "m", patterns=("x",))]
+    events = evaluate.find_events(spark.createDataFrame(rows, LINES), pack)
+    plain = sorted(events.collect(), key=lambda r: (r.at, r.rule_idx, r.start))
+    want = {d: [(r.rule_id, r.line) for r in plain if r.diff_id == d] for d in ("a", "b", None)}
+    for most in (None, 1 << 40, 1000, 5):
+        got = evaluate.findings(events, pack, most).collect()
+        for d, own in want.items():
+            assert {r.n: (r.rule_id, r.line) for r in got if r.diff_id == d} == dict(enumerate(own[:most], 1))
+            assert sum(r.diff_id == d for r in got) == len(own[:most])
+    assert evaluate.findings(events.limit(0), pack, None).count() == 0
