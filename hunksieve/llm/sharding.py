@@ -29,12 +29,12 @@ def in_ranges(scattered: DataFrame, ranges: int, size: int) -> DataFrame:
     return scattered.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
-def mix_buckets(records: DataFrame, heads: DataFrame, first_bucket: int, buckets: int, seed: int) -> DataFrame:
-    """(first, rows, pos, one): the records of each bucket in random order, with the bucket's head. A task holds one bucket."""
+def mix_buckets(records: DataFrame, heads: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """(first, rows, pos, one): the records of each bucket (from 0) in random order, with the bucket's head. A task holds one bucket."""
     by_place = lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)
     # A partition for each bucket: a task holds one, and the random numbers go by its number alone. Where a bucket
     # begins comes with its records, so that they are shuffled once.
-    full = records.unionByName(heads).repartitionById(buckets, F.col("bucket") - first_bucket).groupBy("bucket")
+    full = records.unionByName(heads).repartitionById(buckets, F.col("bucket")).groupBy("bucket")
     full = full.agg(F.collect_list("one").alias("recs"), F.max("first").alias("first"), F.max("rows").alias("rows"))
     mixed = full.withColumn("recs", F.shuffle(F.array_sort("recs", by_place), F.lit(seed)))
     return mixed.select("first", "rows", F.posexplode("recs").alias("pos", "one"))
@@ -79,9 +79,10 @@ def shuffle_into_shards(
     heads = offsets.select("bucket", F.lit(None).cast(scattered.select(one).schema["one"].dataType).alias("one"), "first", "rows")
     parts = []
     for i in range(ranges):
-        records = (scattered.where(F.col("range") == i) if ranges > 1 else scattered).select("bucket", one, *(F.lit(None).cast("long").alias(c) for c in ("first", "rows")))
-        own = heads.where(F.col("bucket").between(i * size, (i + 1) * size - 1)) if ranges > 1 else heads
-        parts.append(mix_buckets(records, own, i * size, size, seed + i))
+        bucket = (F.col("bucket") - i * size).alias("bucket")
+        records = (scattered.where(F.col("range") == i) if ranges > 1 else scattered).select(bucket, one, *(F.lit(None).cast("long").alias(c) for c in ("first", "rows")))
+        own = (heads.where(F.col("bucket").between(i * size, (i + 1) * size - 1)) if ranges > 1 else heads).select(bucket, "one", "first", "rows")
+        parts.append(mix_buckets(records, own, size, seed + i))
     ranked = reduce(DataFrame.unionByName, parts)
 
     rank, base, extra = F.col("first") + F.col("pos"), F.floor(F.col("rows") / shards), F.col("rows") % shards
