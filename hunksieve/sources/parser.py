@@ -306,8 +306,8 @@ def emit(scope: str):
                 own = diff[a].as_py(), block[a].as_py()
                 if own != key:
                     text = maps[a].as_py()
-                    key, state = own, unpacked(text)[START.kind()] if text else START
-                    begins.append((a, ("start", state)))
+                    key = own
+                    begins.append((a, ("start", unpacked(text)[START.kind()] if text else START)))
             events = sorted([*begins, *lines.events], key=lambda e: e[0])  # a start comes before what its line says
             state, at, paths, which, line, changed = rows_of(lines.sign, events, state, scope)
             path = pa.array([p or "" for p in paths], pa.string()).take(pa.array(which))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from hunksieve.sources import diffs, parser
@@ -139,3 +140,15 @@ def test_no_diff_is_one_task(spark):
     rows = diffs.parse_unified_diffs(spark.createDataFrame([("d", -2, "+++ b/f"), ("d", -1, "@@ -1 +1 @@")], raw.schema).unionByName(raw).selectExpr("diff_id", "pos + 2 AS pos", "raw"), bits=1)
     assert [r.line for r in rows.orderBy("idx").collect()] == list(range(1, 65))
     assert "Window" not in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("scope", diffs.SCOPES)
+def test_block_goes_on_in_a_batch_where_others_begin(scope):
+    whole = ["diff --git a/a b/a", "+++ b/a", "@@ -3 +5 @@", "-x", "+y", "+z", "-w", "+v"]
+    rows = [("a", 0, i, raw, None) for i, raw in enumerate(whole)] + [("b", 0, i, raw.replace("/a", "/b"), None) for i, raw in enumerate(whole)]
+    schema = pa.schema([("diff_id", pa.string()), ("block", pa.int64()), ("pos", pa.int64()), ("raw", pa.string()), ("map", pa.string())])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    told = lambda size: [tuple(r.values()) for b in parser.emit(scope)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    expected = [(d, i, d, n, content, kind) for d in "ab" for i, _, n, content, kind in parser.parse_lines(whole, scope)[0]]
+    for size in range(1, len(rows) + 1):
+        assert told(size) == expected
