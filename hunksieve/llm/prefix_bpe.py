@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a worker remembers before it starts anew: pairs of tokens, and pieces of text of up to LONG bytes.
-PAIRS, PIECES, LONG = 1_000_000, 400_000, 256
+PAIRS, PIECES, LONG = 300_000, 300_000, 256
 RESULTS = ("n_tokens", "ids")
+#: Texts whose results are held at a time.
+SLICE = 512
 
 
 class Vocabulary:
@@ -210,19 +212,25 @@ def token_bytes(path: str) -> list[bytes]:
     return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
 
 
-def encoding(path: str, pattern: str):
-    """Arrow UDF: ids of each text as one binary."""
+def encoding(path: str, pattern: str, decode: bool = False):
+    """Arrow UDF: ids of each text as one binary, and if asked for the bytes that these stand for, from the same worker."""
+    names = ("ids", "decoded") if decode else ("ids",)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(", ".join(f"{n} binary" for n in names))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path, pattern)
+        token = own.vocabulary.tokens.__getitem__
         for batch in batches:
-            out = []
-            for text in batch:
-                if len(own) > PIECES:
-                    own.clear()
-                out.append(own.encode(text.as_py() or ""))
-            yield pa.array(out, pa.binary())
+            for lo in range(0, len(batch), SLICE):
+                out = []
+                for text in batch.slice(lo, SLICE):
+                    if len(own) > PIECES:
+                        own.clear()
+                    out.append(own.encode(text.as_py() or ""))
+                told = [pa.array(out, pa.binary())]
+                if decode:
+                    told.append(pa.array([b"".join(map(token, np.frombuffer(ids, dtype="<u4").tolist())) for ids in out], pa.binary()))
+                yield pa.StructArray.from_arrays(told, names=list(names))
 
     return encode
 
@@ -239,17 +247,20 @@ def decoding(path: str):
     return decode
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """All rows and columns of `docs` with ids (little-endian unsigned 32-bit, one binary) and n_tokens.
+def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """All rows and columns of `docs` with ids (little-endian unsigned 32-bit, one binary) and n_tokens, and with `decode`
+    the bytes that the ids stand for (decoded).
 
     Each match of `pattern` is encoded by itself, as the library would: a match that is a token is that token, others
     merge by rank. Special tokens are ordinary text. Null and empty texts have no ids. Repeated rows get equal results; an
     empty table stays empty; columns named like the results are replaced. Texts are read whole, in time that grows with their
     length even where a match is long; one pass, no shuffle.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
-    told = docs.select(F.struct(*names).alias("row"), encoding(path, pattern)(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
-    return told.select("row.*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    results = (*RESULTS, "decoded") if decode else RESULTS
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    told = docs.select(F.struct(*names).alias("row"), encoding(path, pattern, decode)(F.coalesce(F.col(text_col), F.lit(""))).alias("told"))
+    ids = F.col("told.ids")
+    return told.select("row.*", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), *(F.col(f"told.{c}") for c in results[1:]))
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -97,8 +97,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = prefix_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(prefix_bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+    out = prefix_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,16 @@ def test_query(spark, library):
         want.add((d, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     got = [tuple(r) for r in QUERIES["op12_byte_bpe"](spark, SF_DIR).collect()]
     assert set(got) == want and len(got) == len(docs)
+
+
+def test_ids_and_their_bytes_come_from_one_worker(spark, monkeypatch):
+    monkeypatch.setattr(prefix_bpe, "SLICE", 3)
+    texts = ["", None, "one two", "é😀͸ don't", "a" * 300, "x\n\ny", "1234"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = prefix_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, decode=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = {r.doc_id: r for r in out.collect()}
+    plain = {r.doc_id: bytes(r.ids) for r in prefix_bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()}
+    assert {i: bytes(r.decoded).decode() for i, r in rows.items()} == {i: t or "" for i, t in enumerate(texts)}
+    assert {i: bytes(r.ids) for i, r in rows.items()} == plain and all(4 * r.n_tokens == len(r.ids) for r in rows.values())
