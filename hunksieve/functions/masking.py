@@ -18,7 +18,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..constants import DIRECTIVE
 from .lang import COMMENTS, STRINGS
@@ -269,6 +271,19 @@ def suppressed_lines(lines: list[str], no_comments: list[str], before: tuple[boo
     return every, ids, before
 
 
+#: Bytes of text that are scanned at a time.
+SLICE = 1 << 20
+
+
+def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in stretches whose last columns have about SLICE bytes, however long lines are."""
+    for batch in source:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // SLICE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def same_runs(columns: list[list]) -> Iterator[tuple[tuple, int, int]]:
     """(key, from, to) of the stretches of equal rows."""
     at = 0
@@ -296,7 +311,7 @@ def mask_maps(strings: bool):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = full = alone = said = None
-        for batch in source:
+        for batch in slices(source):
             out, content = [], [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             for own, lo, hi in same_runs([batch.column(i).to_pylist() for i in range(5)]):
                 text, lang = "\n".join(content[lo:hi]), own[4]
@@ -352,12 +367,12 @@ def mask_stream(strings: bool):
     """mapInArrow function that adds MASKED to lines.
 
     They come sorted: the first four columns tell a block of a run, the fifth is its language, the sixth how it begins (null:
-    anew), the last the content. A batch at a time is held; what is open at its end goes on in the next one.
+    anew), the last the content. A slice at a time is held; what is open at its end goes on in the next one.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, states, before = None, (None, None), (False, [])
-        for batch in source:
+        for batch in slices(source):
             columns = [batch.column(i).to_pylist() for i in range(6)]
             content = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             masks, every, ids = ([], [], []), [], []

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from hunksieve.functions import masking
@@ -171,3 +172,19 @@ def test_reading():
     for _ in range(1500):
         lang, text = rng.choice(["rust", "python", "javascript", "sql", "go", "shell", "xml", "c"]), random_text(rng, 30)
         assert masking.mask_lines(text.split("\n"), lang) == blanked(text, lang), (lang, text)
+
+
+@pytest.mark.parametrize("size", (1, 5, 40))
+def test_batches_are_scanned_in_slices(monkeypatch, size):
+    lines = ['a /* b "c', None, 'd */ "e', "", 'f" // hunksieve: ignore-next-line', "g 'h' /* /* i", "j */ k */ l"] * 4
+    n = len(lines)
+    columns = {"diff_id": ["d"] * n, "path": ["p.rs"] * n, "run": [0] * n, "block": [0] * n, "lang": ["rust"] * n, "begin": pa.array([None] * n, pa.string()), "idx": list(range(n)), "content": lines}
+    batch = pa.RecordBatch.from_pydict(columns)
+    whole = [r for b in masking.mask_stream(True)(iter([batch])) for r in b.to_pylist()]
+    told = [b.to_pylist() for b in masking.mask_maps(True)(iter([batch.drop_columns(["begin"])]))]
+    monkeypatch.setattr(masking, "SLICE", size)
+    made = list(masking.mask_stream(True)(iter([batch])))
+    assert len(made) > 3 and all(sum(map(len, filter(None, b.column("content").to_pylist()))) < size + 34 for b in made)
+    assert [r for b in made for r in b.to_pylist()] == whole
+    parted = [b.to_pylist() for b in masking.mask_maps(True)(iter([batch.drop_columns(["begin"])]))]
+    assert list(masking.mask_begins(iter([pa.RecordBatch.from_pylist(told[0] * 2)])))[0].to_pylist() == list(masking.mask_begins(iter([pa.RecordBatch.from_pylist(parted[0] * 2)])))[0].to_pylist()
