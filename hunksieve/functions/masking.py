@@ -230,7 +230,7 @@ def exits(text: str, lang: str, comments: bool) -> Exits:
 
 
 def lower_ascii(text: str) -> str:
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+    return text.lower() if text.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
 def directive(line: str, masked: str | None) -> tuple[str, bool, list[str]] | None:

@@ -196,6 +196,8 @@ def candidate(rule: Rule) -> Column:
 
 
 MASKS = ("no_comments", "no_strings", "no_both")
+#: What the directives of a file say of its lines.
+SUPPRESSED = ("suppress_all", "suppress_ids")
 #: Place of the text that a rule sees among the content and MASKS, by whether it ignores comments and strings.
 MASK_OF = {(False, False): 0, (True, False): 1, (False, True): 2, (True, True): 3}
 
@@ -273,7 +275,9 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     deps = closure(rules)
     masks = any(r.ignore_comments or r.ignore_strings for r in rules)
     strings = any(r.ignore_strings and not r.ignore_comments for r in rules)
-    rows = mask_table(lines, language, strings=strings).select(*lines.columns, *MASKS) if masks else lines.withColumns({c: F.lit(None).cast("string") for c in MASKS})
+    # Where all lines are masked, and events are of the lines that they are found in, directives come with the masks.
+    told = SUPPRESSED if masks and not any(r.multiline or r.match_mode == "absent" for r in rules) else ()
+    rows = mask_table(lines, language, strings=strings).select(*lines.columns, *MASKS, *told) if masks else lines.withColumns({c: F.lit(None).cast("string") for c in MASKS})
     bound = bool(overrides) or any(r.paths or r.exclude_paths or r.languages for r in rules)
     if bound:
         rows = rows.join(applicable(lines, rules, language, overrides), "path")
@@ -327,7 +331,7 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         severity = F.get(F.col("severities") if bound else literal([r.severity for r in rules], "array<string>"), F.col("rule_idx"))
         for i, higher_one in raised:
             severity = F.when(F.col("rule_idx") == i, higher_one).otherwise(severity)
-        parts.append(placed(hits.select(*FILE, "rule_idx", severity.alias("severity"), F.col("idx").alias("at"), "line", "content", *MASKS), rules))
+        parts.append(placed(hits.select(*FILE, "rule_idx", severity.alias("severity"), F.col("idx").alias("at"), "line", "content", *MASKS, *told), rules))
     if multi:  # several windows see one match
         parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))).dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"]))
     if absent:  # a row for each file: its first line, and what matched in it
@@ -337,14 +341,14 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         rows_of = [F.when((F.col(f"met{i}") == 0) & F.col(f"first.severity{i}").isNotNull(), F.struct(F.lit(i), F.col(f"first.severity{i}"), F.col("at"), F.col("first.line"), F.col("first.content"), F.lit(None), F.lit("<absent>")).cast(EVENT)) for i, *_ in absent]
         parts.append(files.select(*FILE, F.inline(F.array_compact(F.array(*rows_of)))))
     events = None
-    for part in parts or [rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")))]:
+    for part in parts or [rows.limit(0).select(*FILE, F.inline(F.array().cast(f"array<{EVENT}>")), *told)]:
         events = part if events is None else events.unionByName(part)
     if any(deps.values()):
         met = F.collect_set("rule_idx").over(Window.partitionBy(*FILE))
         index = {r.id: i for i, r in enumerate(rules)}
         needs = F.array(*(F.array(*(F.lit(index[d]) for d in sorted(deps[r.id]))).cast("array<int>") for r in rules))
         events = events.withColumn("_met", met).where(F.size(F.array_except(needs[F.col("rule_idx")], "_met")) == 0).drop("_met")
-    events = events.join(suppressions(lines, language), ["diff_id", "at"], "left")
+    events = events if told else events.join(suppressions(lines, language), ["diff_id", "at"], "left")
     events = events.withColumn("rule_id", F.get(literal([r.id for r in rules], "array<string>"), F.col("rule_idx")))
     suppressed = F.coalesce(F.col("suppress_all") | F.array_contains("suppress_ids", F.col("rule_id")), F.lit(False))
     return events.withColumn("suppressed", suppressed).drop("suppress_all", "suppress_ids")

@@ -301,3 +301,11 @@ def test_order_without_a_cap(spark, monkeypatch, bits):
             assert {r.n: (r.rule_id, r.line) for r in got if r.diff_id == d} == dict(enumerate(own[:most], 1))
             assert sum(r.diff_id == d for r in got) == len(own[:most])
     assert evaluate.findings(events.limit(0), pack, None).count() == 0
+
+
+def test_masked_lines_are_scanned_once(spark):
+    rows = [("a.py", 1, "the # hunksieve: ignore-next-line"), ("a.py", 2, "the of"), ("a.py", 3, "of # the"), ("a.rs", 1, "the // hunksieve: ignore w"), ("a.rs", 2, "the")]
+    pack = [Rule("w", "info", "", patterns=("the",), ignore_comments=True), Rule("v", "info", "", patterns=("of",))]
+    assert found(spark, rows, pack) == [("w", "a.py", 1, 1, "the", "info", False), ("w", "a.py", 2, 1, "the", "info", True), ("v", "a.py", 2, 5, "of", "info", True), ("v", "a.py", 3, 1, "of", "info", False), ("w", "a.rs", 1, 1, "the", "info", True), ("w", "a.rs", 2, 1, "the", "info", False)]
+    plan = evaluate.find_events(lines(spark, rows), pack)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mask_stream") + plan.count("MapInArrow run(") <= 2  # that and the maps of long files
