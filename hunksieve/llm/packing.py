@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Windows open in a partition; partitions whose leftovers are merged together; words a worker remembers.
-OPEN, MERGED, REMEMBERED = 64, 8, 300_000
+OPEN, MERGED, REMEMBERED = 64, 8, 600_000
 #: Texts of these characters alone are split into words here; others go to the library whole.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-įıĴ-ňŊ-ž]*")
 #: Fixed value: the word pattern of this vocabulary, over PLAIN.
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\sa-z0-9ß-öø-ž]+")
+WORDS = re.compile("[a-zß-öø-ž]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\\sa-z0-9ß-öø-ž]+")
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, part int"
 ARROW = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}[t]) for n, t in (x.split(" ") for x in SCHEMA.split(", "))])
 
@@ -47,7 +47,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [WORDS.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        new = list({w for words in split if words for w in words} - self.known.keys())
+        new = list(set().union(*filter(None, split)).difference(self.known))
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")

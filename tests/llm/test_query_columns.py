@@ -165,3 +165,26 @@ def test_gradient():
     slope = [(risk(np.eye(6)[i] * 1e-6, -1.0) - risk(np.zeros(6), -1.0)) / 1e-6 for i in range(6)]
     assert all(abs(g) < 1e-9 or np.sign(-g) == np.sign(step) for g, step in zip(slope, w, strict=True))
     assert risk(*toxicity.fit(x, positive, 0.2, 6)) < risk(np.zeros(6), -1.0) - 0.05
+
+
+def test_packing_looks_up_words_without_a_walk_over_all_known():
+    import time
+
+    import public_tokenizers
+
+    from hunksieve.llm import packing
+
+    own = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["don't stop: they'll, I'd, we've, 'tis 's'm 12 3a1b", "", "l'ÉTÉ d'été\r\n\tx", "'''s'", "<|odd|>", "日本"] * 2
+    ids = lambda: [x.tolist() for x in own.encode(texts)]
+    assert ids() == [x.ids for x in own.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spent():
+        begin = time.process_time()
+        for _ in range(40):
+            ids()
+        return time.process_time() - begin
+
+    few = spent()
+    own.known.update((f"w{i}", b"") for i in range(packing.REMEMBERED // 2))
+    assert spent() < 3 * few + 0.2  # a walk over them takes seconds
