@@ -74,3 +74,15 @@ def test_reports_and_labels(spark, tmp_path):
 def test_all_schemas(spark, schema):
     assert found(spark, schema, "3") == Counter([(0, "$", "is no object")])
     assert found(spark, schema).total() == 0
+
+
+def test_each_value_is_read_once(spark):
+    """The expression grows with the depth of a schema, not with a power of it."""
+
+    def size(depth):
+        schema = {"type": "integer", "minimum": 0}
+        for _ in range(depth):
+            schema = {"type": "object", "required": ["a"], "properties": {"a": schema}}
+        return str(validation.errors_of(F.col("v"), schema, F.lit("$"))).count("try_variant_get")
+
+    assert size(6) <= 2 * size(3)
