@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,24 +28,28 @@ class Histories(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.runs = handle.getListState("runs", KEPT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fields = [*TEXTS, *NUMBERS]
-        told = lambda c, v: (str if c in TEXTS else int)(v)
+        order = lambda r: [(x is not None, x) for x in r]
+        # Runs that are no longer among the newest by the end are only counted.
         new: list[tuple] = []
-        for frame in rows:
-            new += [tuple(None if pd.isna(v) else told(c, v) for c, v in zip(fields, row, strict=True)) for row in frame[fields].itertuples(index=False)]
-            new = sorted(new, key=lambda r: [(x is not None, x) for x in r])
+        count = 0
+        for row in rows:
+            new.append(tuple(row[c] for c in fields))
+            count += 1
+            if len(new) > 2 * self.most + 64:
+                new = sorted(new, key=order)[-self.most :]
+        new = sorted(new, key=order)[-self.most :]
         kept = [tuple(r) for r in self.runs.get()]
         first = kept[-1][0] + 1 if kept else 0
-        kept = (kept + [(first + i, *r) for i, r in enumerate(new)])[-self.most :]
+        kept = (kept + [(first + count - len(new) + i, *r) for i, r in enumerate(new)])[-self.most :]
         self.runs.put(kept)
 
         of = lambda run: [run[1 + fields.index(c)] for c in COUNTED]
         totals = [sum(x or 0 for x in column) for column in zip(*map(of, kept), strict=True)]
         pairs = zip(of(kept[-1]), of(kept[-2]), strict=True) if len(kept) > 1 else [(None, None)] * len(COUNTED)
         deltas = [None if a is None or b is None else a - b for a, b in pairs]
-        out = pd.DataFrame([(key[0], kept[-1][0], len(kept), *totals, *deltas)], columns=[c.split()[0] for c in TREND.split(", ")])
-        yield out.astype({c: "Int64" for c in out.columns[1:]})
+        yield Row(*(c.split()[0] for c in TREND.split(", ")))(key[0], kept[-1][0], len(kept), *totals, *deltas)
 
     def close(self) -> None:
         pass
@@ -62,7 +65,7 @@ def trends_of_runs(runs: DataFrame, most: int) -> DataFrame:
     if most < 1:
         raise ValueError("at least one run must be kept")
     flat = runs.select("history", *TEXTS, "duration_ms", *(F.col(f"counts.{c}").alias(c) for c in (*LEVELS, "suppressed")), "files_scanned", "lines_scanned", "findings")
-    return flat.groupBy("history").transformWithStateInPandas(Histories(most), TREND, outputMode="Update", timeMode="None")
+    return flat.groupBy("history").transformWithState(Histories(most), TREND, outputMode="Update", timeMode="None")
 
 
 def runs_kept(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Histories of runs as a stream, over restarts, against the same runs as a table."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hunksieve.operators import history
@@ -42,3 +43,23 @@ def test_histories(spark, tmp_path):
     assert [n for n, *_ in got["b"]] == [1, 2, 3]
     with pytest.raises(ValueError):
         runs.trends_of_runs(spark.createDataFrame([], SCHEMA), 0)
+
+
+def test_only_the_newest_runs_are_held():
+    """Of a batch's runs no more are held than can be kept, and frames are not made for each history."""
+    state = []
+
+    class List:
+        def get(self):
+            return iter(state)
+
+        def put(self, rows):
+            state[:] = rows
+
+    histories = runs.Histories(2)
+    histories.runs = List()
+    fields = [*runs.TEXTS, *runs.NUMBERS]
+    each = lambda k: Row(**dict.fromkeys(fields, None) | {"started_at": f"s{k:03}", "findings": k})
+    (got,) = histories.handleInputRows(("a",), (each(k) for k in reversed(range(200))), None)
+    assert [(r[0], r[1]) for r in state] == [(198, "s198"), (199, "s199")]
+    assert got[:3] == ("a", 199, 2) and got[7] == 198 + 199 and got[-1] == 1
