@@ -286,7 +286,7 @@ def closure_table(rules: DataFrame) -> DataFrame:
 
 def gate(events: DataFrame, needs: DataFrame) -> DataFrame:
     """The events of rules whose needs (rule_id, needs) have all matched in the same file of the same diff, suppressed or not."""
-    met = events.select("diff_id", "path", "rule_id").distinct()
+    met = held(events.select("diff_id", "path", "rule_id").distinct())
     wanted = met.join(needs, "rule_id")
     missing = wanted.join(met.withColumnRenamed("rule_id", "needs"), ["diff_id", "path", "needs"], "left_anti").select("diff_id", "path", "rule_id").distinct()
     return events.join(missing, ["diff_id", "path", "rule_id"], "left_anti")
