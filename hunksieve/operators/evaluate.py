@@ -335,9 +335,9 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
     if multi:  # several windows see one match
         parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))).dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"]))
     if absent:  # a row for each file: its first line, and what matched in it
-        told = [F.max((F.coalesce(where, F.lit(False))).cast("int")).alias(f"met{i}") for i, where, *_ in absent]
+        met = [F.max((F.coalesce(where, F.lit(False))).cast("int")).alias(f"met{i}") for i, where, *_ in absent]
         first = F.min_by(F.struct("line", "content", *(F.when(here, severity).alias(f"severity{i}") for i, _, here, severity in absent)), "idx").alias("first")
-        files = rows.groupBy(*FILE).agg(F.min("idx").alias("at"), first, *told)
+        files = rows.groupBy(*FILE).agg(F.min("idx").alias("at"), first, *met)
         rows_of = [F.when((F.col(f"met{i}") == 0) & F.col(f"first.severity{i}").isNotNull(), F.struct(F.lit(i), F.col(f"first.severity{i}"), F.col("at"), F.col("first.line"), F.col("first.content"), F.lit(None), F.lit("<absent>")).cast(EVENT)) for i, *_ in absent]
         parts.append(files.select(*FILE, F.inline(F.array_compact(F.array(*rows_of)))))
     events = None
