@@ -264,6 +264,23 @@ def applicable(paths: DataFrame, rules: list[Rule], language: str | None = None,
     return paths.select("path").distinct().select("path", F.array(*each).alias("severities"))
 
 
+def in_windows(rows: DataFrame, i: int, patterns: list[str]) -> DataFrame:
+    """`rows` with found{i}, the EVENT of the first match in the lines of next{i}, joined; null without one.
+
+    Each step is a column of its own that the next ones refer to, so that lines are joined and searched once.
+    """
+    ahead, seen, before, head, target = (F.col(f"{name}{i}") for name in ("next", "seen", "before", "head", "target"))
+    joined = lambda name: F.array_join(F.transform(ahead, lambda x: x[name]), "\n")
+    rows = rows.withColumn(f"seen{i}", F.when(F.size(ahead) >= 2, joined("text")))
+    start, length = first_match(seen, patterns)
+    rows = rows.withColumns({f"before{i}": start, f"length{i}": length})
+    rows = rows.withColumn(f"head{i}", F.split(F.substr(seen, F.lit(1), before), "\n"))
+    rows = rows.withColumn(f"target{i}", F.when(before.isNotNull(), F.element_at(ahead, F.size(head))))
+    raw = F.substr(joined("content"), before + 1, F.col(f"length{i}"))
+    event = F.struct(F.lit(i), target["severity"], target["idx"], target["line"], target["content"], F.length(F.element_at(head, -1)), raw).cast(EVENT)
+    return rows.withColumn(f"found{i}", F.when(target["fits"], event)).drop(*(f"{name}{i}" for name in ("next", "seen", "before", "length", "head", "target")))
+
+
 def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None, overrides: list[dict] | None = None) -> DataFrame:
     """All matches: diff_id, path, and the fields of EVENT; `start` counts code points from 0.
 
@@ -303,22 +320,17 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         if r.multiline:
             seen = F.struct("idx", "line", "content", severity.alias("severity"), text.alias("text"), fits.alias("fits"))
             rows = rows.withColumn(f"next{i}", F.when(applies_here, F.collect_list(seen).over(file.rowsBetween(0, r.window - 1))))
-            ahead = F.col(f"next{i}")
-            joined = F.array_join(F.transform(ahead, lambda x: x["text"]), "\n")
-            before, length = first_match(joined, list(r.patterns))
-            head = F.substr(joined, F.lit(1), before)
-            n = F.size(F.split(head, "\n")) - 1
-            at = before - F.when(n == 0, 0).otherwise(F.length(head) - F.length(F.substring_index(head, "\n", -1)))
-            raw = F.substr(F.array_join(F.transform(ahead, lambda x: x["content"]), "\n"), before + 1, length)
-            target = F.element_at(ahead, n + 1)
-            where = applies_here & (F.size(ahead) >= 2) & before.isNotNull() & target["fits"]
-            found = F.struct(F.lit(i), target["severity"], target["idx"], target["line"], target["content"], at, raw).cast(EVENT)
+            rows = in_windows(rows, i, list(r.patterns))
+            found = F.col(f"found{i}")
+            where = found.isNotNull()
         else:
             where = applies_here & finds(text, list(r.patterns)) & fits
         if r.match_mode == "absent":
             absent.append((i, where, applies_here, severity))
-        elif r.multiline:
-            multi.append(F.when(where, found))
+        elif r.multiline:  # several windows see one match: it is of the first
+            key = F.struct(found["at"], found["start"], found["match_text"])
+            rows = rows.withColumn(f"before{i}", F.collect_list(F.when(where, key)).over(file.rowsBetween(1 - r.window, -1)))
+            multi.append(F.when(where & ~F.array_contains(f"before{i}", key), found))
         else:
             single.append(F.when(where, i).otherwise(-1))
             if r.escalate_patterns:
@@ -332,8 +344,8 @@ def find_events(lines: DataFrame, rules: list[Rule], language: str | None = None
         for i, higher_one in raised:
             severity = F.when(F.col("rule_idx") == i, higher_one).otherwise(severity)
         parts.append(placed(hits.select(*FILE, "rule_idx", severity.alias("severity"), F.col("idx").alias("at"), "line", "content", *MASKS, *told), rules))
-    if multi:  # several windows see one match
-        parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))).dropDuplicates([*FILE, "rule_idx", "at", "start", "match_text"]))
+    if multi:
+        parts.append(rows.select(*FILE, F.inline(F.array_compact(F.array(*multi)))))
     if absent:  # a row for each file: its first line, and what matched in it
         met = [F.max((F.coalesce(where, F.lit(False))).cast("int")).alias(f"met{i}") for i, where, *_ in absent]
         first = F.min_by(F.struct("line", "content", *(F.when(here, severity).alias(f"severity{i}") for i, _, here, severity in absent)), "idx").alias("first")

@@ -309,3 +309,13 @@ def test_masked_lines_are_scanned_once(spark):
     assert found(spark, rows, pack) == [("w", "a.py", 1, 1, "the", "info", False), ("w", "a.py", 2, 1, "the", "info", True), ("v", "a.py", 2, 5, "of", "info", True), ("v", "a.py", 3, 1, "of", "info", False), ("w", "a.rs", 1, 1, "the", "info", True), ("w", "a.rs", 2, 1, "the", "info", False)]
     plan = evaluate.find_events(lines(spark, rows), pack)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("mask_stream") + plan.count("MapInArrow run(") <= 2  # that and the maps of long files
+
+
+def test_joined_lines_are_searched_once(spark):
+    """A step's outcome is a column for the next: two texts are joined, and what several windows see is dropped without a shuffle."""
+    rule = Rule("late", "info", "", patterns=(r"a\nb", "c"), multiline=True, multiline_window=3)
+    lines = spark.createDataFrame([("d", n, "x.txt", n, c, "added") for n, c in enumerate(("x", "a", "b", "c", "c"))], LINES)
+    events = evaluate.find_events(lines, [rule])
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 2
+    assert [(r.line, r.start, r.match_text) for r in events.orderBy("at").collect()] == [(1, 0, "a\nb"), (3, 0, "c")]
