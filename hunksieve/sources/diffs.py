@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import subprocess
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +64,6 @@ def union_bases(diffs: list[DataFrame], label: str) -> DataFrame:
     return out
 
 
-#: Lines that the table function parses at a time.
-BATCH = 1 << 14
 #: A block, which is parsed in one task, is 2 to this power places of a diff.
 BLOCK_BITS = 17
 
@@ -95,7 +95,7 @@ def parse_unified_diffs(raw: DataFrame, scope: str = "added", bits: int = BLOCK_
 def sql_parser(scope: str = "added"):
     """The parser as a table function for SQL, to be registered: `parse_diff(TABLE(raw) PARTITION BY diff_id ORDER BY pos)`.
 
-    Its rows are those of `parse_unified_diffs`; what SQL puts into one partition goes through one task, a batch of lines at
+    Its rows are those of `parse_unified_diffs`; what SQL puts into one partition goes through one task, an Arrow batch at
     a time.
     """
     if scope not in SCOPES:
@@ -103,27 +103,16 @@ def sql_parser(scope: str = "added"):
 
     class Parser:
         def __init__(self):
-            self.state, self.lines, self.places, self.diff = parser.START, [], [], None
-
-        def eval(self, row):
-            if row["diff_id"] != self.diff:
-                yield from self.parsed()
-                self.state, self.diff = parser.START, row["diff_id"]
-            self.lines.append(row["raw"] or "")
-            self.places.append(row["pos"])
-            if len(self.lines) >= BATCH:
-                yield from self.parsed()
-
-        def parsed(self):
-            found, self.state = parser.parse_lines(self.lines, scope, self.state)
-            for i, *rest in found:
-                yield (self.diff, self.places[i], *rest)
-            self.lines, self.places = [], []
-
-        def terminate(self):
-            yield from self.parsed()
-
-    return F.udtf(Parser, returnType=LINES)
+            self.emitter = parser.Emitter(scope)
+
+        def eval(self, rows: pa.RecordBatch):
+            n = rows.num_rows
+            columns = [rows.column("diff_id"), pa.array(np.zeros(n, np.int64)), rows.column("pos").cast(pa.int64()), rows.column("raw"), pa.nulls(n, pa.string())]
+            found = self.emitter.of(pa.RecordBatch.from_arrays(columns, names=["diff_id", "block", "pos", "raw", "map"]))
+            if found.num_rows:
+                yield found
+
+    return F.arrow_udtf(Parser, returnType=LINES)
 
 
 def empty_lines(spark: SparkSession) -> DataFrame:

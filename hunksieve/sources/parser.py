@@ -294,27 +294,35 @@ def carry(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["diff_id", "block", "map"])
 
 
+class Emitter:
+    """The lines in scope of sorted (diff_id, block, pos, raw, map), batch after batch. Blocks without a map begin anew."""
+
+    def __init__(self, scope: str):
+        self.scope, self.key, self.state = scope, None, START
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        diff, block, pos, raw, maps = batch.columns
+        lines, begins = Lines(raw), []
+        for a in stretches_of(diff, block)[:-1]:
+            own = diff[a].as_py(), block[a].as_py()
+            if own != self.key:
+                text = maps[a].as_py()
+                self.key = own
+                begins.append((a, ("start", unpacked(text)[START.kind()] if text else START)))
+        events = sorted([*begins, *lines.events], key=lambda e: e[0])  # a start comes before what its line says
+        self.state, at, paths, which, line, changed = rows_of(lines.sign, events, self.state, self.scope)
+        path = pa.array([p or "" for p in paths], pa.string()).take(pa.array(which))
+        kind = pa.array(["added", "changed", "deleted"]).take(pa.array(np.full(len(at), 2) if self.scope == "deleted" else changed.astype(np.int64)))
+        rows = pa.array(at)
+        content = pc.utf8_slice_codeunits(raw.take(rows), 1)
+        return pa.RecordBatch.from_arrays([diff.take(rows), pos.take(rows), path, pa.array(line, pa.int64()), content, kind], names=["diff_id", "idx", "path", "line", "content", "kind"])
+
+
 def emit(scope: str):
-    """mapInArrow function over sorted (diff_id, block, pos, raw, map): the lines in scope. Blocks without a map begin anew."""
+    """mapInArrow function over sorted (diff_id, block, pos, raw, map): the lines in scope."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, START
-        for batch in source:
-            diff, block, pos, raw, maps = batch.columns
-            lines, begins = Lines(raw), []
-            for a in stretches_of(diff, block)[:-1]:
-                own = diff[a].as_py(), block[a].as_py()
-                if own != key:
-                    text = maps[a].as_py()
-                    key = own
-                    begins.append((a, ("start", unpacked(text)[START.kind()] if text else START)))
-            events = sorted([*begins, *lines.events], key=lambda e: e[0])  # a start comes before what its line says
-            state, at, paths, which, line, changed = rows_of(lines.sign, events, state, scope)
-            path = pa.array([p or "" for p in paths], pa.string()).take(pa.array(which))
-            kind = pa.array(["added", "changed", "deleted"]).take(pa.array(np.full(len(at), 2) if scope == "deleted" else changed.astype(np.int64)))
-            rows = pa.array(at)
-            content = pc.utf8_slice_codeunits(raw.take(rows), 1)
-            yield pa.RecordBatch.from_arrays([diff.take(rows), pos.take(rows), path, pa.array(line, pa.int64()), content, kind], names=["diff_id", "idx", "path", "line", "content", "kind"])
+        yield from map(Emitter(scope).of, source)
 
     return run
 
@@ -332,4 +340,4 @@ def map_lines(lines: list[str], keep_deleted: bool = False) -> Map:
     return map_of(some.sign, some.events, keep_deleted)
 
 
-__all__ = ["SAME", "START", "State", "carry", "emit", "event", "map_lines", "parse_lines", "plain_path", "quoted_tokens", "summarise", "then"]
+__all__ = ["SAME", "START", "Emitter", "State", "carry", "emit", "event", "map_lines", "parse_lines", "plain_path", "quoted_tokens", "summarise", "then"]

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from hunksieve.schemas import RAW_DIFF
 from hunksieve.sources import diffs, parser
 
 CASES = {
@@ -152,3 +153,20 @@ def test_block_goes_on_in_a_batch_where_others_begin(scope):
     expected = [(d, i, d, n, content, kind) for d in "ab" for i, _, n, content, kind in parser.parse_lines(whole, scope)[0]]
     for size in range(1, len(rows) + 1):
         assert told(size) == expected
+
+
+def test_table_function_takes_batches(spark):
+    """Partitions that begin and end inside batches of a few lines, and go on over several."""
+    whole = ["diff --git a/a b/a", "+++ b/a", "@@ -3 +5 @@", "-x", "+y", None, "+z", "-w", "+v"]
+    rows = [(d, i, raw and raw.replace("/a", f"/{d}")) for d in "abc" for i, raw in enumerate(whole)]
+    spark.udtf.register("parse_few", diffs.sql_parser("modified"))
+    spark.createDataFrame(rows, RAW_DIFF).createOrReplaceTempView("few_lines")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = spark.sql("SELECT * FROM parse_few(TABLE(few_lines) PARTITION BY diff_id ORDER BY pos)")
+        assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
+        expected = [(d, i, d, n, content, kind) for d in "abc" for i, _, n, content, kind in parser.parse_lines([x or "" for x in whole], "modified")[0]]
+        assert sorted((r.diff_id, r.idx, r.path, r.line, r.content, r.kind) for r in found.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
