@@ -67,15 +67,16 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW_DIFF of all documents: hunks of ten lines, whose marker goes by the line's number modulo four."""
-    lines = doc_lines(spark, sf_dir)
     n, path = F.col("line"), F.col("path")
-    head = F.array(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path))
-    heads = lines.where(n == 1).select(path.alias("diff_id"), F.posexplode(head).alias("pos", "raw"))
     start = n.cast("string")
-    hunks = lines.where(n % 10 == 1).select(path.alias("diff_id"), (n * 10 - 1).alias("pos"), F.concat(F.lit("@@ -"), start, F.lit(" +"), start, F.lit(",9 @@")).alias("raw"))
+    row = lambda pos, raw: F.struct(pos.cast("long").alias("pos"), raw.alias("raw"))
+    head = [F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path)]
+    heads = [row(F.lit(i), raw) for i, raw in enumerate(head)]
+    hunk = row(n * 10 - 1, F.concat(F.lit("@@ -"), start, F.lit(" +"), start, F.lit(",9 @@")))
     mark = F.element_at(F.array(F.lit(" x"), F.lit("-x"), F.lit("+x"), F.lit("+x")), (n % 4 + 1).cast("int"))
-    body = lines.select(path.alias("diff_id"), (n * 10).alias("pos"), F.concat(mark, "content").alias("raw"))
-    return heads.withColumn("pos", F.col("pos").cast("long")).unionByName(hunks).unionByName(body)
+    body = row(n * 10, F.concat(mark, "content"))
+    rows = F.when(n == 1, F.array(*heads, hunk, body)).when(n % 10 == 1, F.array(hunk, body)).otherwise(F.array(body))
+    return doc_lines(spark, sf_dir).select(path.alias("diff_id"), F.inline(rows))
 
 
 #: Header lines of a file section by the document's id modulo seven; ~ stands for the id.

@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from hunksieve import tables
 from hunksieve.schemas import RAW_DIFF
 from hunksieve.sources import diffs, parser
 
@@ -170,3 +171,8 @@ def test_table_function_takes_batches(spark):
         assert sorted((r.diff_id, r.idx, r.path, r.line, r.content, r.kind) for r in found.collect()) == expected
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_documents_are_read_once_for_a_diff(spark):
+    plan = tables.diff_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
